@@ -5,14 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import langid, mixing, packing, pii, sharding, simhash, toxicity
+from .common import crc_of_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id(F.col("doc_id"), 5) == 0)
+    labels = table(spark, sf_dir, "labels").filter(crc_of_id(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, toxicity.train(*toxicity.sample(docs, labels)), ["doc_id", "held_out"])
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_of_id(F.col("doc_id"), 3) == 1)
+    found = langid.predict(docs, langid.learn(docs.filter("not held_out")), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,6 +48,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,

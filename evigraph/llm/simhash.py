@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sorted_groups
@@ -190,3 +190,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, limit: int = MAX_DIFF) -
     names = entries.join(member, entries.fp == member.k, "left").select(F.col("fp").alias("k"), F.coalesce("head", "least").alias("component_id"))
     names = materialize(names, "simhash-names")
     return prints.join(names, prints.fp == names.k).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, words: int = 3, limit: int = MAX_DIFF) -> DataFrame:
+    """``docs``, all columns, with one document of each near-duplicate group: that of the smallest doc_id; of rows
+    that repeat this id, one.  Rows with a null doc_id cannot be named by a group and stay."""
+    found = near_duplicates(docs, words=words, limit=limit)
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
+    named = docs.filter("doc_id is not null").join(heads, F.col("doc_id") == F.col("__head"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return named.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
