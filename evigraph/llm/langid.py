@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language's dictionary is raw text; a text is compressed with every dictionary in turn and belongs to the language
-whose dictionary makes it smallest.  Where the smallest and the next differ by less than ``MIN_MARGIN`` of the next,
-the decision is marked as rejected (``lang_pred`` still names the smallest).  Texts are lower-cased and taken whole, in
+whose dictionary makes it smallest.  Where the smallest and the next differ by less than ``MIN_MARGIN`` of the next (as
+in a tie), the decision is marked as rejected (``lang_pred`` still names the smallest).  Texts are lower-cased and taken whole, in
 blocks, so that the dictionary also counts towards the end of a long one.
 
 Dictionaries are learned from a bounded sample: at most ``PIECES`` pieces of ``PIECE_CHARS`` characters a language,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 PIECES, PIECE_CHARS = 256, 512
 LEVEL = 6
 BLOCK = 8192
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.002
 #: Bytes of margin at which the score reaches 1 - 1/e.
 SCORE_SCALE = 4.0
 
@@ -61,7 +61,7 @@ class Classifier:
             self.compress.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode()
+        raw = f" {text.lower()} ".encode("utf-8", "replace")  # as a word stands inside the dictionary
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         return [sum(len(c(b)) for b in blocks) for c in self.compress]
 

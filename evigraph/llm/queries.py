@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, sharding, simhash, toxicity
+from . import langid, lm, mixing, packing, pii, sharding, simhash, toxicity
 from .common import crc_of_id
 
 
@@ -29,6 +29,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(*toxicity.sample(docs, labels)), ["doc_id", "held_out"])
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id(F.col("doc_id"), 7) == 2)
+    return lm.score(docs, docs.filter("not held_out"), ["doc_id", "held_out"])
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_of_id(F.col("doc_id"), 3) == 1)
     found = langid.predict(docs, langid.learn(docs.filter("not held_out")), ["doc_id", "held_out"])
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op6_lm": op6_lm,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
