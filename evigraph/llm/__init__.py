@@ -1 +1,8 @@
 """Operators for large training corpora.  Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks get these functions by value, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, packing, pii, sharding, simhash, toxicity
+from . import langid, lm, mixing, neardup, packing, pii, sharding, simhash, topk, toxicity
 from .common import crc_of_id
 
 
@@ -29,6 +29,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(*toxicity.sample(docs, labels)), ["doc_id", "held_out"])
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id(F.col("doc_id"), 7) == 2)
     return lm.score(docs, docs.filter("not held_out"), ["doc_id", "held_out"])
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_neardup": op4_neardup,
+    "op5_topk": op5_topk,
     "op6_lm": op6_lm,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
@@ -77,4 +87,12 @@ o AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.whole, r.quota, sum(d.
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - before)) AS BIGINT) AS taken FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+OP5_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}
