@@ -1,0 +1 @@
+"""Evidence-backed property graphs as Spark DataFrames."""
