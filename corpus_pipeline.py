@@ -20,8 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that of the smallest doc_id; of repeated rows, one."""
-    return simhash.keep_one(docs, words=5)
+    """Keeps one document of each group of near copies, as op10 links them (three words, two bits): that of the
+    smallest doc_id; of repeated rows, one."""
+    return simhash.keep_one(docs, words=3)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

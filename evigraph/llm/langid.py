@@ -78,21 +78,27 @@ class Classifier:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score, rejected."""
+    """The columns ``keep`` of ``docs`` with lang_pred, score, rejected; the text visits Python once."""
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    names = [*keep, "__text"]
-    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["lang_pred string", "score double", "rejected boolean"])
+    sent = [*keep, *([] if "text" in keep else ["text"])]
+    at = sent.index("text")
+    found = [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")]
+    clash = {n: f"__kept_{n}" for n in keep if n in dict(found)}
+    schema = ", ".join([f"`{clash.get(k, k)}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"{n} {t}" for n, t in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(held.value)
+        names = [*[clash.get(k, k) for k in keep], *[n for n, _ in found]]
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column(len(names) - 1)]
+            got = [model.predict(t.as_py()) for t in b.column(at)]
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected; only the text visits Python."""
-    return predict(docs.withColumns({"__" + c: F.col(c) for c in ("text",)}).drop("__text"), dictionaries, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    """The rows of ``docs``, all columns, whose language is not rejected."""
+    clash = {n: f"__kept_{n}" for n in docs.columns if n in ("lang_pred", "score", "rejected")}
+    kept = predict(docs, dictionaries, docs.columns).filter(~F.col("rejected"))
+    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
