@@ -148,3 +148,10 @@ def member_role(kind: Column) -> Column:
 def stereotype(kind_id: Column) -> Column:
     last = last_segment(kind_id)
     return F.when(last.isin("interface", "trait", "enum", "record"), F.concat(F.lit("<<"), last, F.lit(">>")))
+
+
+def project_id(identity: Column) -> Column:
+    """A version-4 shaped UUID from the SHA-256 of a project's identity."""
+    h = F.sha2(identity, 256)
+    variant = F.substring(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)), 1, 1)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"), F.lower(variant), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import field_type
@@ -78,3 +78,31 @@ def gate_violations(documents: DataFrame, must_hold: dict[str, str], must_not_co
     checks = [F.when(~F.coalesce(F.col("text").rlike(p), F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit("missing").alias("problem"))) for n, p in must_hold.items()]
     checks += [F.when(F.coalesce(F.col("text").rlike(p), F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit("forbidden").alias("problem"))) for n, p in must_not_contain.items()]
     return documents.select("path", F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("c")).select("path", "c.rule", "c.problem")
+
+
+def strip_tests(text: Column) -> Column:
+    """A Rust source up to its inline test module."""
+    return F.regexp_replace(text, r"(?s)#\[cfg\(test\)\]\s*mod\s+\w+\s*\{.*\z", "")
+
+
+def scope_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(scope, kind, value, problem) of a scope manifest (path, name, kind, value) against files (path, text).
+
+    files must exist; symbols must be declared visible somewhere; must_hold texts must occur; must_not_contain texts
+    must not, outside tests; tests is the least number of test functions.
+    """
+    m = manifest.select(F.col("name").alias("scope"), "kind", "value")
+    missing = m.filter("kind = 'files'").join(files.select(F.col("path").alias("value")), "value", "left_anti").withColumn("problem", F.lit("file is missing"))
+    body = files.select("path", "text", strip_tests(F.col("text")).alias("body"))
+    rules = m.filter("kind in ('symbols', 'must_hold', 'must_not_contain')")
+    # a manifest has few rules: every file looks at all of them in one pass
+    table = rules.agg(F.collect_list(F.struct("scope", "kind", "value")).alias("rules"))
+    visible = lambda v: F.regexp_like("body", F.concat(F.lit(r"(?m)^\s*(?:pub(?:\([^)]*\))?|export|public)\b[^\n]*\b"), F.regexp_replace(v, r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"\b")))
+    hit = lambda r: F.when(r["kind"] == "symbols", visible(r["value"])).otherwise(F.col("body").contains(r["value"]))
+    hits = body.join(F.broadcast(table), F.lit(True)).select(F.explode(F.filter("rules", lambda r: F.coalesce(hit(r), F.lit(False)))).alias("r")).select("r.*").distinct()
+    absent = rules.filter("kind <> 'must_not_contain'").join(hits, ["scope", "kind", "value"], "left_anti").withColumn("problem", F.when(F.col("kind") == "symbols", "symbol is not visible").otherwise("text is missing"))
+    present = hits.filter("kind = 'must_not_contain'").withColumn("problem", F.lit("text is forbidden"))
+    tests = files.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"(?m)^\s*#\[test\]|^\s*def test_|^func Test"))), F.lit(0)).alias("have"))
+    few = m.filter("kind = 'tests'").join(F.broadcast(tests), F.col("value").cast("long") > F.col("have")).select("scope", "kind", "value", F.lit("too few tests").alias("problem"))
+    order = ["scope", "kind", "value", "problem"]
+    return missing.select(order).unionAll(absent.select(order)).unionAll(present.select(order)).unionAll(few)
