@@ -126,7 +126,9 @@ def _plain(spark, d) -> DataFrame:
 
 
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    return _plain(spark, d).filter("not src like 'order:%' or not dst like 'part:%'"), star.elements(spark, d).select("id", F.col("kind_id").alias("label"))
+    # the predicate is a literal in each branch, so the branch of `uses` (and its aggregation) leaves the plan
+    e = star.edges(spark, d).filter("predicate_id <> 'core.uses'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    return e, star.elements(spark, d).select("id", F.col("kind_id").alias("label"))
 
 
 BOTH_SQL = "plain AS (SELECT source_id AS src, target_id AS dst FROM edges WHERE NOT (source_id LIKE 'order:%' AND target_id LIKE 'part:%')), both_ways AS (SELECT src, dst FROM plain UNION SELECT dst, src FROM plain)"
