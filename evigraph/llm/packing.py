@@ -54,11 +54,21 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit into 16 bits")
+        self.model = self.tokenizer.model
         self.ends = {c: self._direct(c) for c in ".,;:!?"}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = {b for b in range(256) if chr(b).isprintable() and chr(b) != " "}
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Of a lower-case word of letters only: one piece for the model, without the tokenizer's rules around it."""
+        piece = word.encode().decode("latin-1").translate(self.letters)
+        return np.asarray([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
+
     def __missing__(self, part: str) -> bytes:
         plain = part.isascii() or max(part) < "Ā"  # lower-casing and composing change these one by one
         if plain and "<|" not in part:
@@ -67,6 +77,8 @@ class Encoder(dict):
                 out = self[lower]
             elif part[-1] in self.ends and part[-2:-1].isalpha():
                 out = self[part[:-1]] + self.ends[part[-1]]
+            elif part.isalpha():
+                out = self._word(part)
             else:
                 out = self._direct(part)
         else:
