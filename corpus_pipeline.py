@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import common, langid, mixing, packing, pii, simhash
+from evigraph.llm import common, langid, mixing, nearcopies, packing, pii
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, as op10 links them (three words, two bits): that of the
-    smallest doc_id; of repeated rows, one."""
-    return simhash.keep_one(docs, words=3)
+    """Keeps one document of each group of near copies: texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more are linked.  It is that of the smallest doc_id; of repeated rows, one."""
+    return nearcopies.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,20 +36,33 @@ BLOCKS = tuple(combinations(range(4), 2))
 EXPAND = 1 << 20
 
 
-def fingerprint(text: bytes | None, words: int, seed: int = SEED) -> int:
-    """Of a UTF-8 text; A-Z are lower-cased, shingles have ``words`` words and count as often as they occur."""
+def shingle_hashes(text: bytes | None, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 values of a UTF-8 text's word shingles, in order and with repeats; none without words.  A-Z are
+    lower-cased; fewer than ``words`` words are one shingle."""
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
     grams = [b" ".join(w)] if len(w) <= words else list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)))
-    n = len(grams)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8", count=len(grams))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles: each bit as most of them have it; 0 without any."""
+    n = len(hashes)
+    if not n:
+        return 0
     h = np.zeros(-(-n // 255) * 255, dtype="<u8")  # added zeros set no bit
-    h[:n] = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8", count=n)
+    h[:n] = hashes
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 255, 64)
     ones = bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, words: int, seed: int = SEED) -> int:
+    """Of a UTF-8 text; A-Z are lower-cased, shingles have ``words`` words and count as often as they occur."""
+    return fold(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 

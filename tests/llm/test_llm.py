@@ -398,3 +398,26 @@ def test_pipeline_stages_take_effect(spark, folder):
     assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
     third = corpus_pipeline.redact(spark, second, DATA)
     assert all(not base_spans(r["text"]) for r in third.collect())
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    rng = random.Random(8)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    words = [f"word{i}" for i in range(3000)]
+    rows = {}
+    for k in range(40):
+        text = [rng.choice(words) for _ in range(200)]
+        for copy in range(6):
+            t = list(text)
+            for _ in range(copy * (1 + k % 2)):
+                t[rng.randrange(200)] = rng.choice(words)
+            rows[100 * k + copy] = " ".join(t)
+    root = {i: i for i in rows}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    pairs = [(i, j) for i in rows for j in rows if i < j and i // 100 == j // 100 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(6):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    got = corpus_pipeline.near_dedup(spark, documents(spark, [(i, t, "en", "s") for i, t in rows.items()]), DATA)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
+    assert len(set(root.values())) < 0.6 * len(rows)
