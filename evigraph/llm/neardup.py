@@ -2,10 +2,11 @@
 
 Equal vectors (of equal label) are one node.  A first neighbour graph comes from sorted random projections; then
 rounds of neighbours-of-neighbours joins refine it: the nodes around a centre are compared with each other, and each
-keeps its nearest ``NEAREST``.  Vectors travel as 8-bit numbers there.  Edges near the threshold give candidate
-components.  A list that is full of edges above the threshold is saturated; lists are enlarged to all of their
-component, whose members are compared in blocks, exactly and in double precision.  So what is reported is right for
-every pair inside a candidate component, and only a pair in no path of edges can be missed.
+keeps its nearest ``NEAREST``.  Vectors travel as 8-bit numbers there.  A list that is full of edges above the threshold
+is saturated and hides others, so every edge that was met near the threshold is kept besides the lists, and each
+further round doubles the lists.  All these edges give candidate components, whose members are compared in blocks,
+exactly and in double precision.  So what is reported is right for every pair inside a candidate component, and only a
+pair in no path of edges can be missed.
 
 An audit compares ``AUDITED`` nodes with all rows exactly; while fewer than ``RECALL`` of their links are found, another
 round with new projections follows, up to ``AUDITS`` times.
@@ -18,6 +19,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,12 +131,13 @@ def nearest(edges: DataFrame, k: int = NEAREST) -> DataFrame:
     return edges.repartition("a").sortWithinPartitions("a", F.col("sim").desc(), "b").mapInArrow(run, "a long, b long, sim float")
 
 
-def descend(lists: DataFrame, small: DataFrame) -> DataFrame:
-    """One round: members of every centre's neighbourhood are compared with each other."""
+def descend(lists: DataFrame, small: DataFrame, k: int, near: float) -> DataFrame:
+    """One round: members of every centre's neighbourhood are compared with each other.  Edges that enter a list of k,
+    and all from ``near`` up."""
     popular = lists.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("k"), "n")
-    back = lists.join(popular, F.col("b") == F.col("k")).filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) * F.col("n") < NEAREST << 20).select(F.col("b").alias("c"), F.col("a").alias("x"))
+    back = lists.join(popular, F.col("b") == F.col("k")).filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) * F.col("n") < k << 20).select(F.col("b").alias("c"), F.col("a").alias("x"))
     around = lists.select(F.col("a").alias("c"), F.col("b").alias("x")).unionAll(back).unionAll(lists.select(F.col("a").alias("c"), F.col("a").alias("x")).distinct()).distinct()
-    worst = lists.groupBy("a").agg(F.when(F.count("*") >= NEAREST, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+    worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     known = small.join(worst, small.node == worst.a, "left").select("node", "small", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def descend(lists: DataFrame, small: DataFrame) -> DataFrame:
                 top = np.argpartition(-sim, min(OFFERS, hi - lo - 1) - 1, axis=1)[:, : min(OFFERS, hi - lo - 1)]
                 row = np.repeat(np.arange(hi - lo), top.shape[1])
                 s = sim[row, top.ravel()]
-                keep = s > worst[lo + row]
+                keep = (s > worst[lo + row]) | (s >= near)
                 out_a.append(x[lo + row[keep]])
                 out_b.append(x[lo + top.ravel()[keep]])
                 out_s.append(s[keep])
@@ -160,8 +163,12 @@ def descend(lists: DataFrame, small: DataFrame) -> DataFrame:
                 yield _edges(np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s))
 
     met = around.join(known, F.col("x") == F.col("node")).select("c", "x", "small", "worst")
-    offers = met.repartition("c").sortWithinPartitions("c").mapInArrow(run, "c long, x long, sim float").toDF("a", "b", "sim")
-    return nearest(lists.unionAll(offers))
+    return met.repartition("c").sortWithinPartitions("c").mapInArrow(run, "c long, x long, sim float").toDF("a", "b", "sim")
+
+
+def strong(edges: DataFrame, near: float) -> DataFrame:
+    """Pairs a < b of the edges from ``near`` up."""
+    return edges.filter(F.col("sim") >= near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def compare(members: DataFrame, threshold: float) -> DataFrame:
@@ -245,15 +252,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(_small(unit(_matrix(own))), pa.binary())], names=["node", "small"])
 
     small = materialize(nodes.select("node", "e").mapInArrow(shrink, "node long, small binary"), "nn-small")
-    lists = None
+    lists, kept, near = None, [], threshold - BLUR
     for turn in range(AUDITS + 1):
-        more = first_graph(nodes, turn)
-        lists = materialize(nearest(more if lists is None else lists.unionAll(more)), "nn-lists")
+        k = NEAREST << turn
+        more = materialize(first_graph(nodes, turn), "nn-first")
+        kept.append(materialize(strong(more, near), "nn-strong"))
+        lists = materialize(nearest(more if lists is None else lists.unionAll(more), k), "nn-lists")
+        discard(more)
         for _ in range(DESCENTS):
-            following = materialize(descend(lists, small), "nn-lists")
+            offers = materialize(descend(lists, small, k, near), "nn-offers")
+            kept.append(materialize(strong(offers, near), "nn-strong"))
+            following = materialize(nearest(lists.unionAll(offers), k), "nn-lists")
             discard(lists)
+            discard(offers)
             lists = following
-        found = components(lists.filter(F.col("sim") >= threshold - BLUR).select("a", "b"), "nn-near")
+        found = components(reduce(DataFrame.unionAll, kept), "nn-near")
         members = found.join(nodes, "node").select(F.col("component").alias("comp"), "node", "label", "e", "copies")
         links = materialize(compare(members, threshold), "nn-links")
         counts = materialize(links.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "nn-counts")

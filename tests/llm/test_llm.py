@@ -207,6 +207,19 @@ def test_neardup_matches_brute_force(spark):
     assert all(got[i]["n_links"] <= linked[k].sum() for k, i in enumerate(ids))
 
 
+def test_neardup_links_tight_clumps(spark):
+    rng = np.random.default_rng(6)
+    rows, centre = [], rng.normal(size=16)
+    centre /= np.linalg.norm(centre)
+    side = rng.normal(size=16)
+    side -= side @ centre * centre
+    side *= 0.15 / np.linalg.norm(side)
+    for k in range(80):  # 40 and 40, at cosine 0.989 across, one label; each list of 12 is full of its own clump
+        rows.append((k, [float(x) for x in centre + (k % 2) * side + rng.normal(size=16) * 0.001], 0))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)}
+
+
 def test_topk_odd_vectors(spark, folder):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in queries.op5_topk(spark, f"{folder}/rows").collect()}
     assert {v for q, v in got if q == 0} == {1, 3, 6, 100} and got[0, 100] == 1024 * 512
