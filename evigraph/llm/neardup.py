@@ -8,8 +8,10 @@ further round doubles the lists.  All these edges give candidate components, who
 exactly and in double precision.  So what is reported is right for every pair inside a candidate component, and only a
 pair in no path of edges can be missed.
 
-An audit compares ``AUDITED`` nodes with all rows exactly; while fewer than ``RECALL`` of their links are found, another
-round with new projections follows, up to ``AUDITS`` times.
+A round descends until hardly any list changes; the codes' bits grow with the rows.  An audit compares ``AUDITED`` nodes
+with all rows exactly, and more of them until ``SEEN`` links are known.  While fewer than ``RECALL`` of these are found,
+another round with new projections follows, up to ``AUDITS`` times; after that, or if ``MOST`` audited nodes show too few
+links to tell, all pairs of each label are compared in blocks.
 
 Defined results: null labels, null, empty, zero and non-finite vectors link with nothing; vectors of different length
 neither; repeated rows are vectors of their own (their ids make one component); an empty table gives an empty result;
@@ -31,12 +33,14 @@ from .components import components
 from .topk import usable
 
 THRESHOLD = 0.98
-NEAREST, DESCENTS = 12, 3
+NEAREST = 12
+#: Descents go on while more than this share of the list entries is new.
+CHANGED = 0.01
 TABLES, BITS, STRETCH = 8, 12, 4
 #: What 8-bit numbers may take from a cosine, with room.
 BLUR = 0.008
 BLOCK = 1024
-AUDITED, RECALL, AUDITS = 512, 0.99, 2
+AUDITED, MOST, SEEN, RECALL, AUDITS = 512, 8192, 200, 0.99, 2
 #: A centre passes on so many partners of a node at most; rounds repeat, and the final comparison is complete.
 OFFERS = 4
 
@@ -69,8 +73,8 @@ def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float32())], names=["a", "b", "sim"])
 
 
-def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
-    """Both directions of edges between neighbours in sorted projections."""
+def first_graph(nodes: DataFrame, seed: int, bits: int = BITS) -> DataFrame:
+    """Both directions of edges between neighbours in sorted projections, with codes of ``bits`` bits."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,11 +84,11 @@ def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
                 u = unit(_matrix(own))
                 small = pa.array(_small(u), pa.binary())
                 for t in range(TABLES):
-                    planes = np.random.default_rng([seed, t, int(d)]).normal(size=(d, BITS + 1))
+                    planes = np.random.default_rng([seed, t, int(d)]).normal(size=(d, bits + 1))
                     p = u @ planes
-                    code = ((p[:, :BITS] > 0) << np.arange(BITS)).sum(axis=1)
+                    code = ((p[:, :bits] > 0) << np.arange(bits)).sum(axis=1)
                     n = own.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), own.column(1), pa.array(np.full(n, d, dtype=np.int32)), pa.array(code, pa.int64()), pa.array(p[:, BITS]), own.column(0), small], names=["t", "label", "dims", "code", "along", "node", "small"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, dtype=np.int32)), own.column(1), pa.array(np.full(n, d, dtype=np.int32)), pa.array(code, pa.int64()), pa.array(p[:, bits]), own.column(0), small], names=["t", "label", "dims", "code", "along", "node", "small"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -212,9 +216,20 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
     return m.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "kind int, a long, b long")
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int) -> float:
-    """Share of the links of AUDITED nodes, by a hash, that were found."""
-    some = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(AUDITED).select("node", "label", "e").collect()
+def audit(nodes: DataFrame, n: int, counts: DataFrame, threshold: float, seed: int) -> float | None:
+    """Share of the links of AUDITED or more of the n nodes, by a hash, that were found; None: too few links to tell."""
+    links = found = at = 0
+    while at < min(n, MOST) and links < SEEN:
+        more = audit_some(nodes, counts, threshold, seed, at)
+        links, found, at = links + more[0], found + more[1], at + AUDITED
+    if links < SEEN and at < n:
+        return None
+    return found / links if links else 1.0
+
+
+def audit_some(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int, skip: int) -> tuple[int, int]:
+    """Links of AUDITED nodes after the first ``skip``, and how many of them were found."""
+    some = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").offset(skip).limit(AUDITED).select("node", "label", "e").collect()
     held = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["label"], np.array(r["e"], dtype=np.float64)) for r in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +248,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int) -> f
 
     truth = nodes.select("node", "label", "e", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     got = truth.join(counts.select(F.col("node").alias("k"), "links"), F.col("node") == F.col("k"), "left").agg(F.sum("n"), F.sum("links")).first()
-    return 1.0 if not got[0] else (got[1] or 0) / got[0]
+    return got[0] or 0, got[1] or 0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -251,27 +266,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 own = b.filter(pa.array(lengths == d))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(_small(unit(_matrix(own))), pa.binary())], names=["node", "small"])
 
+    def compared(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = materialize(compare(members, threshold), "nn-links")
+        return links, materialize(links.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "nn-counts")
+
+    n = nodes.count()
+    bits = min(62, max(BITS, (n // 16).bit_length()))  # some 16 vectors a code
     small = materialize(nodes.select("node", "e").mapInArrow(shrink, "node long, small binary"), "nn-small")
     lists, kept, near = None, [], threshold - BLUR
     for turn in range(AUDITS + 1):
         k = NEAREST << turn
-        more = materialize(first_graph(nodes, turn), "nn-first")
+        more = materialize(first_graph(nodes, turn, bits), "nn-first")
         kept.append(materialize(strong(more, near), "nn-strong"))
         lists = materialize(nearest(more if lists is None else lists.unionAll(more), k), "nn-lists")
         discard(more)
-        for _ in range(DESCENTS):
+        while True:
             offers = materialize(descend(lists, small, k, near), "nn-offers")
             kept.append(materialize(strong(offers, near), "nn-strong"))
             following = materialize(nearest(lists.unionAll(offers), k), "nn-lists")
+            entries, new = following.count(), following.join(lists, ["a", "b"], "left_anti").count()
             discard(lists)
             discard(offers)
             lists = following
+            if new <= CHANGED * entries:
+                break
         found = components(reduce(DataFrame.unionAll, kept), "nn-near")
         members = found.join(nodes, "node").select(F.col("component").alias("comp"), "node", "label", "e", "copies")
-        links = materialize(compare(members, threshold), "nn-links")
-        counts = materialize(links.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "nn-counts")
-        if turn == AUDITS or audit(nodes, counts, threshold, turn) >= RECALL:
+        links, counts = compared(members)
+        share = audit(nodes, n, counts, threshold, turn)
+        if share is None or share >= RECALL:
             break
+    if share is None or share < RECALL:
+        links, counts = compared(nodes.select(F.col("label").alias("comp"), "node", "label", "e", "copies"))
     joined = components(links.filter("kind = 1").select("a", "b"), "nn-joined").withColumnRenamed("node", "k")
     of_node = nodes.join(joined, F.col("node") == F.col("k"), "left").withColumn("component", F.coalesce("component", "node")).drop("k")
     heads = of_node.groupBy("component").agg(F.min("least").alias("head")).withColumnRenamed("component", "c")

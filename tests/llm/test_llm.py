@@ -220,6 +220,17 @@ def test_neardup_links_tight_clumps(spark):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(79, 0)}
 
 
+def test_neardup_compares_all_where_the_search_misses(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 16))
+    v[30:] = v[:30] + rng.normal(size=(30, 16)) * 0.01
+    nothing = lambda nodes, *_: nodes.sparkSession.createDataFrame([], "a long, b long, sim float")
+    monkeypatch.setattr(neardup, "first_graph", nothing)
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: (1, i % 30) for i in range(60)}
+
+
 def test_topk_odd_vectors(spark, folder):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in queries.op5_topk(spark, f"{folder}/rows").collect()}
     assert {v for q, v in got if q == 0} == {1, 3, 6, 100} and got[0, 100] == 1024 * 512
