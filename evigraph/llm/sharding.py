@@ -2,8 +2,8 @@
 
 Rows of equal text form a group.  Groups are gathered into a fixed number of hash units, so what the driver packs
 does not grow with the data; each unit is placed on the shard whose residual capacity has the highest dot product
-with the unit's (bytes, tokens, rows), largest units first.  A unit that holds more than ``HOT`` of the bytes or rows
-is split by document first; only then are equal texts dealt to several shards.
+with the unit's (bytes, tokens, rows), largest units first.  A text whose copies hold more than ``HOT`` of the bytes,
+tokens or rows makes units of its own, split by document; only such texts are dealt to several shards.
 
 Defined results: a null text has no bytes (size 1, crc32 0) and is a group of its own; repeated rows get slots of
 their own; an empty table gives an empty result; other columns are not read.
@@ -19,7 +19,7 @@ from .common import materialize, word_count
 
 SHARDS = 8
 UNITS = 4096
-#: Share of the whole above which a unit is split, and the share that each part of it gets.
+#: Share of the whole above which the rows of a text are split, and the share that each part of it gets.
 HOT, PART = 1 / 64, 1 / 512
 
 
@@ -45,26 +45,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFram
     digest = materialize(
         docs.select(
             "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), word_count(text).alias("tokens"),
-            F.pmod(F.xxhash64(text), F.lit(units)).cast("int").alias("unit"), F.xxhash64("doc_id", F.lit(1)).alias("salt"),
+            F.xxhash64(text).alias("key"), F.xxhash64("doc_id", F.lit(1)).alias("salt"),
         ),
         "shard-digest",
     )
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    first = digest.groupBy("unit").agg(*sums).orderBy("unit").collect()  # at most `units` rows
+    total = digest.agg(*sums).first()
+    share = F.greatest(*[F.col(k) / F.lit(max(total[k] or 0, 1)) for k in ("bytes", "tokens", "rows")])
+    hot = digest.groupBy("key").agg(*sums).select("key", share.alias("share")).filter(F.col("share") > HOT).orderBy("key").collect()  # at most 3 / HOT texts
+    unit, part = F.pmod("key", F.lit(units)).cast("int"), F.lit(0)
+    if hot:
+        nth = F.array_position(F.array(*[F.lit(r["key"]).cast("long") for r in hot]), F.col("key")).cast("int")
+        parts = F.array(*[F.lit(int(np.ceil(r["share"] / PART))) for r in hot])
+        unit = F.when(nth > 0, nth - 1 + units).otherwise(unit)
+        part = F.when(nth > 0, F.pmod("salt", F.get(parts, nth - 1)).cast("int")).otherwise(part)
+    digest = digest.withColumn("unit", unit).withColumn("part", part)
+    first = digest.groupBy("unit", "part").agg(*sums).orderBy("unit", "part").collect()  # at most units + 3 / PART + 3 / HOT rows
     v = np.array([[r["bytes"], r["tokens"], r["rows"]] for r in first], dtype=float).reshape(-1, 3)
-    share = (v / np.maximum(v.sum(axis=0), 1)).max(axis=1, initial=0)
-    splits = {r["unit"]: int(np.ceil(x / PART)) for r, x in zip(first, share, strict=True) if x > HOT}  # at most 3 / HOT units
-    part = F.lit(0)
-    for unit, n in splits.items():
-        part = F.when(F.col("unit") == unit, F.pmod("salt", F.lit(n)).cast("int")).otherwise(part)
-    digest = digest.withColumn("part", part)
-    if splits:
-        first = digest.groupBy("unit", "part").agg(*sums).orderBy("unit", "part").collect()  # at most units + 3 / PART rows
-        v = np.array([[r["bytes"], r["tokens"], r["rows"]] for r in first], dtype=float).reshape(-1, 3)
     where = place(v, shards) if len(first) else np.zeros(0, dtype=np.int64)
     used, rows = [0] * shards, []
     for r, k in zip(first, where, strict=True):
-        rows.append((r["unit"], r["part"] if splits else 0, int(k), used[k]))
+        rows.append((r["unit"], r["part"], int(k), used[k]))
         used[k] += r["rows"]
     placed = spark.createDataFrame(rows, "unit int, part int, shard int, base long")
     within = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "size")

@@ -348,6 +348,16 @@ def test_sharding_balances_and_numbers(spark):
     assert (load.max(axis=0) < 1.03 * load.mean(axis=0)).all()
 
 
+def test_sharding_keeps_other_copies_together(spark):
+    rows = [(i, "hot text", "en", "s") for i in range(200)] + [(1000 + i, f"text {i % 30:03d}", "en", "s") for i in range(90)]
+    got = sharding.shard(documents(spark, rows), units=4).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+    assert len(got) == 290 and len(shards[zlib.crc32(b"hot text")]) == 8
+    assert all(len(shards[zlib.crc32(f"text {i:03d}".encode())]) == 1 for i in range(30))
+
+
 def plain_print(text, n=3):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.split("[\x20\x09-\x0d]+", text or "") if x]
     if not w:
