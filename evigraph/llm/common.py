@@ -88,6 +88,15 @@ def sorted_groups(
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def ragged(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places start[i] to start[i] + size[i] - 1 for every i of ``which``, one after another."""
+    k = size[which]
+    ends = np.cumsum(k)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 30 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
+    return np.repeat((start[which] - (ends - k)).astype(kind), k) + np.arange(total, dtype=kind)
+
+
 def fixed_matrix(column: pa.ChunkedArray | pa.Array, dtype: str, width: int) -> np.ndarray:
     """Binary values of one equal length as the rows of a matrix."""
     values = column.to_pylist()

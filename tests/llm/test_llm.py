@@ -127,7 +127,7 @@ def test_packing_is_a_partition_of_all_ids(spark, odd, small):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     ids = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     pieces, by_sequence = defaultdict(list), defaultdict(list)
-    for r in packing.pack(docs, shard_docs=50).collect():
+    for r in packing.pack(docs, shard_docs=20).collect():
         pieces[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append(r)
     assert set(pieces) == set(ids)
@@ -146,15 +146,73 @@ def test_packing_is_a_partition_of_all_ids(spark, odd, small):
         assert at <= 4096 and at & (at - 1) == 0  # whole, or a power of two: no padding
 
 
+def bags_of(rests):
+    return [np.unique(r, return_counts=True) for r in rests]
+
+
 def test_packing_puts_like_with_like():
     rng = np.random.default_rng(1)
     topics = [np.arange(k * 1000, k * 1000 + 300) for k in range(4)]
     rests = [rng.choice(topics[k % 4], 1000).astype("<u2") for k in range(32)]
     idf = np.ones(1 << 16)
-    whole = [s for s in packing.pack_shard(rests, idf, 1000.0) if len(s) > 3]
+    whole = [s for s in packing.pack_shard(rests, bags_of(rests), np.full(32, 1000), idf, 1000.0) if len(s) > 3]
     assert all(len({d % 4 for d, _, _ in s}) <= 2 for s in whole)
 
 
+def test_packing_fills_in_the_order_of_plain_bm25():
+    rng = np.random.default_rng(2)
+    rests = [rng.integers(0, 60, rng.integers(300, 900)).astype("<u2") for _ in range(25)]
+    counts = [Counter(r.tolist()) for r in rests]
+    idf = np.zeros(1 << 16)
+    for t in range(60):
+        df = sum(t in c for c in counts)
+        idf[t] = math.log1p((25 - df + 0.5) / (df + 0.5))
+    mean = float(np.mean([len(r) for r in rests]))
+
+    def bm25(q, d):
+        return sum(idf[t] * counts[d][t] * 2.2 / (counts[d][t] + 1.2 * (0.25 + 0.75 * len(rests[d]) / mean)) for t in counts[q])
+
+    left = {d: len(r) for d, r in enumerate(rests)}
+    for sequence in packing.pack_shard(rests, bags_of(rests), np.array([len(r) for r in rests]), idf, mean):
+        seed = sequence[0][0]
+        assert seed == min(d for d in left if left[d])
+        ranked = [seed, *sorted((d for d in left if left[d] and d != seed), key=lambda d: (-round(bm25(seed, d), 9), d))]
+        assert [d for d, _, _ in sequence] == ranked[: len(sequence)]
+        for d, _, k in sequence:
+            left[d] -= k
+    assert not any(left.values())
+
+
+def test_packing_shards_hold_neighbours_and_split_repeats(spark):
+    """Near texts meet in a shard though their ids say nothing; rows of one id and text fill several shards."""
+    rng = random.Random(4)
+    topics = [[f"{chr(97 + k)}{''.join(rng.choices('bcdfg', k=5))}" for _ in range(60)] for k in range(20)]
+    rows = [(i, " ".join(rng.choices(topics[i % 20], k=40)), "en", "s") for i in range(400)]
+    docs = documents(spark, rows)
+    tokens = packing.tokenized(docs, packing.default_tokenizer()).withColumn("row", F.monotonically_increasing_id()).cache()
+    count = packing.frequencies(tokens)
+    place = {r["doc_id"]: r["place"] for r in packing.placed(tokens, packing.draws(np.log1p((400 - count + 0.5) / (count + 0.5)), count)).collect()}
+    order = sorted(place, key=lambda i: (place[i], i * 7919 % 400))
+    same = sum(a % 20 == b % 20 for x in range(0, 400, 40) for k, a in enumerate(order[x : x + 40]) for b in order[x : x + k])
+    pairs = 10 * 40 * 39 / 2
+    assert same / pairs > 3 * (19 / 399)
+    hot = documents(spark, [(None, "one and the same", "en", "s")] * 300 + [(7, "x", "en", "s")] * 300)
+    got = packing.pack(hot, shard_docs=20).collect()
+    assert len(got) >= 600 and sum(r["length"] for r in got) == 300 * 5 + 300 * 2
+    assert len({r["sequence_id"] >> 36 for r in got}) > 1
+
+
+def test_encoder_is_the_tokenizer():
+    import pyarrow as pa
+
+    encoder = packing.Encoder(packing.default_tokenizer())
+    rng, letters = random.Random(1), list("abzABZ éÉñß'stredvlm019.,!?<|>\t\n\x0b\x1c\x1f\x85\xa0 ª²½µÿŸİıſKǅ́Å中あ😀\x00\x7f$%_-")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(3000)]
+    texts += [f"x <|endoftext|> {t}I'll don't WE'VE 'S's" for t in texts[:100]] + [None, "", "a" * 20_000]
+    for t, ids in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert encoder.tokenizer.encode(t or "", add_special_tokens=False).ids == ids.tolist()
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 def test_toxicity_learns_held_out_words():
     rng = random.Random(5)
