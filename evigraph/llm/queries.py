@@ -39,7 +39,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_of_id(F.col("doc_id"), 7) == 2)
-    return lm.score(docs, docs.filter("not held_out"), ["doc_id", "held_out"])
+    return lm.score(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

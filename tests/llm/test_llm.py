@@ -308,13 +308,12 @@ def test_topk_stops_only_on_proof():
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
-def test_lm_counts_and_normalisation(spark, small, monkeypatch):
+def test_lm_counts(spark, small, monkeypatch):
     monkeypatch.setattr(lm, "COMMON", 2e-3)
-    docs = documents(spark, [(i, t, "en", "s") for i, t in small] + [(900, None, "en", "s"), (901, "ÀA a b", "en", "s")])
-    train = docs.filter("doc_id % 7 <> 2")
-    rows = {r["doc_id"]: r for r in lm.score(docs, train, ["doc_id"]).collect()}
+    docs = documents(spark, [(i, t, "en", "s") for i, t in small] + [(900, None, "en", "s"), (901, "ÀA a b", "en", "s")])
+    rows = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") % 7 != 2, ["doc_id"]).collect()}
     counts = Counter()
-    texts = dict(small) | {900: None, 901: "ÀA a b"}
+    texts = dict(small) | {900: None, 901: "ÀA a b"}
     for i, t in texts.items():
         if i % 7 != 2:
             counts.update([*(t or "").encode().lower().split(), None])
@@ -324,21 +323,61 @@ def test_lm_counts_and_normalisation(spark, small, monkeypatch):
         assert rows[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w))
         assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert rows[i]["score"] < 0
-    held = [rows[i] for i in texts if i % 7 == 2]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_lm_probabilities_sum_to_one_and_training_helps():
-    rng = np.random.default_rng(0)
-    w = lm.fresh_weights(rng.integers(1, 50, lm.HEAD + 1).astype(float))
-    text = np.tile(np.array([3, 70, 900, lm.HEAD + 5, 0]), 400)
-    before = lm.log_probability(w, text, np.array([0])).sum()
-    lm.train_pass(w, iter([(text, np.array([0]))] * 5))
-    after = lm.log_probability(w, text, np.array([0])).sum()
-    assert after > before
-    total = sum(10 ** lm.log_probability(w, np.array([3, 70, x]), np.array([0]))[2] for x in [*range(lm.HEAD), lm.HEAD])
-    assert total == pytest.approx(1, abs=1e-4)
-    assert lm.text_scores(w, [text, text[:3]], most=64) == pytest.approx([after, lm.log_probability(w, text[:3], np.array([0])).sum()])
+
+
+def test_lm_scores_do_not_depend_on_tasks_and_beat_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = None
+    for parts in (1, 4, 16):
+        rows = {r["doc_id"]: r for r in lm.score(docs.repartition(parts, "n_chars"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2, ["doc_id"]).collect()}
+        if seen:
+            assert all(abs(rows[i]["score"] - r["score"]) <= 1e-6 * abs(r["score"]) for i, r in seen.items())
+        seen = rows
+    held = [r for i, r in seen.items() if zlib.crc32(str(i).encode()) % 7 == 2]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.1
+
+
+def test_lm_is_the_plain_model(spark, monkeypatch):
+    """Scores against sums over all words, written out, and probabilities that add up to one."""
+    monkeypatch.setattr(lm, "LEAST", 3)
+    rng = random.Random(2)
+    words = ["aa", "ba", "ca", "ab", "bb", "cb", "ccc", "d"]
+    docs = documents(spark, [(i, " ".join(rng.choices(words, k=rng.randint(0, 12))), "en", "s") for i in range(60)] + [(60, "once twice", "en", "s")])
+    kept = {}
+    for name in ("train_classes", "train_words", "Symbols"):
+        def keep(*args, name=name, real=getattr(lm, name)):
+            kept[name] = real(*args)
+            return kept[name]
+        monkeypatch.setattr(lm, name, keep)
+    rows = lm.score(docs, F.lit(True), ["doc_id", "text"]).collect()
+    w, symbols = kept["train_classes"] | kept["train_words"], kept["Symbols"]
+    counts = Counter(x for r in rows for x in r["text"].split())
+    common = [x.decode() for x in symbols.common.to_pylist()]
+    c_all = symbols.classes + 1
+
+    def chances(before, skipped):
+        z = np.array([w["bias"][c] + w["before"][before, c] + w["skip"][skipped, c] + w["pair"][before * lm.PAIRS + int(lm.pair_of(np.array([skipped]))[0]), c] for c in range(c_all)])
+        of_class, out = np.exp(z) / np.exp(z).sum(), {}
+        for c in range(c_all):
+            own = np.flatnonzero(symbols.of_class == c)
+            cell = lm.cell_of(np.array(before), symbols.place[own], w["cells"][c])
+            e = np.exp(w["word"][own] + w["u"][w["at"][c] + cell])
+            out |= dict(zip(own.tolist(), of_class[c] * e / e.sum()))
+        return out
+
+    assert sum(chances(3, 5).values()) == pytest.approx(1)
+    for r in rows[:8] + rows[-1:]:
+        total, before, skipped = 0.0, symbols.classes, symbols.classes
+        for x in [*r["text"].split(), None]:
+            c = symbols.classes if x is None else zlib.crc32(x[-2:].encode()) % symbols.classes
+            s = 0 if x is None else 1 + common.index(x) if x in common else 1 + len(common) + c
+            p = chances(before, skipped)[s]
+            if s > len(common):
+                tail = [k for k in counts if k not in common and zlib.crc32(k[-2:].encode()) % symbols.classes == c]
+                p *= (counts[x] + 1) / (sum(counts[k] for k in tail) + len(tail) + 1)
+            total, before, skipped = total + math.log10(p), c, before
+        assert r["score"] == pytest.approx(total, rel=1e-5)
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------
