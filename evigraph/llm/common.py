@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_WITH_LEAD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Tables that this process wrote.
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
+    """The shared folder of the cluster (``spark.checkpoint.dir``).  Where it is unset a local session gets a temporary
+    folder; any other is refused, since executors would write to disks of their own."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="evigraph-")
@@ -35,22 +40,51 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/evigraph-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that :func:`materialize` wrote, once no later plan reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/evigraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns as a table of its own; the tables that were written on the way are deleted."""
+    before = len(_WRITTEN)
+    out = materialize(make(), tag)
+    for path in _WRITTEN[before:-1]:
+        _delete(out.sparkSession, path)
+    del _WRITTEN[before:-1]
+    return out
+
+
+def boxed(docs: DataFrame, used: Sequence[str]) -> DataFrame:
+    """The columns ``used`` (those that are there) of ``docs``, and all others in one struct ``box``, under made-up names:
+    whatever they are called, they clash with nothing."""
+    others = [F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in used]
+    return docs.select(*[c for c in docs.columns if c in used], F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("box"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, used: Sequence[str]) -> DataFrame:
+    """The columns of ``docs``, as :func:`boxed` put them away, from ``df``."""
+    return df.select(*[F.col(c) if c in used else F.col(f"box.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def named(name: str) -> Column:
     """The column of just this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(_quoted(name))
 
 
 def word_count(text: Column) -> Column:

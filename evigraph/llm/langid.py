@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, named, unboxed
+
 PIECES, PIECE_CHARS = 256, 512
 LEVEL = 6
 BLOCK = 8192
@@ -81,24 +83,22 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str]) ->
     """The columns ``keep`` of ``docs`` with lang_pred, score, rejected; the text visits Python once."""
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     sent = [*keep, *([] if "text" in keep else ["text"])]
-    at = sent.index("text")
-    found = [("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")]
-    clash = {n: f"__kept_{n}" for n in keep if n in dict(found)}
-    schema = ", ".join([f"`{clash.get(k, k)}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"{n} {t}" for n, t in found])
+    at, n = sent.index("text"), len(keep)
+    names = [*[f"__{i}" for i in range(n)], "lang_pred", "score", "rejected"]
+    kinds = [*[docs.schema[k].dataType.simpleString() for k in keep], "string", "double", "boolean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(held.value)
-        names = [*[clash.get(k, k) for k in keep], *[n for n, _ in found]]
         for b in batches:
             got = [model.predict(t.as_py()) for t in b.column(at)]
             lang, score, rejected = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
-    return docs.select(*sent).mapInArrow(run, schema)
+    found = docs.select(*[named(c).alias(f"__{i}") for i, c in enumerate(sent)]).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in zip(names, kinds, strict=True)))
+    return found.select(*[F.col(f"__{i}").alias(k) for i, k in enumerate(keep)], *names[n:])
 
 
 def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is not rejected."""
-    clash = {n: f"__kept_{n}" for n in docs.columns if n in ("lang_pred", "score", "rejected")}
-    kept = predict(docs, dictionaries, docs.columns).filter(~F.col("rejected"))
-    return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    kept = predict(boxed(docs, ["text"]), dictionaries, ["text", "box"]).filter(~F.col("rejected"))
+    return unboxed(kept, docs, ["text"])

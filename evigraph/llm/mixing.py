@@ -21,14 +21,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_WITH_LEAD, materialize, word_count
+from .common import WORD_WITH_LEAD, boxed, materialize, unboxed, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Hash buckets of a source; only the one at the boundary is sorted by document.
-BUCKET_DIGITS = 3
+#: Hash buckets of a source, in two steps: the words of all coarse ones are added up, then those of the fine ones in the
+#: coarse one at the boundary; only the fine one at the boundary is sorted by document (1 / 16**6 of a source).
+COARSE_DIGITS, BUCKET_DIGITS = 3, 6
 #: Up to so many sources, their table (under 100 bytes a row) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -61,15 +62,33 @@ def _digest(docs: DataFrame, seed: str) -> DataFrame:
 def source_plan(digest: DataFrame, **filling) -> DataFrame:
     """A row a source: s, source_size, target, whole (full copies), quota (words more), and the hash bucket in which
     the quota ends with the words before that bucket (null where all of the source's documents fit)."""
-    buckets = digest.groupBy("source", "__bucket").agg(F.sum("__size").alias("words"))
+    coarse = F.substring("__bucket", 1, COARSE_DIGITS)
+    buckets = digest.groupBy("source", coarse.alias("bucket")).agg(F.sum("__size").alias("words"))
     sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), **filling)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("quota", F.floor("target") - F.col("whole") * F.col("source_size"))
     sources = sources.withColumnRenamed("source", "s")
-    so_far = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = buckets.withColumn("upto", F.sum("words").over(so_far)).join(sources.select("s", "quota"), F.col("source").eqNullSafe(F.col("s")))
-    edge = reached.filter(F.col("upto") > F.col("quota")).groupBy(F.col("s").alias("e")).agg(F.min("__bucket").alias("edge"), F.min_by(F.col("upto") - F.col("words"), F.col("__bucket")).alias("edge_from"))
-    return sources.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+    reached = sources.select("s", F.col("quota").alias("room"), F.lit(0).cast("long").alias("gone"))
+    first = _edge(buckets, reached)
+    inside = digest.join(_sent(first.select(F.col("s").alias("e"), F.col("edge").alias("near"))), F.col("source").eqNullSafe(F.col("e")) & (coarse == F.col("near")))
+    fine = inside.groupBy("source", F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("words"))
+    second = _edge(fine, first.join(reached.withColumnRenamed("s", "r"), F.col("s").eqNullSafe(F.col("r"))).select("s", "room", F.col("edge_from").alias("gone")))
+    second = second.withColumnRenamed("s", "e")
+    return sources.join(second, F.col("s").eqNullSafe(F.col("e")), "left").drop("e")
+
+
+def _edge(buckets: DataFrame, reached: DataFrame) -> DataFrame:
+    """``buckets`` (source, bucket, words), ``reached`` (s, room, gone: words before the first bucket) -> s, edge: the first
+    bucket that goes beyond the room, edge_from: the words before it."""
+    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto = buckets.withColumn("upto", F.sum("words").over(so_far)).join(reached, F.col("source").eqNullSafe(F.col("s"))).withColumn("upto", F.col("upto") + F.col("gone"))
+    return upto.filter(F.col("upto") > F.col("room")).groupBy("s").agg(F.min("bucket").alias("edge"), F.min_by(F.col("upto") - F.col("words"), F.col("bucket")).alias("edge_from"))
+
+
+def _sent(sources: DataFrame) -> DataFrame:
+    """A table of a row a source, broadcast while it is small."""
+    sources = materialize(sources, "mix-edges")
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
 
 def _decide(digest: DataFrame, sources: DataFrame) -> DataFrame:
@@ -78,7 +97,8 @@ def _decide(digest: DataFrame, sources: DataFrame) -> DataFrame:
     d = digest.join(F.broadcast(plan) if sources.count() <= BROADCAST_SOURCES else plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     inside = F.col("__edge").isNull() | (F.col("__bucket") < F.col("__edge"))
     sure = d.filter(F.col("__edge").isNull() | (F.col("__bucket") != F.col("__edge"))).withColumn("__extra", F.when(inside & (F.col("__quota") > 0), F.col("__size")).otherwise(F.lit(0)))
-    in_order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
+    ties = ["text", F.col("box").cast("string")] if "box" in digest.columns else []  # rows that repeat an id and a size
+    in_order = Window.partitionBy("source").orderBy("__key", "doc_id", "__size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     left = F.col("__quota") - F.col("__from") - (F.sum("__size").over(in_order) - F.col("__size"))
     at_edge = d.filter(F.col("__bucket") == F.col("__edge")).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
     return sure.unionByName(at_edge)
@@ -94,14 +114,15 @@ def mix(docs: DataFrame, *, seed: str = SEED, **filling) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, *, seed: str = SEED, **filling) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each repetition of a document, whole or cut after its
-    first words.  Texts stay where they are; n_chars, where present, follows a cut text."""
-    columns = docs.columns
-    digest = _digest(docs, seed)
+    first words.  Texts stay where they are, but for those in a source's boundary bucket; n_chars, where present, follows
+    a cut text."""
+    used = ["doc_id", "text", "source", "n_chars"]
+    digest = _digest(boxed(docs, used), seed)
     sources = materialize(source_plan(materialize(digest.select("source", "__size", "__bucket"), "mix-digest"), **filling), "mix-sources")
     d = _decide(digest, sources)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_WITH_LEAD), F.lit(0)), F.lit(1), F.col("__extra").cast("int")), "")
     some = F.when(F.col("__extra") <= 0, F.array().cast("array<string>")).when(F.col("__extra") >= F.col("__size"), F.array("text")).otherwise(F.array(part))
     d = d.withColumn("text", F.explode(F.concat(F.array_repeat("text", F.col("__whole").cast("int")), some)))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*columns)
+    return unboxed(d, docs, used)

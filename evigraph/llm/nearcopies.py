@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -180,8 +180,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group of near copies: that of the smallest doc_id; of rows that
-    repeat this id, one.  Rows with a null doc_id cannot be named by a group and stay."""
-    heads = near_copies(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.filter("doc_id is not null").join(heads, F.col("doc_id") == F.col("__head"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return named.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    repeat this id, the first by text.  Rows with a null doc_id cannot be named by a group and stay."""
+    return simhash.heads_only(docs, near_copies(docs))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -260,9 +260,9 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every span found replaced by its kind, as in <EMAIL>; n_chars, where present, follows."""
-    columns = docs.columns
-    spans = materialize(with_candidates(docs.select("text")).select("__spans"), "pii-spans")
-    d = with_candidates(docs).withColumn("__spans", accepted(fit(spans)))
+    used = ["text", "n_chars"]
+    d = materialize(with_candidates(boxed(docs, used)), "pii-candidates")
+    d = d.withColumn("__spans", accepted(fit(d.select("__spans"))))
     zero = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:  # a span inside what is already replaced adds nothing
@@ -271,6 +271,6 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     d = d.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(*columns)
+    return unboxed(d, docs, used)

@@ -1,9 +1,11 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows of equal text form a group.  Groups are gathered into a fixed number of hash units, so what the driver packs
-does not grow with the data; each unit is placed on the shard whose residual capacity has the highest dot product
-with the unit's (bytes, tokens, rows), largest units first.  A text whose copies hold more than ``HOT`` of the bytes,
-tokens or rows makes units of its own, split by document; only such texts are dealt to several shards.
+Rows of equal text form a group, and each group is placed on the shard whose residual capacity has the highest dot
+product with the group's (bytes, tokens, rows), largest first.  Groups with more than 1 / ``UNITS`` of the bytes, tokens
+or rows are placed one by one (at most 3 * UNITS of them); smaller ones are gathered by a hash into ``UNITS`` units of
+whole groups, so what the driver packs does not grow with the data.  A group is dealt to several shards only if the
+shards' bytes would differ by more than ``UNEVEN`` otherwise: the groups above a share are split row by row, and the share
+is halved, from one shard's on, until the shards are even or it is ``FINEST``.
 
 Defined results: a null text has no bytes (size 1, crc32 0) and is a group of its own; repeated rows get slots of
 their own; an empty table gives an empty result; other columns are not read.
@@ -19,12 +21,13 @@ from .common import materialize, word_count
 
 SHARDS = 8
 UNITS = 4096
-#: Share of the whole above which the rows of a text are split, and the share that each part of it gets.
-HOT, PART = 1 / 64, 1 / 512
+UNEVEN, FINEST = 0.02, 1 / 1024
+#: A split group has this many parts for each share at which groups are split.
+PARTS = 8
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each row of ``vectors`` (units x dimensions) by the dot-product rule; the same input gives the same result."""
+    """Shard of each row of ``vectors`` (items x dimensions) by the dot-product rule; the same input gives the same result."""
     total = vectors.sum(axis=0)
     share = vectors / np.where(total > 0, total, 1)
     residual = np.full((shards, vectors.shape[1]), 1 / shards)
@@ -38,6 +41,22 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def parts_of(units: np.ndarray, groups: np.ndarray, shards: int) -> np.ndarray:
+    """How many parts each group is split into: the fewest groups that leave the shards' bytes even.  Rows of ``units``
+    and ``groups``: bytes, tokens, rows."""
+    parts = np.ones(len(groups), dtype=np.int64)
+    total = units.sum(axis=0) + groups.sum(axis=0)
+    share = (groups / np.where(total > 0, total, 1)).max(axis=1) if len(groups) else np.zeros(0)
+    least = 1 / shards
+    while True:
+        items = np.concatenate([units, np.repeat(groups / parts[:, None], parts, axis=0)])
+        of_shard = np.bincount(place(items, shards), weights=items[:, 0], minlength=shards)
+        if of_shard.max(initial=0) <= (1 + UNEVEN) * total[0] / shards or least < FINEST:
+            return parts
+        parts = np.where(share > least, np.clip(np.ceil(share / least * PARTS), 1, np.maximum(groups[:, 2], 1)), 1).astype(np.int64)
+        least /= 2
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens for every row."""
     spark = docs.sparkSession
@@ -45,29 +64,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFram
     digest = materialize(
         docs.select(
             "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), word_count(text).alias("tokens"),
-            F.xxhash64(text).alias("key"), F.xxhash64("doc_id", F.lit(1)).alias("salt"),
+            F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row"),
         ),
         "shard-digest",
     )
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = digest.agg(*sums).first()
     share = F.greatest(*[F.col(k) / F.lit(max(total[k] or 0, 1)) for k in ("bytes", "tokens", "rows")])
-    hot = digest.groupBy("key").agg(*sums).select("key", share.alias("share")).filter(F.col("share") > HOT).orderBy("key").collect()  # at most 3 / HOT texts
-    unit, part = F.pmod("key", F.lit(units)).cast("int"), F.lit(0)
-    if hot:
-        nth = F.array_position(F.array(*[F.lit(r["key"]).cast("long") for r in hot]), F.col("key")).cast("int")
-        parts = F.array(*[F.lit(int(np.ceil(r["share"] / PART))) for r in hot])
-        unit = F.when(nth > 0, nth - 1 + units).otherwise(unit)
-        part = F.when(nth > 0, F.pmod("salt", F.get(parts, nth - 1)).cast("int")).otherwise(part)
-    digest = digest.withColumn("unit", unit).withColumn("part", part)
-    first = digest.groupBy("unit", "part").agg(*sums).orderBy("unit", "part").collect()  # at most units + 3 / PART + 3 / HOT rows
-    v = np.array([[r["bytes"], r["tokens"], r["rows"]] for r in first], dtype=float).reshape(-1, 3)
-    where = place(v, shards) if len(first) else np.zeros(0, dtype=np.int64)
+    groups = materialize(digest.groupBy("key").agg(*sums), "shard-groups")
+    large = groups.filter(share > 1 / units).orderBy("key").collect()  # at most 3 * units
+    small = groups.filter(share <= 1 / units).groupBy(F.pmod("key", F.lit(units)).cast("int").alias("unit")).agg(*[F.sum(k).alias(k) for k in ("bytes", "tokens", "rows")]).orderBy("unit").collect()
+    vector = lambda rows: np.array([[r["bytes"], r["tokens"], r["rows"]] for r in rows], dtype=float).reshape(-1, 3)
+    parts = parts_of(vector(small), vector(large), shards)
+    known = spark.createDataFrame([(r["key"], units + i, int(p)) for i, (r, p) in enumerate(zip(large, parts, strict=True))], "k long, item int, parts int")
+    d = digest.join(F.broadcast(known), F.col("key") == F.col("k"), "left").withColumn("unit", F.coalesce("item", F.pmod("key", F.lit(units)).cast("int")))
+    d = d.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")), F.lit(0)).cast("int"))
+    whole = [(r["unit"], 0, r) for r in small] + [(units + i, 0, r) for i, (r, p) in enumerate(zip(large, parts, strict=True)) if p == 1]
+    split = [] if (parts == 1).all() else [(r["unit"], r["part"], r) for r in d.filter("parts > 1").groupBy("unit", "part").agg(*sums).orderBy("unit", "part").collect()]
+    items = whole + split
     used, rows = [0] * shards, []
-    for r, k in zip(first, where, strict=True):
-        rows.append((r["unit"], r["part"], int(k), used[k]))
+    for (unit, part, r), k in zip(items, place(vector([r for _, _, r in items]), shards), strict=True):
+        rows.append((unit, part, int(k), used[k]))
         used[k] += r["rows"]
     placed = spark.createDataFrame(rows, "unit int, part int, shard int, base long")
-    within = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "size")
-    d = digest.withColumn("nth", F.row_number().over(within).cast("long")).join(F.broadcast(placed), ["unit", "part"])
+    within = Window.partitionBy("unit", "part").orderBy("doc_id", "text_crc32", "size", "row")
+    d = d.withColumn("nth", F.row_number().over(within).cast("long")).join(F.broadcast(placed), ["unit", "part"])
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_groups
+from .common import boxed, materialize, sorted_groups, unboxed
 from .components import components
 
 SEED = 42
@@ -205,11 +205,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, limit: int = MAX_DIFF) -
     return prints.join(names, prints.fp == names.k).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def heads_only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found`` (doc_id, component_id), one a doc_id, and those
+    without a doc_id."""
+    used = ["doc_id", "text"]
+    box = boxed(docs, used)
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    some = box.filter("doc_id is not null").join(heads, F.col("doc_id") == F.col("head"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.col("box").cast("string")))
+    some = some.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    return unboxed(some.unionByName(box.filter("doc_id is null")), docs, used)
+
+
 def keep_one(docs: DataFrame, *, words: int = 3, limit: int = MAX_DIFF) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group: that of the smallest doc_id; of rows
-    that repeat this id, one.  Rows with a null doc_id cannot be named by a group and stay."""
+    that repeat this id, the first by text.  Rows with a null doc_id cannot be named by a group and stay."""
     found = near_duplicates(docs, words=words, limit=limit)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.filter("doc_id is not null").join(heads, F.col("doc_id") == F.col("__head"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return named.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return heads_only(docs, found)

@@ -445,14 +445,41 @@ def test_sharding_balances_and_numbers(spark):
     assert (load.max(axis=0) < 1.03 * load.mean(axis=0)).all()
 
 
-def test_sharding_keeps_other_copies_together(spark):
-    rows = [(i, "hot text", "en", "s") for i in range(200)] + [(1000 + i, f"text {i % 30:03d}", "en", "s") for i in range(90)]
-    got = sharding.shard(documents(spark, rows), units=4).collect()
-    shards = defaultdict(set)
+def test_sharding_tears_only_what_no_shard_can_hold(spark):
+    rows = [(i, "hot text", "en", "s") for i in range(200)] + [(1000 + i, f"text {i % 30:03d}", "en", "s") for i in range(90)] + [(2000 + i, f"lone text {i}", "en", "s") for i in range(60)]
+    got = sharding.shard(documents(spark, rows), units=64).collect()
+    shards, sizes = defaultdict(set), Counter()
     for r in got:
         shards[r["text_crc32"]].add(r["shard"])
-    assert len(got) == 290 and len(shards[zlib.crc32(b"hot text")]) == 8
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == 350 and len(shards[zlib.crc32(b"hot text")]) > 1
     assert all(len(shards[zlib.crc32(f"text {i:03d}".encode())]) == 1 for i in range(30))
+    assert max(sizes.values()) <= 1.05 * sum(sizes.values()) / 8
+
+
+def test_sharding_splits_one_row_that_repeats(spark):
+    rows = [(7, "again and again", "en", "s")] * 3000 + [(None, None, "en", "s")] * 500 + [(i, f"text {i}", "en", "s") for i in range(2500)]
+    got = sharding.shard(documents(spark, rows)).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert max(sizes.values()) <= 1.05 * sum(sizes.values()) / 8
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_sharding_places_by_the_plain_rule():
+    rng = np.random.default_rng(3)
+    v = rng.integers(1, 60, (80, 3)).astype(float)
+    share = v / v.sum(axis=0)
+    room, want = [[1 / 8] * 3 for _ in range(8)], {}
+    for i in sorted(range(80), key=lambda i: (-max(share[i]), i)):
+        dot = [sum(a * b for a, b in zip(room[k], share[i])) for k in range(8)]
+        fit = [k for k in range(8) if all(a >= b - 1e-12 for a, b in zip(room[k], share[i]))] or range(8)
+        k = max(fit, key=lambda k: (dot[k], -k))
+        want[i] = k
+        room[k] = [a - b for a, b in zip(room[k], share[i])]
+    assert sharding.place(v, 8).tolist() == [want[i] for i in range(80)]
 
 
 def plain_print(text, n=3):
@@ -531,6 +558,27 @@ def test_pipeline_stages_take_effect(spark, folder):
     assert all(not base_spans(r["text"]) for r in third.collect())
 
 
+def test_pipeline_keeps_odd_columns_and_long_texts(spark, tmp_path):
+    """Names with dots and case, names that stages use themselves, null and repeated ids, and a text of megabytes."""
+    rng = random.Random(6)
+    text = lambda k: " ".join(rng.choices("the of and to in that is was for with alpha beta gamma delta".split(), k=k))
+    rows = [(i, text(30), "en", "s") for i in range(20)] + [(None, text(20), "en", "s"), (None, None, "en", None), (3, text(25), "en", "s"), (30, text(600_000), "en", "t")]
+    docs = documents(spark, rows).drop("size", "score", "label")
+    for k, name in enumerate(["meta.url", "SCORE", "__spans", "__size", "__bucket", "__key", "__head", "__nth", "box", "nth", "head", "Rejected", "a`b"]):
+        docs = docs.withColumn(name, F.lit(k))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        got = docs.collect()
+        assert all([*r][5:] == list(range(13)) for r in got)
+        assert {30, None} <= {r["doc_id"] for r in got}
+    assert max(len(r["text"] or "") for r in got) > 2_000_000
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_pipeline_drops_planted_near_copies(spark):
     rng = random.Random(8)
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
