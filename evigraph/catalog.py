@@ -2,7 +2,8 @@
 
 A new state is written in full beside the old one; then a small pointer file is replaced.  Readers resolve the pointer
 once, so they see one state.  A publisher names the version it started from; if another one was published meanwhile, it
-is refused.  There is one publisher at a time; locks between several are not offered.
+is refused: each version has a mark that only one publisher can create.  A publisher that dies between its mark and the
+pointer leaves the version claimed; deleting the mark frees it.
 """
 
 from __future__ import annotations
@@ -83,6 +84,12 @@ class Catalog:
             folders[label] = f"v{number}-{uuid.uuid4().hex[:8]}/{label}"
             writer = df.write.partitionBy("predicate_id") if label == "SEMANTIC_EDGE" else df.write
             writer.parquet(f"{self.root}/{folders[label]}")
+        # who creates the mark of a version publishes it; the file system lets only one do so
+        fs, mark = _fs(self.spark, f"{self.root}/v{number}.claimed")
+        try:
+            fs.create(mark, False).close()
+        except Exception as e:  # Py4JJavaError of a file that exists
+            raise Conflict("another state was published meanwhile") from e
         if self.current()["version"] != based_on:
             raise Conflict("another state was published meanwhile")
         _replace_small(self.spark, f"{self.root}/{POINTER}", {"version": number, "schema": state["schema"] if schema is None else schema, "tables": folders})

@@ -109,6 +109,19 @@ def connascence(elements: DataFrame, threshold: float = 0.55) -> DataFrame:
     return exact.select("stem", "p.a", "p.b", "confidence")
 
 
+def best_finding(pairs: DataFrame) -> DataFrame:
+    """Of connascence(): the surest pair, on ties the last stem; no pair, no row."""
+    return pairs.orderBy(F.col("confidence").desc(), F.col("stem").desc()).limit(1)
+
+
+def by_group(rows: DataFrame, group: str, value: str = "id", order: str | None = None) -> DataFrame:
+    """(group, n, first): the groups of a view (elements by level, edges by predicate, interactions by participant) with
+    their size and the first value, groups in the order of their first appearance by ``order`` (default: value)."""
+    at = F.col(order or value)
+    g = rows.groupBy(group).agg(F.count("*").alias("n"), F.min_by(value, F.struct(at, F.col(value))).alias("first"), F.min(at).alias("at"))
+    return g.orderBy("at", group).select(group, "n", "first")
+
+
 def focus_elements(elements: DataFrame, goal: str) -> DataFrame:
     """Ids of elements whose name or key occurs in the goal, in any case."""
     text = F.lit(goal.lower())

@@ -97,6 +97,38 @@ def resolve_selector(elements: DataFrame, *, name: str | None = None, key: str |
     return found[0][0]
 
 
+def get_diagram(diagrams: DataFrame, ident: str) -> DataFrame:
+    """The one diagram of an id; an error if there is none."""
+    found = diagrams.filter(F.col("id") == ident)
+    if found.isEmpty():
+        raise NotFound(f"diagram not found: {ident}")
+    return found
+
+
+def get_view_members(members: DataFrame, diagram: str) -> DataFrame:
+    return members.filter(F.col("diagram_id") == diagram)
+
+
+def related(edges: DataFrame, elements: DataFrame, source: str, predicate: str, kind: str | None = None) -> DataFrame:
+    """Elements at the end of active edges of a predicate from one element: components of a container
+    (core.contains, c4.component), scenarios of a use case (usecase.realized_by)."""
+    ends = edges.filter((F.col("source_id") == source) & (F.col("predicate_id") == predicate) & F.col("active")).select(F.col("target_id").alias("end"))
+    wanted = elements if kind is None else elements.filter(F.col("kind_id") == kind)
+    return wanted.join(ends, F.col("id") == F.col("end"), "left_semi")
+
+
+def ordered_interactions(edges: DataFrame, elements: DataFrame, scenario: str, predicate: str = "behavior.has_interaction") -> DataFrame:
+    """Interactions of a scenario by their order key."""
+    return related(edges, elements, scenario, predicate).orderBy("current_order_key", "id")
+
+
+def evidence_of_relation(relation: str, current: DataFrame, supported_by: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence that supports the current version of a relation, the surest first.  ``current``: CURRENT_RELATION_VERSION."""
+    version = current.filter(F.col("src") == relation).select(F.col("dst").alias("version"))
+    support = supported_by.join(version, F.col("src") == F.col("version"), "left_semi").select(F.col("dst").alias("support"))
+    return evidence.join(support, F.col("id") == F.col("support"), "left_semi").orderBy(F.col("confidence").desc_nulls_last(), "id")
+
+
 def stat(**tables: DataFrame) -> DataFrame:
     """One row: how many rows each table has."""
     out = None

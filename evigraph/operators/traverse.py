@@ -1,31 +1,46 @@
-"""Breadth-first walks.  Every level is one join; the walk so far is settled as a table after each, so plans stay flat
-and a lost executor costs one level.  Edges are (src, dst)."""
+"""Breadth-first walks.  Every level reads only the edges that touch its frontier; the frontier is settled as a table after
+each level, so plans stay flat and a lost executor costs one level.  Edges are (src, dst), repeats allowed.
+
+A frontier of at most ``SMALL`` nodes is broadcast (some 100 MB of ids at most), so the edge tables are filtered where they
+are read and only the hits are shuffled; a larger one is joined by shuffle.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import settle
+from ..scratch import release, settle
+
+SMALL = 1_000_000
+
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
 
-def turned(edges: DataFrame, direction: str) -> DataFrame:
-    """out: as they are; in: reversed; both: either way."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"out": edges.select("src", "dst"), "in": back, "both": edges.select("src", "dst").unionAll(back)}[direction].distinct()
+
+def touching(edges: DataFrame, frontier: DataFrame, rows: int, direction: str) -> DataFrame:
+    """(src, dst), each once, of the edges that leave the frontier (id), which has so many rows: out as they are, in
+    reversed, both either way."""
+    ids = frontier.select(F.col("id").alias("at"))
+    ways = {"out": (("src", "dst"),), "in": (("dst", "src"),), "both": (("src", "dst"), ("dst", "src"))}[direction]
+    found = [edges.join(sized(ids, rows), F.col(a) == F.col("at"), "left_semi").select(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in ways]
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(id, depth) of what is reached from ``seeds`` (id) in at most ``depth`` steps; seeds have depth 0."""
-    e = settle(turned(edges, direction), "edges") if depth > 1 else turned(edges, direction)
-    seen = settle(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
-    frontier = seen
+    seen = frontier = settle(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
+    rows = known = frontier.count()
     for k in range(1, depth + 1):
-        step = frontier.join(e, frontier.id == e.src).select(F.col("dst").alias("id")).distinct()
-        frontier = settle(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)), "walk")
-        if frontier.isEmpty():
+        step = touching(edges, frontier, rows, direction).select(F.col("dst").alias("id")).distinct()
+        frontier = settle(step.join(sized(seen.select("id"), known), "id", "left_anti").withColumn("depth", F.lit(k)), "walk")
+        rows = frontier.count()
+        if not rows:
             break
-        seen = seen.unionByName(frontier)
+        seen, known = seen.unionByName(frontier), known + rows
     return seen
 
 
@@ -33,14 +48,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 1) -
     """(id, label) within 1 to 4 undirected steps, without the start."""
     seeds = nodes.filter(F.col("id") == start).select("id")
     near = levels(edges, seeds, min(4, max(1, depth)), "both").filter(F.col("id") != start)
-    return near.join(nodes.select("id", "label"), "id").select("id", "label").distinct()
+    return nodes.select("id", "label").join(sized(near.select("id"), near.count()), "id").distinct()
 
 
 def level_edges(edges: DataFrame, walk: DataFrame, direction: str = "out") -> DataFrame:
     """Edges between nodes of the walk with one end on the level before: (src, dst, depth)."""
+    rows = walk.count()
     a = walk.select(F.col("id").alias("src"), F.col("depth").alias("from_depth"))
     b = walk.select(F.col("id").alias("dst"), F.col("depth").alias("to_depth"))
-    e = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+    e = edges.select("src", "dst").join(sized(a, rows), "src").join(sized(b, rows), "dst").distinct()
     least = F.least("from_depth", "to_depth") if direction == "both" else F.col("from_depth" if direction == "out" else "to_depth")
     last = walk.agg(F.max("depth").alias("last"))
     return e.withColumn("depth", least + 1).join(F.broadcast(last), F.col("depth") <= F.col("last")).select("src", "dst", "depth")
@@ -51,112 +67,152 @@ def blast_radius(edges: DataFrame, start: DataFrame, depth: int, direction: str
     return levels(edges, start, depth, direction).filter("depth > 0").agg(F.count("*").alias("n"))
 
 
+def _least_paths(edges: DataFrame, start: str, depth: int, direction: str, end: str | None = None) -> DataFrame:
+    """(id, depth, path) by the shortest path that comes first in order; ends early at ``end``."""
+    one = edges.sparkSession.range(1)
+    seen = frontier = one.select(F.lit(start).alias("id"), F.lit(0).alias("depth"), F.lit(start).alias("path"))
+    rows = known = 1
+    for k in range(1, depth + 1):
+        e = touching(edges, frontier, rows, direction)
+        step = e.join(sized(frontier.select(F.col("id").alias("src"), "path"), rows), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
+        step = step.join(sized(seen.select("id"), known), "id", "left_anti")
+        frontier = settle(step.select("id", F.lit(k).alias("depth"), "path"), "paths")
+        rows = frontier.count()
+        if not rows:
+            break
+        seen, known = seen.unionByName(frontier), known + rows
+        if end is not None and not frontier.filter(F.col("id") == end).isEmpty():
+            break
+    return seen
+
+
 def impact(edges: DataFrame, focus: str, depth: int = 5, direction: str = "both") -> DataFrame:
     """(id, direction, depth, path): what is reached up- and downstream, each on its own, by the shortest path that
     comes first in order; path joins ids with '>'."""
-    spark = edges.sparkSession
-    out = None
-    for name, way in (("upstream", "in"), ("downstream", "out")):
-        if direction not in ("both", name):
-            continue
-        e = settle(turned(edges, way), "edges")
-        seen = spark.range(1).select(F.lit(focus).alias("id"), F.lit(0).alias("depth"), F.lit(focus).alias("path"))
-        frontier = seen
-        for k in range(1, depth + 1):
-            step = frontier.join(e, frontier.id == e.src).select(F.col("dst").alias("id"), F.concat_ws(">", "path", "dst").alias("path"))
-            step = step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
-            frontier = settle(step.select("id", F.lit(k).alias("depth"), "path"), "impact")
-            if frontier.isEmpty():
-                break
-            seen = seen.unionByName(frontier)
-        part = seen.filter("depth > 0").select("id", F.lit(name).alias("direction"), "depth", "path")
-        out = part if out is None else out.unionByName(part)
-    return out
+    ways = [(name, way) for name, way in (("upstream", "in"), ("downstream", "out")) if direction in ("both", name)]
+    parts = [_least_paths(edges, focus, depth, way).filter("depth > 0").select("id", F.lit(name).alias("direction"), "depth", "path") for name, way in ways]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def impact_summary(found: DataFrame) -> DataFrame:
+    """Of impact(): (direction, n, max_depth), with a row for both directions together (direction all)."""
+    g = found.rollup("direction").agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    return g.select(F.coalesce("direction", F.lit("all")).alias("direction"), "n", "max_depth")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 12) -> DataFrame:
-    """(depth, path) of the shortest directed path that comes first in order; no row if there is none within ``most``."""
-    e = settle(turned(edges, "out"), "edges")
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("depth"), F.lit(start).alias("path"))
-    frontier = seen
-    for k in range(1, most + 1):
-        step = frontier.join(e, frontier.id == e.src).select(F.col("dst").alias("id"), F.concat_ws(">", "path", "dst").alias("path")).groupBy("id").agg(F.min("path").alias("path"))
-        frontier = settle(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("depth"), "path"), "path")
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty() or not frontier.filter(F.col("id") == end).isEmpty():
-            break
-    return seen.filter(F.col("id") == end).select("depth", "path")
+    """(depth, path) of the shortest directed path that comes first in order; no row if there is none within ``most``.
+    A condition that all edges of the path must meet is a filter on ``edges``."""
+    return _least_paths(edges, start, most, "out", end).filter(F.col("id") == end).select("depth", "path")
 
 
 def sequence(edges: DataFrame, start: str, depth: int = 5, cap: int = 500) -> DataFrame:
-    """Interactions in breadth-first order from a participant: (order_key, sender, receiver, depth, revisited).
+    """Interactions in breadth-first order from a participant: (order_key, sender, receiver, depth, revisited), and the
+    columns message_kind, file and line where the edges have them.
 
     Senders expand once, in the order in which they were met; receivers of a sender go by key; an interaction with a
-    participant already met is listed but not expanded.  At most ``cap`` rows, the first ones.
+    participant already met is listed but not expanded.  At most ``cap`` rows, the first ones.  Of repeated edges the first
+    by file, line and kind is the one listed; a message without a kind is a sync_call.
     """
-    e = settle(turned(edges, "out"), "edges")
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit("").alias("place"))
-    frontier, out = seen, None
+    extra = [c for c in ("message_kind", "file", "line") if c in edges.columns]
+    seen = frontier = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit("").alias("place"))
+    rows, out = 1, None
     for k in range(1, depth + 1):
-        step = frontier.join(e, frontier.id == e.src).select("place", F.col("src").alias("sender"), F.col("dst").alias("receiver"))
+        e = edges.join(sized(frontier.select(F.col("id").alias("src"), "place"), rows), "src")
+        first = F.min(F.struct(*[F.col(c) for c in ("file", "line", "message_kind") if c in extra])) if extra else F.lit(None)
+        step = e.groupBy("place", F.col("src").alias("sender"), F.col("dst").alias("receiver")).agg(first.alias("first"))
         met = seen.select(F.col("id").alias("receiver"), F.lit(True).alias("met"))
-        first = Window.partitionBy("receiver").orderBy("place", "sender")
-        step = step.join(met, "receiver", "left").withColumn("nth", F.row_number().over(first))
-        step = step.select("place", "sender", "receiver", F.lit(k).alias("depth"), (F.col("met").isNotNull() | (F.col("nth") > 1)).alias("revisited"))
-        step = settle(step, "sequence")
+        nth = F.row_number().over(Window.partitionBy("receiver").orderBy("place", "sender"))
+        step = step.join(met, "receiver", "left").withColumn("nth", nth)
+        values = [(F.coalesce(F.col(f"first.{c}"), F.lit("sync_call")) if c == "message_kind" else F.col(f"first.{c}")).alias(c) for c in extra]
+        step = settle(step.select("place", "sender", "receiver", F.lit(k).alias("depth"), (F.col("met").isNotNull() | (F.col("nth") > 1)).alias("revisited"), *values), "sequence")
         if step.isEmpty():
             break
         out = step if out is None else out.unionByName(step)
         # the place of a receiver: that of its first sender, then its key
         frontier = settle(step.filter("not revisited").select(F.col("receiver").alias("id"), F.concat_ws(">", "place", "receiver").alias("place")), "sequence")
-        seen = seen.unionByName(frontier)
+        rows, seen = frontier.count(), seen.unionByName(frontier)
     if out is None:
-        return edges.sparkSession.createDataFrame([], "order_key int, sender string, receiver string, depth int, revisited boolean")
+        kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+        return edges.sparkSession.createDataFrame([], "order_key int, sender string, receiver string, depth int, revisited boolean" + "".join(f", {c} {kinds[c]}" for c in extra))
     capped = out.orderBy("depth", "place", "receiver").limit(cap)
     order = F.row_number().over(Window.orderBy("depth", "place", "receiver"))  # over at most ``cap`` rows
-    return capped.select(order.alias("order_key"), "sender", "receiver", "depth", "revisited")
+    return capped.select(order.alias("order_key"), "sender", "receiver", "depth", "revisited", *extra)
 
 
-def on_cycles(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def sequence_flags(listed: DataFrame, cap: int = 500) -> DataFrame:
+    """Of sequence(): one row (n, participants, depth_reached, revisits, truncated: the cap was reached)."""
+    people = F.count_distinct("participant")
+    who = listed.select(F.explode(F.array("sender", "receiver")).alias("participant")).agg(people.alias("participants"))
+    one = listed.agg(F.count("*").alias("n"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth_reached"), F.count_if("revisited").alias("revisits"), (F.count("*") >= cap).alias("truncated"))
+    return one.crossJoin(who).select("n", "participants", "depth_reached", "revisits", "truncated")  # single rows
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges that lie on a cycle (both ends in one strongly connected component), self-loops included.
 
-    Nodes without an edge in or out are trimmed first, over and over; what remains is closed by doubling paths, and an
-    edge is on a cycle if its end reaches its beginning.
+    Nodes without an edge in or out are trimmed while that removes much.  Then every node takes the least id that reaches
+    it as its colour; edges between colours are on no cycle; nodes that reach the node of their colour inside it are that
+    node's component.  What is left inside the colours goes round again.  Every step is a join and an aggregate over
+    nodes and edges; nothing grows beyond the edges.
     """
-    e = settle(edges.select("src", "dst").distinct(), "cycles")
-    n = e.count()
-    while True:
-        core = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        core = settle(core.select("src", "dst"), "cycles")
-        left = core.count()
-        e, done, n = core, left == n, left
-        if done or not left:
-            break
-    reach, size = e, n
-    for _ in range(most_rounds):
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = settle(reach.unionAll(further).distinct(), "reach")
-        grown = reach.count()
-        if grown == size:
-            break
-        size = grown
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return e.join(back, ["src", "dst"], "left_semi")
-
-
-def layers(nodes: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
-    """(id, layer): the longest path from a source; at most as many relaxations as there are nodes (or ``bound``)."""
-    e = settle(edges.select("src", "dst").distinct(), "layer-edges")
-    current = settle(nodes.select("id").distinct().withColumn("layer", F.lit(0)), "layers")
-    for _ in range(bound if bound is not None else current.count()):
-        pushed = e.join(current, e.src == current.id).groupBy("dst").agg((F.max("layer") + 1).alias("pushed"))
-        following = current.join(pushed, current.id == pushed.dst, "left").select("id", F.greatest("layer", F.coalesce("pushed", F.lit(0))).alias("layer"))
-        following = settle(following, "layers")
-        changed = following.exceptAll(current).isEmpty()
-        current = following
-        if changed:
+    rest = settle(edges.select("src", "dst").distinct(), "cycles")
+    out, rest = rest.filter("src = dst"), rest.filter("src <> dst")
+    n = rest.count()
+    while n:
+        while n:
+            trimmed = settle(rest.join(rest.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi").join(rest.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi"), "cycles")
+            left = trimmed.count()
+            rest, gone, n = trimmed, n - left, left
+            if gone * 20 < n or not gone:
+                break
+        if not n:
             break
-    return current
+        colour = settle(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
+        while True:
+            met = rest.join(colour, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("colour").alias("met"))
+            after = settle(colour.join(met, F.col("id") == F.col("dst"), "left").select("id", F.least("colour", F.coalesce("met", "colour")).alias("colour"), (F.col("met") < F.col("colour")).alias("moved")), "colours")
+            release(colour)
+            colour = after.select("id", "colour")
+            if after.filter("moved").isEmpty():
+                break
+        of_src, of_dst = (colour.select(F.col("id").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst"))
+        same = settle(rest.join(of_src, "src").join(of_dst, "dst").filter("src_colour = dst_colour").select("src", "dst"), "cycles")
+        marked = frontier = settle(colour.filter("id = colour").select("id"), "marks")
+        while not frontier.isEmpty():
+            back = same.join(frontier, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("id")).distinct()
+            frontier = settle(back.join(marked, "id", "left_anti"), "marks")
+            marked = marked.unionAll(frontier)
+        a, b = (marked.select(F.col("id").alias(x), F.lit(True).alias(f"{x}_in")) for x in ("src", "dst"))
+        told = settle(same.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", F.col("src_in").isNotNull().alias("src_in"), F.col("dst_in").isNotNull().alias("dst_in")), "cycles")
+        out = out.unionAll(told.filter("src_in and dst_in").select("src", "dst"))
+        rest = told.filter("not src_in and not dst_in").select("src", "dst")
+        n = rest.count()
+    return out
+
+
+class Cyclic(ValueError):
+    pass
+
+
+def layers(nodes: DataFrame, edges: DataFrame, bound: int | None = None, patience: int = 64) -> DataFrame:
+    """(id, layer): the longest path from a source, of at most ``bound`` edges (as many as there are nodes, by default).
+
+    A walk in which nodes may be met again: whoever is met in round k has a path of k edges.  Without a bound, a walk of
+    more than ``patience`` rounds makes sure that there is no cycle, which would have no longest path (Cyclic).
+    """
+    e = edges.select("src", "dst")
+    found = frontier = settle(nodes.select("id").distinct().withColumn("layer", F.lit(0)), "layers")
+    known, rows, k = frontier.select("id"), frontier.count(), 0
+    total = rows
+    while rows and k < (total if bound is None else bound):
+        k += 1
+        step = touching(e, frontier, rows, "out").select(F.col("dst").alias("id")).distinct().join(sized(known, total), "id", "left_semi")
+        frontier = settle(step.withColumn("layer", F.lit(k)), "layers")
+        rows, found = frontier.count(), found.unionByName(frontier)
+        if bound is None and k == patience and not on_cycles(e).isEmpty():
+            raise Cyclic("layers need a graph without cycles, or a bound")
+    return found.groupBy("id").agg(F.max("layer").alias("layer"))
 
 
 def layout(layered: DataFrame, width: int = 220, height: int = 120) -> DataFrame:
@@ -167,11 +223,23 @@ def layout(layered: DataFrame, width: int = 220, height: int = 120) -> DataFrame
 
 def breadcrumbs(parents: DataFrame, focus: str, most: int = 64) -> DataFrame:
     """(step, id) from the root to the focus along (id, parent_id); a loop ends the trail."""
+    known = settle(parents.filter("parent_id is not null").select("id", "parent_id"), "parents")
     trail, at = [focus], focus
     for _ in range(most):  # one point lookup a step
-        row = parents.filter((F.col("id") == at) & F.col("parent_id").isNotNull()).select(F.min("parent_id")).first()
+        row = known.filter(F.col("id") == at).select(F.min("parent_id")).first()
         if row[0] is None or row[0] in trail:
             break
         at = row[0]
         trail.append(at)
+    release(known)
     return parents.sparkSession.createDataFrame([(i, x) for i, x in enumerate(reversed(trail))], "step int, id string")
+
+
+def breadcrumbs_by_key(elements: DataFrame, focus: str) -> DataFrame:
+    """(step, id) from the root to the focus, by the prefixes of its canonical key: one lookup and one filtered scan."""
+    key = elements.filter(F.col("id") == focus).select(F.min("canonical_key")).first()[0]
+    parts = (key or "").split("/")
+    prefixes = ["/".join(parts[: i + 1]) for i in range(len(parts))]
+    found = elements.filter(F.col("canonical_key").isin(prefixes)).groupBy("canonical_key").agg(F.min("id").alias("id"))
+    step = F.row_number().over(Window.orderBy(F.length("canonical_key"))) - 1  # over one row a prefix
+    return found.select(step.alias("step"), "id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import content_hash
+from ..schema import content_hash, content_id
+from .select import NotFound
 
 
 class StaleRevision(ValueError):
@@ -17,9 +18,14 @@ class Rejected(ValueError):
 
 
 def latest(rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """One row a key: the last by ``order`` (any one, if rows don't say)."""
+    """One row a key: the last by ``order``.  Rows of a table have no order of their own: without ``order`` a key that
+    repeats stops the job with an error, unless its rows are equal."""
     if order is None:
-        return rows.dropDuplicates([key])
+        rest = [F.col(c) for c in rows.columns if c != key]
+        same = F.count_distinct(F.coalesce(F.to_json(F.struct(*rest)), F.lit(""))) if rest else F.lit(1)
+        one = rows.groupBy(key).agg(same.alias("__kinds"), *[F.first(c).alias(c) for c in rows.columns if c != key])
+        checked = F.when(F.col("__kinds") > 1, F.raise_error(F.concat(F.lit("repeated key needs an order: "), F.col(key).cast("string")))).otherwise(F.col(key))
+        return one.select(*[(checked if c == key else F.col(c)).alias(c) for c in rows.columns])
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return rows.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
 
@@ -47,35 +53,107 @@ def merge_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, key: tuple[str
     return old.unionByName(fresh.join(old.select(*key), list(key), "left_anti").select(*old.columns))
 
 
+def create_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """CREATE of edges: end points must exist; edges between the same ends are added beside those that are there."""
+    known = nodes.select(F.col("id").alias("known"))
+    fresh = new.join(known, F.col("src") == F.col("known"), "left_semi").join(known, F.col("dst") == F.col("known"), "left_semi")
+    return old.unionByName(fresh.select(*old.columns))
+
+
+def link(old: DataFrame, new: DataFrame, sources: DataFrame, targets: DataFrame, required: bool = False) -> DataFrame:
+    """MERGE of edges from one node table to another; an edge without both ends is left out.  ``required``: a missing
+    target is an error (as for what a view member renders)."""
+    ends = targets.select(F.col("id").alias("known"))
+    if required:
+        missing = new.join(ends, F.col("dst") == F.col("known"), "left_anti").select("dst").limit(1).collect()
+        if missing:
+            raise NotFound(f"not found: {missing[0][0]}")
+    fresh = new.join(sources.select(F.col("id").alias("k")), F.col("src") == F.col("k"), "left_semi").join(ends, F.col("dst") == F.col("known"), "left_semi")
+    return old.unionByName(fresh.dropDuplicates(["src", "dst"]).join(old.select("src", "dst"), ["src", "dst"], "left_anti").select(*old.columns))
+
+
 def set_where(old: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
     """MATCH … SET: changes rows, not their number."""
     hit = F.coalesce(condition, F.lit(False))
     return old.select(*[(F.when(hit, values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c in old.columns])
 
 
+def set_where_counted(old: DataFrame, condition: Column, values: dict[str, Column]) -> tuple[DataFrame, int]:
+    """MATCH … SET … RETURN: the changed table and how many rows were touched."""
+    return set_where(old, condition, values), old.filter(condition).count()
+
+
+def update_member_label(members: DataFrame, member: str, label: str, now: Column | None = None) -> DataFrame:
+    """Sets a view member's label (and updated_at, where the table has it); a member that isn't there is an error."""
+    values = {"label": F.lit(label)} | ({"updated_at": F.current_timestamp() if now is None else now} if "updated_at" in members.columns else {})
+    after, touched = set_where_counted(members, F.col("id") == member, values)
+    if not touched:
+        raise NotFound(f"view member not found: {member}")
+    return after
+
+
+#: What a repeated put of evidence leaves as it is.
+EVIDENCE_KEPT = ("confidence", "classification")
+
+
+def put_evidence(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """MERGE of evidence by id: all columns are overwritten but those in EVIDENCE_KEPT; observed_at may be text, and what
+    is no timestamp becomes the epoch."""
+    when = F.coalesce(F.try_to_timestamp(F.col("observed_at").cast("string")), F.timestamp_seconds(F.lit(0)))
+    return merge_nodes(old, new.withColumn("observed_at", when), keep_old=EVIDENCE_KEPT, order=order)
+
+
+def put_timed(old: DataFrame, new: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
+    """MERGE of diagrams, view members and groups: created_at stays what it was, updated_at (and a new created_at) is now."""
+    now = F.current_timestamp() if now is None else now
+    return merge_nodes(old, new.withColumns({"created_at": now, "updated_at": now}), keep_old=("created_at",), order=order)
+
+
+def members_of(props: Column) -> Column:
+    """A JSON object kept as text as map<string, variant>: values keep their kinds.  Null stands for {}; null if it is none."""
+    return F.from_json(F.coalesce(props, F.lit("{}")), "map<string,variant>")
+
+
 def with_status(props: Column, status: str) -> Column:
-    """Sets $.status in a JSON object kept as text; other members stay."""
-    rest = F.filter(F.map_entries(F.coalesce(F.from_json(props, "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda e: e["key"] != "status")
-    return F.to_json(F.map_concat(F.map_from_entries(rest), F.create_map(F.lit("status"), F.lit(status))))
+    """Sets $.status in a JSON object kept as text; other members stay as they are.  Text that is no object stays, too."""
+    rest = F.map_filter(members_of(props), lambda k, v: k != "status")
+    return F.coalesce(F.to_json(F.map_concat(rest, F.create_map(F.lit("status"), F.parse_json(F.lit(f'"{status}"'))))), props)
 
 
 def change_evidence_status(evidence: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Applies requests (id, action: accept or supersede) -> (evidence, violations).
 
     accept: drafted becomes accepted, accepted stays, superseded is a violation; supersede: from any status.  A request
-    for missing evidence is a violation.
+    for missing evidence, or for evidence whose props are no JSON object, is a violation.
     """
+    r = _judged(evidence, requests)
+    good = r.filter("why is null").select(F.col("id").alias("g_id"), "action")
+    out = evidence.join(good, evidence.id == F.col("g_id"), "left")
+    props = F.when(F.col("action") == "accept", with_status(F.col("props"), "accepted")).when(F.col("action") == "supersede", with_status(F.col("props"), "superseded")).otherwise(F.col("props"))
+    return out.withColumn("props", props).select(*evidence.columns), r.filter("why is not null").select("id", "action", "why")
+
+
+def _judged(evidence: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests, one an id, with the evidence's status ``now`` and ``why`` they can't be met."""
     from ..functions.scalars import status_or_accepted
 
     r = requests.groupBy("id").agg(F.max("action").alias("action"))  # supersede wins over accept
-    now = evidence.select(F.col("id").alias("e_id"), status_or_accepted(F.col("props")).alias("now"))
+    now = evidence.select(F.col("id").alias("e_id"), status_or_accepted(F.col("props")).alias("now"), members_of(F.col("props")).isNull().alias("broken"))
     j = r.join(now, F.col("id") == F.col("e_id"), "left")
-    why = F.when(F.col("e_id").isNull(), "not found").when((F.col("action") == "accept") & (F.col("now") == "superseded"), "superseded evidence can't be accepted").when(~F.col("action").isin("accept", "supersede"), "unknown action")
-    j = j.withColumn("why", why)
-    good = j.filter("why is null").select(F.col("id").alias("g_id"), "action")
-    out = evidence.join(good, evidence.id == F.col("g_id"), "left")
-    props = F.when(F.col("action") == "accept", with_status(F.col("props"), "accepted")).when(F.col("action") == "supersede", with_status(F.col("props"), "superseded")).otherwise(F.col("props"))
-    return out.withColumn("props", props).select(*evidence.columns), j.filter("why is not null").select("id", "action", "why")
+    why = (
+        F.when(F.col("e_id").isNull(), "not found").when(~F.col("action").isin("accept", "supersede"), "unknown action").when(F.col("broken"), "props are no JSON object")
+        .when((F.col("action") == "accept") & (F.col("now") == "superseded"), "superseded evidence can't be accepted")
+    )
+    return j.withColumn("why", why)
+
+
+def evaluations(evidence: DataFrame, requests: DataFrame, now: Column | None = None, criterion: str = "user_accepted", evaluator: str = "lifecycle_v1") -> tuple[DataFrame, DataFrame]:
+    """What acceptance adds to the graph: an Evaluation for each evidence that goes from drafted to accepted, and its
+    EVALUATES edge.  Evidence that was accepted before gets none."""
+    taken = _judged(evidence, requests).filter("why is null and action = 'accept' and now = 'drafted'").select(F.col("id").alias("target_evidence_id"))
+    ident = content_id("eval:", F.col("target_evidence_id"), F.lit(criterion), F.lit(evaluator))
+    made = taken.select(ident.alias("id"), "target_evidence_id", F.lit(criterion).alias("criterion"), F.lit(True).alias("passed"), F.lit(evaluator).alias("evaluator"), (F.current_timestamp() if now is None else now).alias("evaluated_at"), F.lit("{}").alias("props"))
+    return made, made.select(F.lit("Evaluation").alias("src_label"), F.col("id").alias("src"), F.lit("Evidence").alias("dst_label"), F.col("target_evidence_id").alias("dst"))
 
 
 def check_facts(facts: DataFrame, batch_kind: str, known_kinds: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.traverse import touching
 from ..scratch import settle
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+\.\d+|\d+)|(\$?[A-Za-z_]\w*)|(<>|<=|>=|->|<-|\.\.|[-=<>()\[\]{},.:*|+/]))")
@@ -89,6 +90,7 @@ def is_read_only(text: str) -> bool:
 class _Parser:
     def __init__(self, text: str, params: dict) -> None:
         self.t, self.i, self.params, self.fresh = tokens(text), 0, params, 0
+        self.paths: dict[str, tuple[int, int]] = {}
 
     def peek(self, *words: str) -> bool:
         return self.i + len(words) <= len(self.t) and all(self.t[self.i + k].upper() == w for k, w in enumerate(words))
@@ -138,9 +140,12 @@ class _Parser:
             while self.take(":") or self.take("|"):
                 kinds.append(self.word())
             if self.take("*"):
+                shortest = self.take("SHORTEST")
                 low = int(self.word()) if self.t[self.i].isdigit() else 1
                 high = int(self.word()) if self.take("..") else low
                 hops = (low, high)
+                if shortest:
+                    self.paths[name] = hops
             self.need("]")
         ahead = self.take("->")
         if not ahead:
@@ -183,6 +188,9 @@ class _Planner(_Parser):
     def __init__(self, graph: Graph, text: str, params: dict) -> None:
         super().__init__(text, params)
         self.graph, self.df, self.bound = graph, None, set()
+        self.by_id: set[str] = set()
+        self.kinds_of: dict[str, list[str]] = {}
+        self.apart: list[tuple[str, bool]] = []
 
     # expressions ---------------------------------------------------------------------------------------------
     def expression(self) -> Column:
@@ -201,6 +209,11 @@ class _Planner(_Parser):
         return ~self.negation() if self.take("NOT") else self.comparison()
 
     def comparison(self) -> Column:
+        if self.peek("ALL", "(") and self.t[self.i + 4] in self.paths:  # met by the walk already
+            depth, self.i = 1, self.i + 2
+            while depth:
+                depth += {"(": 1, ")": -1}.get(self.word(), 0)
+            return F.lit(True)
         a = self.operand()
         if self.take("IS", "NOT", "NULL"):
             return a.isNotNull()
@@ -296,10 +309,13 @@ class _Planner(_Parser):
             for k, v in n.props.items():
                 t = t.filter(F.col(k).isNull() if v is None else F.col(k) == v)
             t = self._prefixed(t, n.name)
+            if "id" in n.props:
+                self.by_id.add(n.name)
             if self.df is None:
                 self.df = t
             elif key is None:
-                self.df = self.df.crossJoin(t) if how == "inner" else self.df.join(t, F.lit(True), "left")  # unconnected patterns
+                self.apart += [(n.name, "id" in n.props), *[(b, b in self.by_id) for b in self.bound]]
+                self.df = self.df.crossJoin(t) if how == "inner" else self.df.join(t, F.lit(True), "left")  # unconnected patterns, see query()
             else:
                 self.df = self.df.join(t, key == F.col(f"`{_column(n.name, 'id')}`"), how)
             self.bound.add(n.name)
@@ -344,7 +360,7 @@ class _Planner(_Parser):
             here = F.col(f"`{_column(before.name, 'id')}`")
             if e.hops:
                 t = self._walk(e, before)
-                t = t.select(F.col("src").alias(_column(e.name, "src")), F.col("dst").alias(_column(e.name, "dst")))
+                t = t.select(F.col("src").alias(_column(e.name, "src")), F.col("dst").alias(_column(e.name, "dst")), *([F.col("path").alias(e.name)] if e.name in self.paths else []))
             else:
                 raw = self.graph.edge(e.kinds)
                 turned = {"src": F.col("dst"), "dst": F.col("src")}
@@ -356,19 +372,43 @@ class _Planner(_Parser):
             self.df = self.df.join(t, here == F.col(f"`{_column(e.name, 'src')}`"), how)
             self._with_node(after, how, F.col(f"`{_column(e.name, 'dst')}`"))
 
+    def _all_edges(self, name: str) -> Column | None:
+        """WHERE ALL(edge IN path WHERE …) of a shortest path that is being matched: the condition on its edges."""
+        for at in range(self.i, len(self.t) - 4):
+            if self.t[at].upper() == "ALL" and self.t[at + 1] == "(" and self.t[at + 3].upper() == "IN" and self.t[at + 4] == name:
+                inner = _Planner(self.graph, "", self.params)
+                edge, depth, end = self.t[at + 2], 1, at + 6
+                while depth:
+                    depth += {"(": 1, ")": -1}.get(self.t[end], 0)
+                    end += 1
+                # inside the condition edge.x is the column x of the edges
+                words = self.t[at + 6 : end - 1]
+                inner.t = [w for k, w in enumerate(words) if not (w == edge and words[k + 1 : k + 2] == ["."]) and not (w == "." and words[k - 1] == edge)]
+                inner.df = self.graph.edge(self.kinds_of.get(name, []))
+                return inner.expression()
+        return None
+
     def _walk(self, e: Edge, before: Node) -> DataFrame:
-        """(src, dst) of ends of trails with low to high steps: pairs by shortest distance, each once."""
-        raw = self.graph.edge(e.kinds).select("src", "dst")
-        back = raw.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        step = settle({"out": raw, "in": back, "both": raw.unionAll(back)}[e.direction].distinct(), "steps")
+        """(src, dst) of ends of trails with low to high steps: pairs by shortest distance, each once; with SHORTEST also
+        path, the ids on the way that comes first in order.  Every step reads the edges that leave its frontier only."""
+        raw, shortest = self.graph.edge(e.kinds), e.name in self.paths
+        if shortest:
+            self.kinds_of[e.name] = e.kinds
+            condition = self._all_edges(e.name)
+            raw = raw if condition is None else raw.filter(condition)
+        raw = raw.select("src", "dst")
         start = settle(self.df.select(F.col(f"`{_column(before.name, 'id')}`").alias("src")).distinct(), "starts")
-        seen = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("n"))
-        frontier = seen
+        seen = frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("n"), F.array("src").alias("path"))
         for n in range(1, e.hops[1] + 1):
-            more = frontier.select(F.col("src").alias("s"), F.col("dst").alias("d")).join(step, F.col("d") == F.col("src")).select(F.col("s").alias("src"), "dst").distinct()
-            frontier = settle(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("n", F.lit(n)), "walk")
+            ids = frontier.select(F.col("dst").alias("id")).distinct()
+            step = touching(raw, ids, frontier.count(), e.direction)
+            more = frontier.select(F.col("src").alias("s"), F.col("dst").alias("d"), "path").join(step, F.col("d") == F.col("src"))
+            more = more.groupBy(F.col("s").alias("src"), "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+            frontier = settle(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(n).alias("n"), "path"), "walk")
+            if frontier.isEmpty():
+                break
             seen = seen.unionByName(frontier)
-        return seen.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst")
+        return seen.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst", *(["path"] if shortest else []))
 
     def project(self) -> None:
         distinct = self.take("DISTINCT")
@@ -416,7 +456,12 @@ class _Planner(_Parser):
 
 
 def query(graph: Graph, text: str, **params) -> DataFrame:
-    """The result of a read query as a DataFrame; a query that writes is refused."""
+    """The result of a read query as a DataFrame; a query that writes is refused, and so is one with patterns that nothing
+    connects (every row of one with every row of the other), unless one of them is bound by its id."""
     if not is_read_only(text):
         raise CypherError("the query writes; use operators.upsert")
-    return _Planner(graph, text, params).run()
+    planner = _Planner(graph, text, params)
+    found = planner.run()
+    if planner.apart and not any(known or re.search(rf"\b{re.escape(name)}\.id\s*(?:=|IN\b)", text) for name, known in planner.apart):
+        raise CypherError(f"nothing connects the patterns of {', '.join(n for n, _ in planner.apart)}; bind one by its id")
+    return found

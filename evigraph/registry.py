@@ -45,7 +45,7 @@ def g_elements_in_scope(spark, d):
 
 @query("SELECT relation_id, predicate_id, source_id, target_id, order_key, props FROM edges WHERE active AND source_id IN (SELECT id FROM elements WHERE category = 'party') AND target_id IN (SELECT id FROM elements WHERE category = 'sales')", ELEMENTS_SQL, EDGES_SQL)
 def g_semantic_edges(spark, d):
-    return select.query_edges(star.edges(spark, d), star.elements(spark, d), "party", "sales")
+    return select.query_edges(star.edges(spark, d, "party", "sales"), star.elements(spark, d), "party", "sales")
 
 
 @query("SELECT id, name, description, props FROM versions WHERE id IN (SELECT current_version_id FROM elements WHERE category = 'geo')", ELEMENTS_SQL, VERSIONS_SQL)
@@ -77,9 +77,10 @@ def g_evidence_exportable(spark, d):
     return select.exportable_evidence(star.evidence(spark, d)).select("id", "path")
 
 
-@query("SELECT (SELECT count(*) FROM elements) AS elements, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM evidence) AS evidence", ELEMENTS_SQL, EDGES_SQL, EVIDENCE_SQL)
+@query("SELECT (SELECT count(*) FROM elements) AS elements, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM evidence) AS evidence, (SELECT count(DISTINCT kind_id) FROM elements) AS metatypes, (SELECT count(DISTINCT predicate_id) FROM edges) AS predicates", ELEMENTS_SQL, EDGES_SQL, EVIDENCE_SQL)
 def g_stat(spark, d):
-    return select.stat(elements=star.elements(spark, d), edges=star.edges(spark, d), evidence=star.evidence(spark, d))
+    e, r = star.elements(spark, d), star.edges(spark, d)
+    return select.stat(elements=e, edges=r, evidence=star.evidence(spark, d), metatypes=e.select("kind_id").distinct(), predicates=r.select("predicate_id").distinct())
 
 
 @query("SELECT category, kind_id, count(*) AS n FROM elements GROUP BY category, kind_id", ELEMENTS_SQL)
@@ -126,12 +127,10 @@ def _plain(spark, d) -> DataFrame:
 
 
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
-    # the predicate is a literal in each branch, so the branch of `uses` (and its aggregation) leaves the plan
-    e = star.edges(spark, d).filter("predicate_id <> 'core.uses'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    return e, star.elements(spark, d).select("id", F.col("kind_id").alias("label"))
+    return _plain(spark, d), star.elements(spark, d).select("id", F.col("kind_id").alias("label"))
 
 
-BOTH_SQL = "plain AS (SELECT source_id AS src, target_id AS dst FROM edges WHERE NOT (source_id LIKE 'order:%' AND target_id LIKE 'part:%')), both_ways AS (SELECT src, dst FROM plain UNION SELECT dst, src FROM plain)"
+BOTH_SQL = "plain AS (SELECT source_id AS src, target_id AS dst FROM edges), both_ways AS (SELECT src, dst FROM plain UNION SELECT dst, src FROM plain)"
 
 
 def _walk_sql(start: str, edges: str, depth: int) -> str:
@@ -196,36 +195,42 @@ def g_sequence(spark, d):
     return traverse.sequence(star.calls(spark, d), START, 3, cap=1_000_000).select("sender", "receiver", "depth")
 
 
-@query()
-def g_sequence_order(spark, d):
-    return traverse.sequence(star.calls(spark, d), START, 4, cap=50)
-
+def _first_places_sql(start: str, depth: int) -> str:
+    """Breadth-first places: of each node the least place of a sender on the level before, then its own key."""
+    return f"""placed(id, n, place) AS (SELECT '{start}', 0, '' UNION ALL
+  SELECT id, n, place FROM (SELECT c.dst AS id, p.n + 1 AS n, p.place || '>' || c.dst AS place, row_number() OVER (PARTITION BY c.dst ORDER BY p.place) AS nth FROM placed p JOIN calls c ON p.id = c.src WHERE p.n < {depth}) WHERE nth = 1),
+  first_met AS (SELECT id, n, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, place) AS k FROM placed) WHERE k = 1)"""
 
-SPARSE_SQL = "sparse AS (SELECT src, dst FROM calls WHERE CAST(split_part(src, ':', 2) AS BIGINT) % 3 = 0 AND CAST(split_part(dst, ':', 2) AS BIGINT) % 3 = 0)"
 
-
-def _sparse(spark, d) -> DataFrame:
-    number = lambda c: F.split(c, ":")[1].cast("long")
-    return star.calls(spark, d).filter((number("src") % 3 == 0) & (number("dst") % 3 == 0))
+@query("SELECT CAST(row_number() OVER (ORDER BY depth, place, receiver) AS INTEGER) AS order_key, sender, receiver, depth, revisited FROM (SELECT c.src AS sender, c.dst AS receiver, CAST(s.n + 1 AS INTEGER) AS depth, s.place, NOT (r.n = s.n + 1 AND r.place = s.place || '>' || c.dst) AS revisited FROM first_met s JOIN calls c ON c.src = s.id JOIN first_met r ON r.id = c.dst WHERE s.n < 4 ORDER BY depth, place, receiver LIMIT 50)", CALLS_SQL, _first_places_sql(START, 4), recursive=True)
+def g_sequence_order(spark, d):
+    return traverse.sequence(star.calls(spark, d), START, 4, cap=50)
 
 
-@query("SELECT DISTINCT s.src, s.dst FROM sparse s JOIN r ON r.a = s.dst AND r.b = s.src", CALLS_SQL, SPARSE_SQL, "r(a, b) AS (SELECT src, dst FROM sparse UNION SELECT r.a, s.dst FROM r JOIN sparse s ON r.b = s.src)", recursive=True)
+@query("SELECT DISTINCT c.src, c.dst FROM calls c JOIN r ON r.a = c.dst AND r.b = c.src", CALLS_SQL, "r(a, b) AS (SELECT src, dst FROM calls UNION SELECT r.a, c.dst FROM r JOIN calls c ON r.b = c.src)", recursive=True)
 def g_cycles(spark, d):
-    return traverse.on_cycles(_sparse(spark, d))
+    return traverse.on_cycles(star.calls(spark, d))
 
 
-@query("SELECT id, CAST(max(n) AS INTEGER) AS layer FROM l GROUP BY id", ELEMENTS_SQL, EDGES_SQL, "down AS (SELECT target_id AS src, source_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to')", "l(id, n) AS (SELECT id, 0 FROM elements WHERE category IN ('geo', 'party') UNION SELECT dst, n + 1 FROM l JOIN down ON l.id = src)", recursive=True)
+@query("SELECT id, CAST(max(n) AS INTEGER) AS layer FROM l GROUP BY id", ELEMENTS_SQL, EDGES_SQL, "down AS (SELECT target_id AS src, source_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to' UNION ALL SELECT source_id, target_id FROM edges WHERE predicate_id <> 'core.belongs_to')", "l(id, n) AS (SELECT id, 0 FROM elements UNION SELECT dst, n + 1 FROM l JOIN down ON l.id = src WHERE n < 4)", recursive=True)
 def g_layers(spark, d):
-    down = star.edges(spark, d).filter("predicate_id = 'core.belongs_to'").select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))
-    return traverse.layers(star.elements(spark, d).filter("category in ('geo', 'party')"), down)
+    # from region down to part; orders lead back to suppliers, which lead nowhere, so there is no cycle
+    up = F.col("predicate_id") == "core.belongs_to"
+    down = star.edges(spark, d).select(F.when(up, F.col("target_id")).otherwise(F.col("source_id")).alias("src"), F.when(up, F.col("source_id")).otherwise(F.col("target_id")).alias("dst"))
+    return traverse.layers(star.elements(spark, d), down)
 
 
-@query("SELECT id, layer, CAST((row_number() OVER (PARTITION BY layer ORDER BY id) - 1) * 220 AS INTEGER) AS x, CAST(layer * 120 AS INTEGER) AS y FROM (SELECT id, length(canonical_key) - length(replace(canonical_key, '/', '')) AS layer FROM elements WHERE category = 'geo')", ELEMENTS_SQL)
+@query("SELECT id, layer, CAST((row_number() OVER (PARTITION BY layer ORDER BY id) - 1) * 220 AS INTEGER) AS x, CAST(layer * 120 AS INTEGER) AS y FROM (SELECT id, length(canonical_key) - length(replace(canonical_key, '/', '')) AS layer FROM elements)", ELEMENTS_SQL)
 def g_layout(spark, d):
-    e = star.elements(spark, d).filter("category = 'geo'").select("id", (F.size(F.split("canonical_key", "/")) - 1).cast("long").alias("layer"))
+    e = star.elements(spark, d).select("id", (F.size(F.split("canonical_key", "/")) - 1).cast("long").alias("layer"))
     return traverse.layout(e).select("id", "layer", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
 
+@query("SELECT coalesce(direction, 'all') AS direction, count(*) AS n, CAST(coalesce(max(n), 0) AS INTEGER) AS max_depth FROM (SELECT id, 'downstream' AS direction, min(n) AS n FROM ahead WHERE n > 0 AND id <> 'part:10' GROUP BY id UNION ALL SELECT id, 'upstream', min(n) FROM behind WHERE n > 0 AND id <> 'part:10' GROUP BY id) GROUP BY ROLLUP (direction)", CALLS_SQL, BACK_SQL, _paths_sql("ahead", "calls", START, 2), _paths_sql("behind", "back", START, 2), recursive=True)
+def g_impact_summary(spark, d):
+    return traverse.impact_summary(traverse.impact(star.calls(spark, d), START, 2, "both"))
+
+
 # analyses --------------------------------------------------------------------------------------------------------
 def _files(spark, d) -> DataFrame:
     p = star.table(spark, d, "part")
@@ -289,7 +294,7 @@ def g_parents(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY length(canonical_key)) - 1 AS INTEGER) AS step, id FROM elements WHERE starts_with((SELECT canonical_key FROM elements WHERE id = 'customer:7') || '/', canonical_key || '/')", ELEMENTS_SQL)
 def g_breadcrumbs(spark, d):
-    return traverse.breadcrumbs(analytics.derive_parents(star.elements(spark, d).filter("category in ('geo', 'party')")), "customer:7")
+    return traverse.breadcrumbs_by_key(star.elements(spark, d), "customer:7")
 
 
 @query("SELECT id FROM elements WHERE category IN ('geo', 'party') AND (id = 'nation:3' OR regexp_replace(canonical_key, '/[^/]*$', '') = (SELECT canonical_key FROM elements WHERE id = 'nation:3') OR canonical_key = (SELECT regexp_replace(canonical_key, '/[^/]*$', '') FROM elements WHERE id = 'nation:3'))", ELEMENTS_SQL)
@@ -341,6 +346,23 @@ def g_connascence(spark, d):
     return analytics.connascence(_services(spark, d))
 
 
+@query("SELECT predicate_id, count(*) AS n, min(relation_id) AS first FROM edges GROUP BY predicate_id", EDGES_SQL)
+def g_edges_by_predicate(spark, d):
+    return analytics.by_group(star.edges(spark, d), "predicate_id", "relation_id")
+
+
+@query("SELECT length(canonical_key) - length(replace(canonical_key, '/', '')) AS level, count(*) AS n, arg_min(id, (canonical_key, id)) AS first FROM elements GROUP BY 1", ELEMENTS_SQL)
+def g_elements_by_level(spark, d):
+    e = star.elements(spark, d).withColumn("level", (F.size(F.split("canonical_key", "/")) - 1).cast("long"))
+    return analytics.by_group(e, "level", "id", "canonical_key")
+
+
+@query("""SELECT stem, a, b, confidence FROM (SELECT stem, first.id AS a, second.id AS b, 1.0::DOUBLE AS confidence FROM (
+  SELECT stem, spelling, list_sort(list({'id': id}))[1] AS first, list_sort(list({'id': id}))[2] AS second FROM spelled GROUP BY stem, spelling HAVING count(*) > 1)) ORDER BY confidence DESC, stem DESC, a, b LIMIT 1""", SERVICES_SQL)
+def g_best_finding(spark, d):
+    return analytics.best_finding(analytics.connascence(_services(spark, d)))
+
+
 @query("SELECT DISTINCT id FROM elements WHERE contains('how does region asia depend on customer#000000012 and order 33', lower(current_name)) OR contains('how does region asia depend on customer#000000012 and order 33', lower(canonical_key))", ELEMENTS_SQL)
 def g_focus_elements(spark, d):
     return analytics.focus_elements(star.elements(spark, d), "How does region ASIA depend on Customer#000000012 and order 33")
@@ -389,26 +411,94 @@ def g_merge_edges(spark, d):
     return upsert.merge_edges(old, new, star.elements(spark, d))
 
 
+@query("SELECT 'user:' || user_id AS id, arg_max(event_type, event_id) AS name, CASE WHEN user_id % 2 = 0 THEN 'old' END AS note FROM events GROUP BY user_id")
+def g_merge_repeated(spark, d):
+    """Keys that repeat: the last row by order wins; what the new rows lack stays."""
+    e = star.table(spark, d, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("id"), F.col("event_type").alias("name"), F.col("event_id").alias("at"), "user_id")
+    old = e.filter("user_id % 2 = 0").select("id").distinct().select("id", F.lit("?").alias("name"), F.lit("old").alias("note"))
+    return upsert.merge_nodes(old, e.select("id", "name", "at"), order="at")
+
+
+@query("SELECT src, dst, count(*) AS n FROM (SELECT source_id AS src, target_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to' UNION ALL SELECT source_id, target_id FROM edges WHERE predicate_id = 'core.belongs_to' AND target_id = 'nation:3') GROUP BY ALL", EDGES_SQL)
+def g_create_edges(spark, d):
+    old = star.edges(spark, d).filter("predicate_id = 'core.belongs_to'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    new = old.filter("dst = 'nation:3'").unionAll(spark.range(1).select(F.lit("supplier:1"), F.lit("nation:nowhere")))
+    return upsert.create_edges(old, new, star.elements(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+MEMBERS_SQL = "members AS (SELECT 'm:' || p_partkey AS id, 'd:' || p_brand AS diagram_id, 'part:' || p_partkey AS element_id, p_name AS label, p_size AS x, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS created_at FROM part)"
+
+
+def _members(spark, d) -> DataFrame:
+    p, k = star.table(spark, d, "part"), F.col("p_partkey")
+    name = lambda x: F.concat(F.lit(x), k.cast("string"))
+    return p.select(name("m:").alias("id"), F.concat(F.lit("d:"), "p_brand").alias("diagram_id"), name("part:").alias("element_id"), F.col("p_name").alias("label"), F.col("p_size").cast("long").alias("x"), F.when(k % 3 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+@query("SELECT id, element_id, label FROM members WHERE diagram_id = 'd:Brand#11'", MEMBERS_SQL)
+def g_view_members(spark, d):
+    return select.get_view_members(_members(spark, d), "d:Brand#11").select("id", "element_id", "label")
+
+
+@query("SELECT id, CASE WHEN x % 2 = 0 THEN 'moved' ELSE label END AS label, strftime(CASE WHEN x % 2 = 0 THEN coalesce(created_at, TIMESTAMP '2025-05-05 05:05:05') ELSE created_at END, '%Y-%m-%d') AS created, CASE WHEN x % 2 = 0 THEN '2025-05-05' END AS updated FROM members", MEMBERS_SQL)
+def g_put_view_members(spark, d):
+    m = _members(spark, d)
+    after = upsert.put_timed(m, m.filter("x % 2 = 0").withColumn("label", F.lit("moved")), F.lit("2025-05-05 05:05:05").cast("timestamp"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return after.select("id", "label", day("created_at").alias("created"), day("updated_at").alias("updated"))
+
+
+@query("SELECT id, CASE WHEN id = 'm:7' THEN 'seven' ELSE label END AS label FROM members", MEMBERS_SQL)
+def g_member_label(spark, d):
+    return upsert.update_member_label(_members(spark, d).drop("updated_at"), "m:7", "seven").select("id", "label")
+
+
 _REQUEST = "CASE WHEN seq % 4 = 0 THEN 'accept' WHEN seq % 4 = 1 THEN 'supersede' END"
 
 
-@query(f"""SELECT id, CASE WHEN seq % 4 = 1 THEN 'superseded' WHEN seq % 4 = 0 AND status = 'drafted' THEN 'accepted' ELSE status END AS status FROM (SELECT *, {STATUS_SQL} AS status FROM evidence)""", EVIDENCE_SQL)
+def _rich_evidence(spark, d) -> DataFrame:
+    """Evidence whose props hold more than a status: numbers, lists, flags; some are no JSON at all."""
+    more = F.concat(F.lit('{"n":'), F.col("seq").cast("string"), F.lit(',"o":{"x":[1,"2"]},"b":true,'), F.substring("props", 2, 1000))
+    return star.evidence(spark, d).withColumn("props", F.when(F.col("seq") % 16 == 5, F.lit("no json")).when(F.col("props") != "{}", more).otherwise(F.col("props")))
+
+
+RICH_SQL = """rich AS (SELECT id, seq, CASE WHEN seq % 16 = 5 THEN 'accepted' ELSE coalesce(json_extract_string(props, '$.status'), 'accepted') END AS status, CASE WHEN seq % 16 = 5 THEN 'no json' WHEN props <> '{}' THEN '{"n":' || seq || ',"o":{"x":[1,"2"]},"b":true,' || substr(props, 2) ELSE props END AS props FROM evidence)"""
+
+
+@query("""SELECT id, CASE WHEN seq % 16 = 5 OR NOT (seq % 4 = 1 OR seq % 4 = 0 AND status <> 'superseded') THEN props
+  ELSE CASE WHEN props = '{}' THEN '{' ELSE '{"n":' || seq || ',"o":{"x":[1,"2"]},"b":true,' END || '"status":"' || CASE WHEN seq % 4 = 1 THEN 'superseded' ELSE 'accepted' END || '"}' END AS props FROM rich""", EVIDENCE_SQL, RICH_SQL)
 def g_evidence_lifecycle(spark, d):
-    e = star.evidence(spark, d)
+    e = _rich_evidence(spark, d)
     after, _ = upsert.change_evidence_status(e, e.select("id", F.expr(_REQUEST).alias("action")).filter("action is not null"))
-    return after.select("id", s.status_or_accepted(F.col("props")).alias("status"))
+    return after.select("id", "props")
 
 
-@query(f"""SELECT id, 'accept' AS action, 'superseded evidence can''t be accepted' AS why FROM (SELECT *, {STATUS_SQL} AS status FROM evidence) WHERE seq % 4 = 0 AND status = 'superseded' UNION ALL SELECT 'ev:none', 'accept', 'not found'""", EVIDENCE_SQL)
+@query("SELECT id AS target_evidence_id, 'user_accepted' AS criterion, true AS passed, 1 AS links FROM rich WHERE seq % 4 = 0 AND status = 'drafted'", EVIDENCE_SQL, RICH_SQL)
+def g_evaluations(spark, d):
+    e = _rich_evidence(spark, d)
+    made, links = upsert.evaluations(e, e.select("id", F.expr(_REQUEST).alias("action")).filter("action is not null"))
+    n = links.groupBy("src").agg(F.count("*").cast("int").alias("links"))
+    return made.join(n, F.col("id") == F.col("src")).select("target_evidence_id", "criterion", "passed", "links")
+
+
+@query("SELECT id, CASE WHEN seq % 2 = 0 THEN 'new' ELSE claim END AS claim, 0.5::DOUBLE AS confidence, CASE WHEN seq % 4 = 0 THEN '1970-01-01' WHEN seq % 2 = 0 THEN '2025-01-02' ELSE '2024-01-01' END AS day FROM evidence", EVIDENCE_SQL)
+def g_put_evidence(spark, d):
+    old = star.evidence(spark, d).select("id", "claim", F.lit(0.5).alias("confidence"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("observed_at"), "seq")
+    when = F.when(F.col("seq") % 4 == 0, "sometime").otherwise("2025-01-02T03:04:05Z")
+    after = upsert.put_evidence(old, old.filter("seq % 2 = 0").select("id", F.lit("new").alias("claim"), F.lit(0.9).alias("confidence"), when.alias("observed_at"), "seq"))
+    return after.select("id", "claim", "confidence", F.date_format("observed_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("""SELECT id, 'accept' AS action, 'superseded evidence can''t be accepted' AS why FROM rich WHERE seq % 4 = 0 AND status = 'superseded' UNION ALL SELECT 'ev:none', 'accept', 'not found' UNION ALL SELECT id, 'supersede', 'props are no JSON object' FROM rich WHERE seq % 16 = 5""", EVIDENCE_SQL, RICH_SQL)
 def g_evidence_violations(spark, d):
-    e = star.evidence(spark, d)
+    e = _rich_evidence(spark, d)
     requests = e.select("id", F.expr(_REQUEST).alias("action")).filter("action is not null").unionAll(spark.range(1).select(F.lit("ev:none"), F.lit("accept")))
     return upsert.change_evidence_status(e, requests)[1]
 
 
-@query("SELECT doc_id AS id, CASE WHEN coalesce(claim, '') = '' THEN 'claim required' WHEN strlen(claim) > 255 THEN 'claim over 255 bytes' WHEN kind IS NULL THEN 'kind required' WHEN kind NOT IN ('en', 'de', 'fr') THEN 'unknown kind' END AS reason FROM (SELECT doc_id, substr(text, 1, 250) AS claim, lang AS kind FROM documents) WHERE coalesce(claim, '') = '' OR strlen(claim) > 255 OR kind IS NULL OR kind NOT IN ('en', 'de', 'fr')")
+@query("SELECT doc_id AS id, CASE WHEN coalesce(claim, '') = '' THEN 'claim required' WHEN strlen(claim) > 255 THEN 'claim over 255 bytes' WHEN kind IS NULL THEN 'kind required' WHEN kind NOT IN ('en', 'de', 'fr') THEN 'unknown kind' END AS reason FROM (SELECT doc_id, text AS claim, lang AS kind FROM documents) WHERE coalesce(claim, '') = '' OR strlen(claim) > 255 OR kind IS NULL OR kind NOT IN ('en', 'de', 'fr')")
 def g_bad_facts(spark, d):
-    f = star.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 250).alias("claim"), F.col("lang").alias("kind"), F.lit(None).cast("boolean").alias("semantic"))
+    f = star.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("claim"), F.col("lang").alias("kind"), F.lit(None).cast("boolean").alias("semantic"))
     return upsert.check_facts(f, "plain", ("en", "de", "fr"))[1].select("id", "reason")
 
 
@@ -606,6 +696,21 @@ def g_cypher_unwind(spark, d):
     return cypher.query(_cypher_graph(spark, d), "UNWIND ['region:0', 'nation:4', 'region:9'] AS k MATCH (e:Element) WHERE e.id = k RETURN k, e.current_name AS name")
 
 
+@query("SELECT path FROM (SELECT path FROM up WHERE id = 'region:1' ORDER BY n, path LIMIT 1)", EDGES_SQL, "plain AS (SELECT source_id AS src, target_id AS dst FROM edges WHERE active)", _paths_sql("up", "plain", "customer:7", 5), recursive=True)
+def g_cypher_shortest(spark, d):
+    return cypher.query(_cypher_graph(spark, d), "MATCH (s:Element {id: 'customer:7'})-[path:SEMANTIC_EDGE* SHORTEST 1..12]->(t:Element {id: $t}) WHERE ALL(edge IN path WHERE edge.active = true) RETURN path", t="region:1").select(F.array_join("path", ">").alias("path"))
+
+
+@query("SELECT a.id AS region, b.current_name AS name, c.id AS customer FROM elements a JOIN elements b ON b.id = 'nation:3' AND a.id = 'region:1' JOIN edges r ON r.target_id = b.id JOIN elements c ON c.id = r.source_id AND c.kind_id = 'mt.customer' WHERE c.current_status IS NOT NULL", ELEMENTS_SQL, EDGES_SQL)
+def g_cypher_two_matches(spark, d):
+    return cypher.query(_cypher_graph(spark, d), "MATCH (a:Element {id: 'region:1'}), (b:Element {id: 'nation:3'}) MATCH (c:Element {kind_id: 'mt.customer'})-[:SEMANTIC_EDGE]->(b) WITH a, b, c WHERE c.current_status IS NOT NULL RETURN a.id AS region, b.current_name AS name, c.id AS customer")
+
+
+@query("SELECT o.id, o.current_name FROM edges r JOIN elements o ON o.id = r.target_id WHERE r.source_id = 'customer:7' AND r.predicate_id = 'core.owns' AND r.active AND o.kind_id = 'mt.order'", ELEMENTS_SQL, EDGES_SQL)
+def g_components_of(spark, d):
+    return select.related(star.edges(spark, d, "party", "sales"), star.elements(spark, d), "customer:7", "core.owns", "mt.order").select("id", "current_name")
+
+
 @query("SELECT category, kind_id, count(*) AS n, count(*) FILTER (current_status = 'accepted') AS accepted FROM elements GROUP BY ALL", ELEMENTS_SQL)
 def g_status_histogram(spark, d):
     return star.elements(spark, d).groupBy("category", "kind_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("current_status") == "accepted", 1)).alias("accepted"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import tomllib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +78,8 @@ def scope_manifests(spark: SparkSession, documents: list[tuple[str, str]]) -> Da
 def package_candidates(files: DataFrame) -> DataFrame:
     """Container candidates (canonical_key, name, strategy, confidence, file) from manifest files (path, text).
 
-    One DataFrame a strategy, in order: Cargo packages, npm workspaces' packages, single npm packages, Helm charts,
-    component folders, Dockerfiles.
+    One DataFrame a strategy, in order: Cargo packages, npm workspaces' packages (folders that a pattern of the root's
+    ``workspaces`` names, in either of its forms), single npm packages, Helm charts, component folders, Dockerfiles.
     """
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"/?[^/]*$", "")
     last = F.element_at(F.split(folder, "/"), -1)
@@ -91,9 +93,15 @@ def package_candidates(files: DataFrame) -> DataFrame:
     chart = F.regexp_extract("text", r'(?m)^name:\s*["\']?([^"\'\s]+)', 1)
     title = F.regexp_extract("text", r'(?im)^\s*LABEL\s+[^\n]*?title\s*=\s*"?([^"\n]+)"?', 1)
     inner = folder != ""
+    spaces = F.coalesce(F.from_json(F.get_json_object("text", "$.workspaces"), "array<string>"), F.from_json(F.get_json_object("text", "$.workspaces.packages"), "array<string>"))
+    globs = files.filter((name == "package.json") & ~inner).select(F.explode(spaces).alias("glob"))
+    # a pattern's * stands for one folder, ** for any; folders up to two below what it names count
+    table = globs.agg(F.collect_set(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.rtrim(F.col("glob"), F.lit("/")), r"[.+()]", r"\\$0"), r"\*\*", "\u0001"), r"\*", "[^/]+"), F.lit("(?:/[^/]+){0,2}$"))).alias("globs"))
+    member = F.exists("globs", lambda g: F.regexp_like(folder, F.regexp_replace(g, "\u0001", ".*")))
+    files = files.join(F.broadcast(table), F.lit(True))  # one row
     parts = [
         found(name == "Cargo.toml", toml_name, "cargo", F.lit(0.85)),
-        found((name == "package.json") & inner, npm_name, "npm", F.lit(0.8)),
+        found((name == "package.json") & inner & member, npm_name, "npm", F.lit(0.8)),
         found((name == "package.json") & ~inner, npm_name, "npm-single", F.lit(0.7)),
         found(name == "Chart.yaml", F.when(chart != "", chart).otherwise(last), "helm", F.when(chart != "", 0.7).otherwise(0.5)),
         found(F.col("path").rlike(r"(?:^|/)components/[^/]+/[^/]+$"), last, "components", F.lit(0.65)),
@@ -104,11 +112,29 @@ def package_candidates(files: DataFrame) -> DataFrame:
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """(path, name, kind) of dependencies in Cargo manifests; kinds are the sections' names; each once."""
-    sections = F.regexp_extract_all("text", F.lit(r"(?ms)^\[((?:dev-|build-)?dependencies)\]\n(.*?)(?=^\[|\z)"), F.lit(0))
-    s = files.filter(F.col("path").rlike(r"(?:^|/)Cargo\.toml$")).select("path", F.explode(sections).alias("s"))
-    s = s.select("path", F.regexp_extract("s", r"^\[([^\]]+)\]", 1).alias("kind"), F.explode(F.regexp_extract_all("s", F.lit(r"(?m)^([A-Za-z0-9_-]+)\s*="), F.lit(1))).alias("name"))
-    return s.select("path", "name", "kind").distinct()
+    """(path, name, kind) of dependencies in Cargo manifests, each once; kinds are dependencies, dev-dependencies and
+    build-dependencies, whether a name stands in such a section, in a table of its own ([dependencies.x]), below
+    [target.…] or below [workspace].  A manifest that can't be read has none."""
+    kinds = ("dependencies", "dev-dependencies", "build-dependencies")
+
+    def of(m: dict) -> Iterator[tuple[str, str]]:
+        for kind in kinds:
+            yield from ((name, kind) for name in m.get(kind, {}))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"], strict=True):
+                try:
+                    m = tomllib.loads(text or "")
+                except tomllib.TOMLDecodeError:
+                    continue
+                for part in (m, m.get("workspace", {}), *m.get("target", {}).values()):
+                    rows += [(path, name, kind) for name, kind in of(part)]
+            yield pd.DataFrame(rows, columns=["path", "name", "kind"])
+
+    manifests = files.filter(F.col("path").rlike(r"(?:^|/)Cargo\.toml$")).select("path", "text")
+    return manifests.mapInPandas(run, "path string, name string, kind string").distinct()
 
 
 def event_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

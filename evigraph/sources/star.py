@@ -68,14 +68,16 @@ def _edge(df: DataFrame, predicate: str, src: Column, dst: Column, active: Colum
     )
 
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
+def edges(spark: SparkSession, folder: str, source: str | None = None, target: str | None = None) -> DataFrame:
     """belongs_to upwards; owns from customer to order (inactive for pending ones); uses from order to part and
-    supplied_by from order to supplier, once a pair, weighted by lines."""
+    supplied_by from order to supplier, once a pair, weighted by lines.  ``source``, ``target``: only relations whose ends
+    have these categories, so that the tables of others are not read."""
     c, yes, one = F.col, F.lit(True), F.lit(1)
     lines = table(spark, folder, "lineitem")
     used = lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n"))
     supplied = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
-    parts = [
+    ends = (("geo", "geo"), ("party", "geo"), ("party", "geo"), ("party", "sales"), ("sales", "catalog"), ("sales", "party"))
+    every = [
         _edge(table(spark, folder, "nation"), "core.belongs_to", _text("nation:", c("n_nationkey")), _text("region:", c("n_regionkey")), yes, one),
         _edge(table(spark, folder, "customer"), "core.belongs_to", _text("customer:", c("c_custkey")), _text("nation:", c("c_nationkey")), yes, one),
         _edge(table(spark, folder, "supplier"), "core.belongs_to", _text("supplier:", c("s_suppkey")), _text("nation:", c("s_nationkey")), yes, one),
@@ -83,6 +85,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
         _edge(used, "core.uses", _text("order:", c("l_orderkey")), _text("part:", c("l_partkey")), yes, c("n")),
         _edge(supplied, "core.supplied_by", _text("order:", c("l_orderkey")), _text("supplier:", c("l_suppkey")), yes, c("n")),
     ]
+    parts = [e for e, (a, b) in zip(every, ends, strict=True) if source in (None, a) and target in (None, b)] or [every[0].filter(F.lit(False))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -104,16 +107,16 @@ EDGES_SQL = "edges AS (" + " UNION ALL ".join([
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
-    """A directed graph with cycles: parts that follow one another in an order, thinned by a rule on both."""
+    """A directed graph with cycles: parts that follow one another in an order."""
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     l = table(spark, folder, "lineitem").select("l_partkey", F.lead("l_partkey").over(line).alias("following"))
-    l = l.filter((F.col("following") != F.col("l_partkey")) & ((F.col("l_partkey") * 7 + F.col("following")) % 12 == 0))
+    l = l.filter(F.col("following") != F.col("l_partkey"))
     return l.select(_text("part:", F.col("l_partkey")).alias("src"), _text("part:", F.col("following")).alias("dst")).distinct()
 
 
 CALLS_SQL = """calls AS (SELECT DISTINCT 'part:' || l_partkey AS src, 'part:' || following AS dst
   FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS following FROM lineitem)
-  WHERE following <> l_partkey AND (l_partkey * 7 + following) % 12 = 0)"""
+  WHERE following <> l_partkey)"""
 
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,11 +126,11 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
     j = d.join(l.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled"), "left")
     props = F.when(status.isNull(), "{}").otherwise(_text('{"status":"', status, '"}'))
     return j.select(
-        _text("ev:", F.col("doc_id")).alias("id"), F.lit("document").alias("kind"), F.substring("text", 1, 40).alias("claim"), _text(F.col("source"), "/", F.col("lang")).alias("path"),
+        _text("ev:", F.col("doc_id")).alias("id"), F.lit("document").alias("kind"), F.col("text").alias("claim"), _text(F.col("source"), "/", F.col("lang")).alias("path"),
         (F.col("doc_id") % 50).alias("start_line"), (F.col("doc_id") % 50 + F.col("n_chars") % 10).alias("end_line"), props.alias("props"), F.col("doc_id").alias("seq"),
     )
 
 
-EVIDENCE_SQL = """evidence AS (SELECT 'ev:' || d.doc_id AS id, 'document' AS kind, substr(text, 1, 40) AS claim, source || '/' || lang AS path, d.doc_id % 50 AS start_line, d.doc_id % 50 + n_chars % 10 AS end_line,
+EVIDENCE_SQL = """evidence AS (SELECT 'ev:' || d.doc_id AS id, 'document' AS kind, text AS claim, source || '/' || lang AS path, d.doc_id % 50 AS start_line, d.doc_id % 50 + n_chars % 10 AS end_line,
   CASE WHEN toxic = 1 THEN '{"status":"superseded"}' WHEN quality = 1 THEN '{"status":"accepted"}' WHEN quality = 0 THEN '{"status":"drafted"}' ELSE '{}' END AS props, d.doc_id AS seq
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
