@@ -1,38 +1,180 @@
-"""Functions, calls and types from source texts, as batches in Python.
+"""Functions, calls, types and state machines from source texts, file by file in tasks.
 
-Python is read with its own parser; for the other languages line patterns find declarations and calls, so their
-results are approximations and carry lower confidence.
+Python is read with its own parser.  For the other languages comments and strings are blanked out first (places stay), braces
+are matched, and declarations, calls and type members are found in what is left, each inside its innermost block.  That
+is no full grammar; confidences say so.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Tasks get these functions by value, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FUNCTIONS = "canonical_key string, kind string, language string, file string, line long, name string, confidence double, parent string"
 CALLS = "language string, file string, line long, callee string, kind string, message_kind string"
-CLASSES = "canonical_key string, kind string, language string, file string, line long, name string, bases array<string>, members array<struct<name string, member_kind string, signature string, line long>>"
-
-_NAME = r"([A-Za-z_]\w*)"
-DECLARATIONS = {
-    "rust": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+{_NAME}",
-    "typescript": rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{_NAME}",
-    "javascript": rf"^\s*(?:export\s+)?(?:async\s+)?function\s+{_NAME}",
-    "go": rf"^func\s+(?:\([^)]*\)\s*)?{_NAME}",
-    "java": rf"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)+[\w<>\[\], ]*?{_NAME}\s*\([^;]*$",
-    "kotlin": rf"^\s*(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?{_NAME}",
+CLASSES = "canonical_key string, kind string, language string, file string, line long, name string, bases array<string>, implements array<string>, members array<struct<name string, member_kind string, signature string, line long>>"
+STATES = "machine string, file string, language string, state string, line long, confidence double"
+TRANSITIONS = "machine string, file string, language string, source string, target string, trigger string, guard string, line long, confidence double"
+
+#: How sure a language's extraction is, for functions and for state machines.
+SURE = {"python": 0.9, "rust": 0.85, "typescript": 0.8, "javascript": 0.8, "go": 0.8, "java": 0.8, "kotlin": 0.8}
+MACHINE_SURE = {"rust": 0.75, "typescript": 0.7, "python": 0.6}
+
+NAME = r"[A-Za-z_$][\w$]*"
+LITERALS = {
+    "rust": r'//[^\n]*|/\*.*?\*/|b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?\'(?:\\[^\n]{1,9}?|[^\\\'\n])\'',
+    "go": r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'",
+    "java": r'//[^\n]*|/\*.*?\*/|""".*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'',
+    "typescript": r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
 }
-TYPES = {
-    "rust": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait)\s+{_NAME}",
-    "typescript": rf"^\s*(?:export\s+)?(?:abstract\s+)?(class|interface|enum)\s+{_NAME}(?:\s+extends\s+([\w, ]+))?(?:\s+implements\s+([\w, ]+))?",
+LITERALS |= {"kotlin": LITERALS["java"], "javascript": LITERALS["typescript"]}
+#: Words that stand before a bracket without being called.
+NO_CALLS = frozenset("if for while switch return catch else do try in as case throw new super".split())
+KEYWORDS = {
+    "rust": "fn match loop unsafe move async await", "go": "func go defer select", "kotlin": "fun when is constructor", "java": "synchronized instanceof assert",
+    "typescript": "function typeof await async yield of with constructor", "javascript": "function typeof await async yield of with constructor",
 }
-FIELDS = {"rust": rf"^\s*((?:pub(?:\([^)]*\))?\s+)?{_NAME}\s*:\s*[^,]+),?\s*$", "typescript": rf"^\s*((?:(?:private|public|readonly)\s+)*{_NAME}\??\s*:\s*[^;(]+);"}
-NO_CALLS = frozenset("if for while switch match return fn func fun function catch sizeof new super when else loop".split())
-_CALL = re.compile(r"(\.)?\b([A-Za-z_]\w*)\s*\(")
+KEYWORDS = {k: NO_CALLS | set(v.split()) for k, v in KEYWORDS.items()}
+TYPE_HEADS = {
+    "rust": r"\b(struct|enum|trait|union|impl)\b\s*(?:<[^{;]*?>\s*)?([^{;(]*)",
+    "typescript": rf"\b(class|interface|enum)\s+({NAME}[^{{;]*)",
+    "go": rf"\btype\s+({NAME})\s+(struct|interface)\b",
+    "java": rf"\b(class|interface|enum|record)\s+({NAME}[^{{;]*)",
+    "kotlin": rf"\b(class|interface|object)\s+({NAME}[^{{;\n]*)",
+}
+TYPE_HEADS["javascript"] = TYPE_HEADS["typescript"]
+FUNCTION_HEADS = {
+    "rust": rf"\bfn\s+({NAME})", "go": rf"(?m)^func\s*(\([^)]*\)\s*)?({NAME})\s*[\[(]", "kotlin": rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?({NAME})\s*\(",
+    "typescript": rf"\bfunction\s*\*?\s*({NAME})\s*[<(]", "javascript": rf"\bfunction\s*\*?\s*({NAME})\s*[<(]",
+}
+#: A method without a keyword of its own: a name, arguments and a body, right inside a type.
+BODIED = re.compile(rf"({NAME})\s*(?:<[^<>(){{}};]*>\s*)?\(")
+CLOSURE = {"rust": re.compile(r"(?<![\w)\]|])\s*(?:move\s+)?\|[^|\n]*\|(?!\|)"), "typescript": re.compile(rf"(?:\([^()]*\)(?:\s*:\s*[\w<>\[\]., |]+)?|\b{NAME})\s*=>")}
+CLOSURE["javascript"] = CLOSURE["typescript"]
+CALL = re.compile(rf"(\.|::)?\s*({NAME})\s*(?:::\s*<[^<>()]*>\s*)?\(")
+
+
+class Source:
+    """One text: its blanked form, matching brackets, blocks of types, and lines of places."""
+
+    def __init__(self, language: str, path: str, text: str) -> None:
+        self.language, self.path, self.text = language, path, text
+        self.code = re.sub(LITERALS[language], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+        self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]
+        self.close: dict[int, int] = {}
+        open_at: list[int] = []
+        for m in re.finditer(r"[(){}\[\]]", self.code):
+            if m[0] in "({[":
+                open_at.append(m.start())
+            elif open_at:
+                self.close[open_at.pop()] = m.start()
+        self.types = list(self._types())
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.starts, at)
+
+    def body(self, at: int) -> tuple[int, int] | None:
+        """The next block from a place on, if no statement ends before it."""
+        m = re.compile(r"[{;]").search(self.code, at)
+        return (m.start(), self.close.get(m.start(), len(self.code))) if m and m[0] == "{" else None
+
+    def _types(self) -> Iterator[tuple[int, int, int, str, str, str]]:
+        """(head, body start, body end, kind, name, rest of the head) of type blocks; without a body start = end."""
+        for m in re.finditer(TYPE_HEADS[self.language], self.code):
+            kind, rest = (m[2], m[1]) if self.language == "go" else (m[1], m[2])
+            if kind == "impl":  # of a trait for a type, or of the type alone
+                whole = re.sub(r"<.*?>|\bwhere\b.*", "", rest, flags=re.S).split(" for ")
+                name = re.search(rf"({NAME})\s*$", whole[-1].strip())
+                rest = whole[0].strip() if len(whole) > 1 else ""
+            else:
+                name = re.match(rf"\s*({NAME})", rest)
+            if name:
+                where = self.body(m.end()) or (m.end(), m.end())
+                yield m.start(), *where, kind, name[1], rest
+
+    def owner(self, at: int) -> tuple | None:
+        """The innermost type block around a place."""
+        inside = [t for t in self.types if t[1] < at < t[2]]
+        return max(inside, key=lambda t: t[1]) if inside else None
+
+    def right_inside(self, at: int, block: tuple) -> bool:
+        """Whether no bracket opens between the block's own and the place."""
+        return not any(block[1] < o < at < c for o, c in self.close.items() if o != block[1])
+
+    # functions ---------------------------------------------------------------------------------------------------
+    def functions(self) -> list[tuple[int, str, str, str | None]]:
+        """(place of the name, kind, name, parent); ``signatures`` are places of methods without a body."""
+        out, self.signatures = [], set()
+        if self.language in FUNCTION_HEADS:
+            for m in re.finditer(FUNCTION_HEADS[self.language], self.code):
+                name = m.lastindex
+                if self.language == "go":
+                    receiver = re.search(rf"({NAME})\s*(?:\[[^\]]*\])?\s*\)", m[1] or "")
+                    out.append((m.start(name), "method" if m[1] else "function", m[name], receiver[1] if receiver else None))
+                else:
+                    o = self.owner(m.start())
+                    out.append((m.start(name), "method" if o else "function", m[name], o[4] if o else None))
+        if self.language in ("typescript", "javascript", "java"):
+            for t in self.types:
+                for m in BODIED.finditer(self.code, t[1] + 1, t[2]):
+                    end = self.close.get(m.end() - 1)
+                    before = self.code[max(0, m.start() - 16) : m.start()]
+                    if end is None or m[1] in KEYWORDS[self.language] - {"constructor"} or re.search(r"[.=@]\s*$|\b(?:new|function|return)\s+$", before) or not self.right_inside(m.start(), t):
+                        continue
+                    follow = re.compile(r"\s*(?::[^{};=]*|throws[^{};]*)?([{;}])").match(self.code, end + 1)
+                    if follow and follow[1] == "{":
+                        out.append((m.start(1), "method", m[1], t[4]))
+                    elif follow:
+                        self.signatures.add(m.start(1))
+        for m in CLOSURE[self.language].finditer(self.code) if self.language in CLOSURE else ():
+            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            name = f"{'closure' if self.language == 'rust' else 'arrow'}@{self.line(at)}"
+            out.append((at, "closure", name, None))
+        return sorted(out)
+
+    def calls(self, declared: set[int]) -> Iterator[tuple[int, str, str, str]]:
+        """(place, name, kind, message kind); ``declared``: places of names that are declared there."""
+        for m in CALL.finditer(self.code):
+            at, name, dotted = m.start(2), m[2], m[1] == "."
+            before = self.code[max(0, at - 80) : at]
+            if name in KEYWORDS[self.language] or at in declared or re.search(r"\b(?:fn|fun|func|function|class|interface|enum|struct|new|def)\s+$", before) or (dotted and self.language in ("typescript", "javascript")):
+                continue
+            end = self.close.get(m.end() - 1, len(self.code))
+            later = re.match(r"\s*\.\s*await\b", self.code[end + 1 : end + 60]) if self.language == "rust" else re.search(r"\bawait\s+[\w$.]*$", before)
+            yield at, name, "method" if dotted else "direct", "async_call" if later else "sync_call"
+
+    # types -------------------------------------------------------------------------------------------------------
+    def members(self, t: tuple) -> list[tuple[str, str, str, int]]:
+        """Fields, variants and methods right inside a type's block: (name, kind, signature, line)."""
+        _, start, end, kind, *_ = t
+        out, code = [], list(self.code[start + 1 : end])
+        for o, c in self.close.items():
+            if start < o < end and self.code[o] == "{":  # inner blocks don't matter
+                for i in range(o - start, min(c, end) - start - 1):
+                    if code[i] != "\n":
+                        code[i] = " "
+        flat, base = "".join(code), start + 1
+        if kind == "enum":
+            for m in re.finditer(rf"(?:^|,)\s*(?:#\[[^\]]*\]\s*)*({NAME})", flat):
+                if not any(o < base + m.start(1) < c for o, c in self.close.items() if o > start):
+                    out.append((m[1], "variant", m[1], self.line(base + m.start(1))))
+            return out
+        sign = r",|$" if self.language == "rust" else r"[;\n]|$"
+        shape = rf"(?m)(?:^|[,;{{}}])[ \t]*((?:(?:pub(?:\([^)]*\))?|private|public|protected|readonly|static)\s+)*({NAME})\??\s*:\s*[^,;{{}}=\n]*?)\s*(?=[,;=}}\n]|$)"
+        for m in re.finditer(shape, flat) if self.language in ("rust", "typescript", "javascript") and sign else ():
+            if not any(o < base + m.start(2) < c for o, c in self.close.items() if o > start and self.code[o] == "("):
+                out.append((m[2], "field", m[1].strip(), self.line(base + m.start(2))))
+        return out
 
 
 def _python(path: str, text: str) -> tuple[list, list, list]:
@@ -45,85 +187,173 @@ def _python(path: str, text: str) -> tuple[list, list, list]:
     def key(kind: str, name: str, line: int) -> str:
         return f"python:{path}:{name}:{line}" if kind == "function" else f"python:{path}:{kind}:{name}:{line}"
 
+    awaited = {id(n.value) for n in ast.walk(tree) if isinstance(n, ast.Await)}
     stack = [(n, None) for n in tree.body]
     while stack:
         node, owner = stack.pop()
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            functions.append((key("function", node.name, node.lineno), "method" if owner else "function", "python", path, node.lineno, node.name, 0.9, owner))
+            functions.append((key("function", node.name, node.lineno), "method" if owner else "function", "python", path, node.lineno, node.name, SURE["python"], owner))
         if isinstance(node, ast.ClassDef):
             members = [(n.target.id, "field", f"{n.target.id}: {ast.unparse(n.annotation)}", n.lineno) for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)]
             members += [(n.name, "method", n.name, n.lineno) for n in node.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            classes.append((key("class", node.name, node.lineno), "class", "python", path, node.lineno, node.name, [ast.unparse(b) for b in node.bases], members))
+            classes.append((key("class", node.name, node.lineno), "class", "python", path, node.lineno, node.name, [ast.unparse(b) for b in node.bases], [], members))
         if isinstance(node, ast.Call):
-            f = node.func
+            f, message = node.func, "async_call" if id(node) in awaited else "sync_call"
             if isinstance(f, ast.Name):
-                calls.append(("python", path, node.lineno, f.id, "direct", "sync_call"))
+                calls.append(("python", path, node.lineno, f.id, "direct", message))
             elif isinstance(f, ast.Attribute):  # the method's name, not the receiver's
-                calls.append(("python", path, node.lineno, f.attr, "method", "sync_call"))
+                calls.append(("python", path, node.lineno, f.attr, "method", message))
         inside = node.name if isinstance(node, ast.ClassDef) else None if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else owner
         stack += [(n, inside) for n in ast.iter_child_nodes(node)]
     return functions, calls, classes
 
 
-def _by_lines(language: str, path: str, text: str) -> tuple[list, list, list]:
-    functions, calls, classes = [], [], []
-    declared, typed, field = re.compile(DECLARATIONS[language]), re.compile(TYPES.get(language, r"(?!)")), re.compile(FIELDS.get(language, r"(?!)"))
-    current = None
-    for n, line in enumerate(text.split("\n"), 1):
-        if line.lstrip().startswith(("//", "*", "/*")):
-            continue
-        if t := typed.match(line):
-            groups = [g for g in t.groups()[2:] if g]
-            current = (f"{language}:{path}:{t[1]}:{t[2]}:{n}", t[1], language, path, n, t[2], [b.strip() for g in groups for b in g.split(",") if b.strip()], [])
-            classes.append(current)
-        elif line.startswith("}"):
-            current = None
-        elif current and (m := field.match(line)):
-            current[7].append((m[2], "field", m[1].strip(), n))
-        d = declared.match(line)
-        if d:
-            functions.append((f"{language}:{path}:{d[1]}:{n}", "method" if line[:1].isspace() else "function", language, path, n, d[1], 0.85 if language == "rust" else 0.8, None))
-        for c in _CALL.finditer(line):
-            if c[2] in NO_CALLS or d and c.start(2) == d.start(1):
+def _named(text: str | None) -> list[str]:
+    return [x for x in (re.sub(r"<.*", "", p).strip() for p in (text or "").split(",")) if x]
+
+
+def _by_blocks(language: str, path: str, text: str) -> tuple[list, list, list]:
+    s = Source(language, path, text)
+    found = s.functions()
+    functions = [(f"{language}:{path}:{name}:{s.line(at)}", kind, language, path, s.line(at), name, SURE[language], parent) for at, kind, name, parent in found]
+    calls = [(language, path, s.line(at), name, kind, message) for at, name, kind, message in s.calls({at for at, *_ in found} | s.signatures)]
+    classes = []
+    if language in ("rust", "typescript", "javascript"):
+        methods = [(at, name) for at, kind, name, _ in found if kind == "method"]
+        traits: dict[str, list[str]] = {}
+        for _, _, _, kind, name, rest in s.types:
+            if kind == "impl" and rest:
+                traits.setdefault(name, []).append(rest.split("::")[-1])
+        for t in s.types:
+            head, start, end, kind, name, rest = t
+            if kind == "impl":
                 continue
-            later = ".await" in line[c.end() :] or "await " in line[: c.start()]
-            calls.append((language, path, n, c[2], "method" if c[1] else "direct", "async_call" if later else "sync_call"))
+            bases = _named((re.search(r"\bextends\s+([^{]*?)(?=\bimplements\b|$)", rest) or [None, None])[1])
+            kept = _named((re.search(r"\bimplements\s+([^{]*)", rest) or [None, None])[1]) if language != "rust" else sorted(set(traits.get(name, [])))
+            members = s.members(t) if end > start else []
+            blocks = [t, *[i for i in s.types if i[3] == "impl" and i[4] == name]]
+            members += [(m, "method", m, s.line(at)) for at, m in methods if s.owner(at) in blocks]
+            classes.append((f"{language}:{path}:{kind}:{name}:{s.line(head)}", kind, language, path, s.line(head), name, bases, kept, members))
     return functions, calls, classes
 
 
-def extract(files: DataFrame, what: str) -> DataFrame:
-    """files (path, language, text) -> rows of ``what``: functions, calls or classes.  Null texts give none."""
-    place = {"functions": 0, "calls": 1, "classes": 2}[what]
-    schema = (FUNCTIONS, CALLS, CLASSES)[place]
+def _table(files: DataFrame, schema: str, of) -> DataFrame:
+    """Rows that ``of`` (language, path, text) finds in each file; null texts and unknown languages give none."""
     names = [c.split(" ")[0] for c in re.sub(r"<[^<>]*(?:<[^<>]*>)?[^<>]*>", "", schema).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, language, text in zip(b["path"], b["language"], b["text"], strict=True):
-                if text is None:
-                    continue
-                if language == "python":
-                    rows += _python(path, text)[place]
-                elif language in DECLARATIONS:
-                    rows += _by_lines(language, path, text)[place]
+                if text is not None and language in SURE:
+                    rows += of(language, path, text)
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "language", "text").mapInPandas(run, schema)
 
 
+def extract(files: DataFrame, what: str) -> DataFrame:
+    """files (path, language, text) -> rows of ``what``: functions, calls or classes.  Null texts give none."""
+    place = {"functions": 0, "calls": 1, "classes": 2}[what]
+    return _table(files, (FUNCTIONS, CALLS, CLASSES)[place], lambda language, path, text: (_python(path, text) if language == "python" else _by_blocks(language, path, text))[place])
+
+
+# state machines ------------------------------------------------------------------------------------------------------
+def _machines(language: str, path: str, text: str) -> tuple[list, list]:
+    """(states, transitions) of the machines of a text."""
+    states, moves = [], []
+    sure = MACHINE_SURE.get(language)
+    if language == "python":
+        return _python_machines(path, text)
+    if sure is None:
+        return states, moves
+    s = Source(language, path, text)
+    around = [(at, name, s.body(at)) for at, kind, name, _ in s.functions() if kind != "closure"]
+
+    def trigger(at: int) -> str | None:
+        inside = [(b[0], name) for _, name, b in around if b and b[0] < at < b[1]]
+        return max(inside)[1] if inside else None
+
+    if language == "rust":
+        for t in s.types:
+            if t[3] != "enum" or not re.search(r"State|Status", t[4]):
+                continue
+            names = {m[0]: m[3] for m in s.members(t)}
+            states += [(t[4], path, language, n, line, sure) for n, line in names.items()]
+            path_of = rf"(?:{t[4]}|Self)\s*::\s*({'|'.join(names) or '(?!)'})\b"
+            # an arm: what is matched, a guard, and what it leads to
+            held = r"(?:\s*(?:\{[^{}]*\}|\([^()]*\)))?(?:\s*,[^(){};=]*\)|\s*\))?\s*(?:\|[^=;{}]*?)?"
+            for m in re.finditer(rf"{path_of}{held}(?:if\b([^{{}};]*?))?=>", s.code):
+                after = m.end()
+                arm = s.body(after) if re.match(r"\s*\{", s.code[after:]) else None
+                stop = arm[1] if arm else min((i for i in (s.code.find(",", after), s.code.find("}", after)) if i >= 0), default=len(s.code))
+                to = re.search(path_of, s.code[after:stop])
+                if to:
+                    moves.append((t[4], path, language, m[1], to[1], trigger(m.start()), s.text[m.start(2) : m.end(2)].strip() if m[2] else None, s.line(m.start()), sure))
+    else:
+        for m in re.finditer(r"\btype\s+(\w*(?:State|Status)\w*)\s*=\s*((?:\s*\|?\s*['\"]\w+['\"])+)", text):
+            names = {x[1]: s.line(m.start(2) + x.start(1)) for x in re.finditer(r"['\"](\w+)['\"]", m[2])}
+            states += [(m[1], path, language, n, line, sure) for n, line in names.items()]
+            cases = list(re.finditer(r"\bcase\s+['\"](\w+)['\"]\s*:", text))
+            for c, following in zip(cases, [*cases[1:], None], strict=True):
+                stop = min(following.start() if following else len(text), next((e for o, e in sorted(s.close.items(), reverse=True) if o < c.start() < e and s.code[o] == "{"), len(text)))
+                for to in re.finditer(r"(?:\breturn|=)\s*['\"](\w+)['\"]", text[c.end() : stop]):
+                    if c[1] in names and to[1] in names:
+                        guard = re.search(r"\bif\s*\(([^()]*)\)\s*\{?\s*(?:this\.\w+\s*)?$", text[c.end() : c.end() + to.start()])
+                        moves.append((m[1], path, language, c[1], to[1], trigger(c.start()), guard[1].strip() if guard else None, s.line(c.end() + to.start()), sure))
+    return states, moves
+
+
+def _python_machines(path: str, text: str) -> tuple[list, list]:
+    """Classes with @transition(a, b) methods, or to_x methods (from any other state); without a transition no machine."""
+    states, moves, sure = [], [], MACHINE_SURE["python"]
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return states, moves
+    for c in [n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)]:
+        seen: dict[str, int] = {}
+        found = []
+        for f in [n for n in c.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]:
+            for d in f.decorator_list:
+                if isinstance(d, ast.Call) and getattr(d.func, "id", getattr(d.func, "attr", None)) == "transition" and len(d.args) >= 2:
+                    a, b = (x.value if isinstance(x, ast.Constant) else ast.unparse(x).split(".")[-1] for x in d.args[:2])
+                    found.append((str(a), str(b), f.name, d.lineno))
+            if f.name.startswith("to_") and len(f.name) > 3:
+                found.append((None, f.name[3:], f.name, f.lineno))
+        for a, b, _, line in found:
+            for n in (a, b):
+                if n is not None:
+                    seen.setdefault(n, line)
+        states += [(c.name, path, "python", n, line, sure) for n, line in seen.items()]
+        moves += [(c.name, path, "python", x, b, name, None, line, sure) for a, b, name, line in found for x in ([a] if a is not None else [n for n in seen if n != b])]
+    return states, moves
+
+
 def state_machines(files: DataFrame) -> DataFrame:
-    """(machine, file, state, line): variants of enums named …State or …Status, and union types of that name."""
-    schema = "machine string, file string, language string, state string, line long"
-    rust, union = re.compile(rf"\benum\s+(\w*(?:State|Status)\w*)\s*\{{([^}}]*)\}}"), re.compile(r"\btype\s+(\w*(?:State|Status)\w*)\s*=\s*((?:\s*\|?\s*['\"]\w+['\"])+)")
+    """(machine, file, language, state, line, confidence): variants of enums named …State or …Status, union types of that
+    name, classes with transitions."""
+    return _table(files, STATES, lambda language, path, text: _machines(language, path, text)[0]).distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, language, text in zip(b["path"], b["language"], b["text"], strict=True):
-                for m in (rust.finditer(text or "") if language == "rust" else union.finditer(text or "") if language == "typescript" else ()):
-                    for s in re.finditer(r"(?:^|[,\n|'\"])\s*([A-Za-z_]\w*)", m[2]):
-                        rows.append((m[1], path, language, s[1], text.count("\n", 0, m.start(2) + s.start(1)) + 1))
-            yield pd.DataFrame(rows, columns=["machine", "file", "language", "state", "line"])
 
-    return files.select("path", "language", "text").mapInPandas(run, schema).distinct()
+def state_transitions(files: DataFrame) -> DataFrame:
+    """(machine, file, language, source, target, trigger, guard, line, confidence): arms of a match, cases of a switch and
+    marked methods that lead from one state to another; the trigger is the function around them."""
+    return _table(files, TRANSITIONS, lambda language, path, text: _machines(language, path, text)[1]).distinct()
+
+
+def pattern_evidence(files: DataFrame, patterns: dict[str, str], languages: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence (kind, claim, path, start_line, end_line, rule_id, content) of every match of a rule's pattern in the code of
+    the files, comments and strings left out."""
+    rules = {k: re.compile(v, re.M) for k, v in patterns.items()}
+
+    def of(language: str, path: str, text: str) -> Iterator[tuple]:
+        if languages and language not in languages:
+            return
+        code = text if language == "python" else Source(language, path, text).code
+        for rule, pattern in rules.items():
+            for m in pattern.finditer(code):
+                first, last = text.count("\n", 0, m.start()) + 1, text.count("\n", 0, max(m.start(), m.end() - 1)) + 1
+                yield "pattern", f"{rule} at {path}:{first}", path, first, last, rule, text[m.start() : m.end()]
+
+    return _table(files, "kind string, claim string, path string, start_line long, end_line long, rule_id string, content string", lambda *a: list(of(*a)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import field_type
 from ..schema import content_id
+from .select import only_new
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:
@@ -73,6 +74,97 @@ def transitions(edges: DataFrame) -> DataFrame:
     return ends("behavior.source_state", "source_state").join(ends("behavior.target_state", "target_state"), "transition").filter("source_state <> transition and target_state <> transition").distinct()
 
 
+def _new_elements(rows: DataFrame, existing: DataFrame, prefix: str, kind: Column, category: str, origin: str, props: Column) -> tuple[DataFrame, DataFrame]:
+    """Elements and versions of rows (canonical_key, name, confidence, …) whose key no element has."""
+    fresh = only_new(rows.dropDuplicates(["canonical_key"]), existing)
+    ident, version = F.concat(F.lit(prefix), F.col("canonical_key")), content_id("ver:", F.lit(prefix), F.col("canonical_key"), props)
+    fresh = fresh.select("*", ident.alias("id"), version.alias("version"), kind.alias("kind_id"), props.alias("props"))
+    elements = fresh.select("id", "kind_id", F.lit(category).alias("category"), "canonical_key", F.col("version").alias("current_version_id"), F.col("name").alias("current_name"), F.lit("active").alias("current_status"), F.lit(origin).alias("current_origin"), F.col("confidence").alias("current_confidence"))
+    versions = fresh.select(F.col("version").alias("id"), F.col("id").alias("element_id"), "name", F.lit("drafted").alias("status"), F.lit(origin).alias("origin"), "confidence", "props")
+    return elements, versions
+
+
+def _support(rows: DataFrame, kind: str) -> DataFrame:
+    """Evidence of where rows (version, name, file, line, confidence) were found."""
+    claim = F.concat(F.lit(f"{kind} "), F.col("name"))
+    return rows.select(content_id("ev:", F.lit(kind), F.col("file"), F.col("line"), F.col("name")).alias("id"), F.lit(kind).alias("kind"), claim.alias("claim"), "confidence", F.col("file").alias("path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit('{"status":"drafted"}').alias("props"))
+
+
+def call_graph(functions: DataFrame, calls: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """What an extracted call graph adds to a graph: Element, ElementVersion, SEMANTIC_EDGE, Evidence, SUPPORTED_BY and
+    SourceArtifact rows.
+
+    Functions whose key an element has are skipped, and so are calls out of them.  A call leads to every function of its
+    name, new or there before; calls outside functions and of unknown names give no edge.  Calls of one pair of
+    functions are one edge, with the first line and its message kind, and evidence of their own.
+    """
+    kind = F.concat(F.lit("code."), F.col("kind"))
+    props = F.to_json(F.struct("kind", "language", "confidence"))
+    elements, versions = _new_elements(functions, existing, "cg:", kind, "code", "call-graph", props)
+    keys = elements.select(F.col("canonical_key").alias("caller"), F.col("current_version_id").alias("version"))
+    known = existing.filter("kind_id in ('code.function', 'code.method', 'code.closure')").select("canonical_key", F.col("current_name").alias("name")).unionByName(elements.select("canonical_key", F.col("current_name").alias("name"))).distinct()
+    placed = attribute_calls(functions, calls).join(calls.select("language", "file", "line", "callee", "message_kind").distinct(), ["language", "file", "line", "callee"])
+    placed = placed.join(keys, "caller")
+    named = known.select(F.col("name").alias("callee"), F.concat(F.lit("cg:"), "canonical_key").alias("dst"))
+    pairs = placed.join(named, "callee").groupBy(F.concat(F.lit("cg:"), "caller").alias("src"), "dst").agg(F.min(F.struct("line", "message_kind", "file")).alias("first"))
+    edges = edge_rows(pairs, "code.calls").join(pairs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "first"), ["source_id", "target_id"])
+    edges = edges.select("relation_id", "predicate_id", "source_id", "target_id", "active", F.to_json(F.struct("first.file", "first.line", "first.message_kind")).alias("props"))
+    found = _support(functions.join(elements.select("canonical_key"), "canonical_key", "left_semi"), "function").unionByName(_support(placed.select(F.col("callee").alias("name"), "file", "line", F.lit(0.8).alias("confidence")), "call")).dropDuplicates(["id"])
+    of_function = functions.join(elements.select("canonical_key", F.col("current_version_id").alias("src")), "canonical_key").select("src", content_id("ev:", F.lit("function"), F.col("file"), F.col("line"), F.col("name")).alias("dst"))
+    of_call = placed.select(F.col("version").alias("src"), content_id("ev:", F.lit("call"), F.col("file"), F.col("line"), F.col("callee")).alias("dst"))
+    artifacts = functions.select("file", "language").union(calls.select("file", "language")).distinct().select(content_id("src:", F.col("file")).alias("id"), F.lit("source").alias("kind"), F.col("file").alias("relative_path"), "language")
+    return {"Element": elements, "ElementVersion": versions, "SEMANTIC_EDGE": edges, "Evidence": found, "SUPPORTED_BY": of_function.unionByName(of_call).distinct(), "SourceArtifact": artifacts}
+
+
+UML = {"class": "uml.class", "struct": "uml.class", "union": "uml.class", "interface": "uml.interface", "trait": "uml.trait", "enum": "uml.enum", "record": "uml.record"}
+
+
+def class_diagram(classes: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """What extracted types add: Element, ElementVersion and SEMANTIC_EDGE rows.  Bases that are no type of the file stand
+    as placeholders lang:file:class:Name:0, which are no elements."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in UML.items() for x in pair]), F.col("kind"))
+    elements, versions = _new_elements(classes.withColumn("confidence", F.lit(0.85)), existing, "cd:", F.coalesce(kind, F.lit("uml.class")), "uml", "class-diagram", F.to_json(F.struct("kind", "language", "members")))
+    parts = []
+    for column, predicate in (("bases", "uml.extends"), ("implements", "uml.implements")):
+        r = classes.select(F.col("canonical_key").alias("source"), "language", "file", F.explode(column).alias("name"))
+        r = resolve_types(r, classes).select("source", F.coalesce("target", F.concat_ws(":", "language", "file", F.lit("class"), "name", F.lit("0"))).alias("target"))
+        parts.append((r, predicate))
+    parts.append((composes(classes), "uml.composition"))
+    tag = lambda c: F.concat(F.lit("cd:"), F.col(c))
+    edges = [edge_rows(r.select(tag("source").alias("src"), tag("target").alias("dst")).distinct(), p) for r, p in parts]
+    return {"Element": elements, "ElementVersion": versions, "SEMANTIC_EDGE": edges[0].unionByName(edges[1]).unionByName(edges[2])}
+
+
+def state_graph(states: DataFrame, moves: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """What extracted state machines add: elements of machines, states and transitions, and for each transition an edge to
+    its source and to its target state: the first state of that name by line."""
+    prefix = lambda *more: F.concat_ws(":", "language", "file", *[m if not isinstance(m, str) else F.lit(m) for m in more])
+    text = lambda c: F.col(c).cast("string")
+    machine = states.groupBy("language", "file", "machine").agg(F.min("line").alias("line"), F.max("confidence").alias("confidence"))
+    rows = [(machine.select(prefix("machine", F.col("machine"), text("line")).alias("canonical_key"), F.col("machine").alias("name"), "confidence", F.lit("{}").alias("more")), "uml.state_machine")]
+    rows.append((states.select(prefix("state", F.col("state"), text("line")).alias("canonical_key"), F.col("state").alias("name"), "confidence", F.to_json(F.struct("machine")).alias("more")), "uml.state"))
+    key = prefix("transition", F.concat_ws("_", "source", "target"), text("line"))
+    t = moves.select("*", key.alias("canonical_key"))
+    rows.append((t.select("canonical_key", F.concat_ws("_to_", "source", "target").alias("name"), "confidence", F.to_json(F.struct(F.col("source").alias("source_state"), F.col("target").alias("target_state"), "trigger", "guard")).alias("more")), "uml.transition"))
+    made = [_new_elements(r, existing, "sm:", F.lit(k), "uml", "state-machine", F.col("more")) for r, k in rows]
+    elements, versions = (made[0][i].unionByName(made[1][i]).unionByName(made[2][i]) for i in (0, 1))
+    first = states.groupBy("language", "file", "machine", F.col("state").alias("name")).agg(F.min("line").alias("at"))
+    state_key = F.concat(F.lit("sm:"), F.concat_ws(":", "language", "file", F.lit("state"), "name", F.col("at").cast("string")))
+    first = first.select("language", "file", "machine", "name", state_key.alias("dst"))
+    ends = []
+    for column, predicate in (("source", "behavior.source_state"), ("target", "behavior.target_state")):
+        found = t.withColumn("name", F.col(column)).join(first, ["language", "file", "machine", "name"]).select(F.concat(F.lit("sm:"), "canonical_key").alias("src"), "dst")
+        ends.append(edge_rows(found.distinct(), predicate))
+    return {"Element": elements, "ElementVersion": versions, "SEMANTIC_EDGE": ends[0].unionByName(ends[1])}
+
+
+def containers(candidates: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+    """What discovered containers (see merge_candidates) add; the strategy names the kind."""
+    kind = F.when(F.col("strategy") == "components", "mt.component").otherwise("mt.container")
+    elements, versions = _new_elements(candidates, existing, "c4:", kind, "structure", "discovery", F.to_json(F.struct("strategy", "merged_from", "files")))
+    return {"Element": elements, "ElementVersion": versions}
+
+
 def gate_violations(documents: DataFrame, must_hold: dict[str, str], must_not_contain: dict[str, str]) -> DataFrame:
     """(path, rule, problem): texts that lack a pattern which must hold, or hold one that must not."""
     checks = [F.when(~F.coalesce(F.col("text").rlike(p), F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit("missing").alias("problem"))) for n, p in must_hold.items()]

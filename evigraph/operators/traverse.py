@@ -151,7 +151,7 @@ def sequence_flags(listed: DataFrame, cap: int = 500) -> DataFrame:
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges that lie on a cycle (both ends in one strongly connected component), self-loops included.
 
-    Nodes without an edge in or out are trimmed while that removes much.  Then every node takes the least id that reaches
+    Nodes without an edge in or out are trimmed, over and over.  Then every node that is left takes the least id that reaches
     it as its colour; edges between colours are on no cycle; nodes that reach the node of their colour inside it are that
     node's component.  What is left inside the colours goes round again.  Every step is a join and an aggregate over
     nodes and edges; nothing grows beyond the edges.
@@ -164,7 +164,7 @@ def on_cycles(edges: DataFrame) -> DataFrame:
             trimmed = settle(rest.join(rest.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi").join(rest.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi"), "cycles")
             left = trimmed.count()
             rest, gone, n = trimmed, n - left, left
-            if gone * 20 < n or not gone:
+            if not gone:
                 break
         if not n:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
-from .operators import analytics, ingest, policy, select, traverse, upsert
+from .operators import analytics, extract, ingest, policy, select, traverse, upsert
 from .plans import cypher, project
 from .sources import star
 from .sources.star import CALLS_SQL, EDGES_SQL, ELEMENTS_SQL, EVIDENCE_SQL
@@ -547,6 +547,72 @@ def g_composes(spark, d):
     return ingest.composes(c)
 
 
+def _joined(rows: DataFrame, key: str, order: str, line: str, between: str = "\n") -> DataFrame:
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), between).alias("text"))
+
+
+def _code_files(spark, d) -> DataFrame:
+    """The calls as source texts: a file a brand, a line a function."""
+    part, number = star.table(spark, d, "part").select("p_partkey", "p_brand"), lambda c: F.split(c, ":")[1].cast("long")
+    c = star.calls(spark, d).select(number("src").alias("k"), number("dst").alias("to")).withColumn("line", F.concat(F.lit("f"), F.col("to").cast("string"), F.lit("();")))
+    bodies = _joined(c, "k", "to", "line", " ").withColumnRenamed("text", "body")
+    f = part.join(bodies, F.col("p_partkey") == F.col("k"), "left").withColumn("line", F.concat(F.lit("pub fn f"), F.col("p_partkey").cast("string"), F.lit("() { "), F.coalesce("body", F.lit("")), F.lit(" }")))
+    return _joined(f, "p_brand", "p_partkey", "line").select(F.concat("p_brand", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
+
+
+def _nothing(spark) -> DataFrame:
+    return spark.createDataFrame([], "canonical_key string, kind_id string, current_name string")
+
+
+@query("SELECT 'rust:' || p_brand || '.rs:f' || p_partkey || ':' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS canonical_key, 'function' AS kind, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line FROM part")
+def g_functions(spark, d):
+    return extract.extract(_code_files(spark, d), "functions").select("canonical_key", "kind", "line")
+
+
+@query("SELECT 'f' || split_part(src, ':', 2) AS caller, 'f' || split_part(dst, ':', 2) AS callee FROM calls", CALLS_SQL)
+def g_call_graph(spark, d):
+    files = _code_files(spark, d)
+    edges = ingest.call_graph(extract.extract(files, "functions"), extract.extract(files, "calls"), _nothing(spark))["SEMANTIC_EDGE"]
+    name = lambda c: F.split(c, ":")[3]
+    return edges.select(name("source_id").alias("caller"), name("target_id").alias("callee"))
+
+
+@query("SELECT p_brand || '.rs' AS file, count(*) AS elements, count(*) FILTER (p_partkey % 3 <> 0) AS fresh FROM part GROUP BY p_brand")
+def g_call_graph_apply(spark, d):
+    """Applied to a graph that has a third of the functions already: those are skipped."""
+    files = _code_files(spark, d)
+    functions, calls = extract.extract(files, "functions"), extract.extract(files, "calls")
+    there = functions.filter(F.substring("name", 2, 20).cast("long") % 3 == 0).select("canonical_key", F.lit("code.function").alias("kind_id"), F.col("name").alias("current_name"))
+    fresh = ingest.call_graph(functions, calls, there)["Element"].select(F.split("canonical_key", ":")[1].alias("file"), F.lit(1).alias("n"))
+    every = functions.select("file", F.lit(0).alias("n"))
+    return every.unionAll(fresh).groupBy("file").agg(F.count_if(F.col("n") == 0).alias("elements"), F.count_if(F.col("n") == 1).alias("fresh"))
+
+
+@query("SELECT 'uml.composition' AS predicate_id, 'T' || p_partkey AS source, 'T' || following AS target FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS following FROM part) WHERE following IS NOT NULL UNION ALL SELECT 'uml.implements', 'T' || min(p_partkey), 'Keep' FROM part GROUP BY p_brand")
+def g_class_diagram(spark, d):
+    p, k = star.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    field = F.coalesce(F.concat(F.lit("next: T"), F.lead("p_partkey").over(w).cast("string")), F.lit("n: u8"))
+    first = F.when(F.row_number().over(w) == 1, F.concat(F.lit("\ntrait Keep {}\nimpl Keep for T"), k.cast("string"), F.lit(" {}"))).otherwise("")
+    lines = p.withColumn("line", F.concat(F.lit("pub struct T"), k.cast("string"), F.lit(" { "), field, F.lit(" } // not T0"), first))
+    files = _joined(lines, "p_brand", "p_partkey", "line").select(F.concat("p_brand", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
+    name = lambda c: F.split(c, ":")[4]
+    return ingest.class_diagram(extract.extract(files, "classes"), _nothing(spark))["SEMANTIC_EDGE"].select("predicate_id", name("source_id").alias("source"), name("target_id").alias("target"))
+
+
+@query("SELECT replace(p_brand, 'Brand#', 'B') || 'State' AS machine, 'S' || p_size AS source, 'S' || following AS target, 'step' AS trigger, CASE WHEN p_size % 2 = 0 THEN 'ok' END AS guard FROM (SELECT p_brand, p_size, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS following FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE following IS NOT NULL")
+def g_state_machine(spark, d):
+    s = star.table(spark, d, "part").select("p_brand", "p_size").distinct()
+    machine, w = F.concat(F.regexp_replace("p_brand", "Brand#", "B"), F.lit("State")), Window.partitionBy("p_brand").orderBy("p_size")
+    state = lambda c: F.concat(machine, F.lit("::S"), c.cast("string"))
+    arm = F.concat(state(F.col("p_size")), F.when(F.col("p_size") % 2 == 0, F.lit(" if ok => ")).otherwise(F.lit(" => ")), state(F.lead("p_size").over(w)), F.lit(","))
+    s = s.withColumn("variant", F.concat(F.lit("S"), F.col("p_size").cast("string"))).withColumn("arm", F.coalesce(arm, F.lit("_ => stop(),")))
+    files = _joined(s, "p_brand", "p_size", "variant", ", ").withColumnRenamed("text", "variants").join(_joined(s, "p_brand", "p_size", "arm"), "p_brand")
+    text = F.concat(F.lit("enum "), machine, F.lit(" { "), "variants", F.lit(" }\nfn step(s: X, ok: bool) -> X { match s {\n"), "text", F.lit("\n} }\n"))
+    files = files.select(F.concat("p_brand", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), text.alias("text"))
+    return extract.state_transitions(files).select("machine", "source", "target", "trigger", "guard")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, 'licence' AS rule, 'forbidden' AS problem FROM documents WHERE contains(text, 'Licensed under') UNION ALL SELECT CAST(doc_id AS VARCHAR), 'sentence', 'missing' FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[.] [A-Z]')")
 def g_gate_violations(spark, d):
     docs = star.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
