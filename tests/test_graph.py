@@ -1,5 +1,6 @@
 """Golden micro-graphs."""
 
+import pytest
 from evigraph.operators import analytics, ingest, select, traverse
 
 
@@ -31,6 +32,41 @@ def test_cycles_with_tail(spark):
     assert traverse.on_cycles(edges(spark, "a>b b>c")).count() == 0
 
 
+def test_cycles_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((12, 14), (20, 30)):
+        pairs_ = {(f"v{rng.randrange(n):02d}", f"v{rng.randrange(n):02d}") for _ in range(m)}
+        reach = {a: {b for x, b in pairs_ if x == a} for a, _ in pairs_}
+        for _ in range(n):
+            reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+        want = {(a, b) for a, b in pairs_ if a in reach.get(b, ()) or a == b}
+        assert pairs(traverse.on_cycles(spark.createDataFrame(sorted(pairs_), "src string, dst string"))) == want
+
+
+def test_shortest_path_over_chosen_edges(spark):
+    e = spark.createDataFrame([("a", "b", True), ("b", "d", False), ("a", "c", True), ("c", "e", True), ("e", "d", True)], "src string, dst string, active boolean")
+    assert [r["path"] for r in traverse.shortest_path(e, "a", "d").collect()] == ["a>b>d"]
+    assert [r["path"] for r in traverse.shortest_path(e.filter("active"), "a", "d").collect()] == ["a>c>e>d"]
+
+
+def test_sequence_keeps_kind_file_and_line(spark):
+    e = spark.createDataFrame([("A", "B", "async_call", "x.rs", 9), ("A", "B", "sync_call", "x.rs", 3), ("B", "A", None, "y.rs", 1)], "src string, dst string, message_kind string, file string, line long")
+    got = traverse.sequence(e, "A").orderBy("order_key").collect()
+    assert [(r["message_kind"], r["file"], r["line"], r["revisited"]) for r in got] == [("sync_call", "x.rs", 3, False), ("sync_call", "y.rs", 1, True)]
+    assert [*traverse.sequence_flags(traverse.sequence(e, "A", cap=1), 1).first()] == [1, 2, 1, 0, True]
+    assert traverse.sequence(e, "nowhere").columns == ["order_key", "sender", "receiver", "depth", "revisited", "message_kind", "file", "line"]
+
+
+def test_long_layers_need_a_graph_without_cycles(spark):
+    chain = edges(spark, " ".join(f"n{i:03d}>n{i + 1:03d}" for i in range(9)))
+    nodes = spark.createDataFrame([(f"n{i:03d}",) for i in range(10)], "id string")
+    assert traverse.layers(nodes, chain, patience=3).agg({"layer": "max"}).first()[0] == 9
+    with pytest.raises(traverse.Cyclic):
+        traverse.layers(nodes, chain.unionAll(edges(spark, "n005>n002")), patience=3)
+
+
 def test_layers_take_the_longest_path_and_stop_on_cycles(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
     got = {r["id"]: r["layer"] for r in traverse.layers(nodes, edges(spark, "a>b b>c c>d a>d")).collect()}

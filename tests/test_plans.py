@@ -150,3 +150,15 @@ def test_nothing_else_imports_the_corpus_operators():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names)
+
+
+def test_unconnected_patterns_need_an_id(spark):
+    nodes = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, current_name string")
+    links = spark.createDataFrame([("a", "b", True), ("b", "a", False)], "src string, dst string, active boolean")
+    g = cypher.Graph({"Element": nodes}, {"SEMANTIC_EDGE": links})
+    with pytest.raises(cypher.CypherError, match="nothing connects"):
+        cypher.query(g, "MATCH (a:Element), (b:Element) RETURN a.id, b.id")
+    assert cypher.query(g, "MATCH (a:Element {id: 'a'}), (b:Element) RETURN a.id AS a, b.id AS b").count() == 2
+    text = "MATCH (s:Element {id: 'b'})-[path:SEMANTIC_EDGE* SHORTEST 1..12]->(t:Element {id: 'a'}) %s RETURN path"
+    assert cypher.query(g, text % "").first()["path"] == ["b", "a"]
+    assert cypher.query(g, text % "WHERE ALL(edge IN path WHERE edge.active = true)").count() == 0
