@@ -13,7 +13,7 @@ with all rows exactly, and more of them until ``SEEN`` links are known.  While f
 another round with new projections follows, up to ``AUDITS`` times; after that, or if ``MOST`` audited nodes show too few
 links to tell, all pairs of each label are compared in blocks.
 
-Defined results: null labels, null, empty, zero and non-finite vectors link with nothing; vectors of different length
+Defined results: labels of any type are compared as they are; null labels, null, empty, zero and non-finite vectors link with nothing; vectors of different length
 neither; repeated rows are vectors of their own (their ids make one component); an empty table gives an empty result;
 other columns are not read.
 """
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialize, sorted_groups
 from .components import components
@@ -253,7 +254,11 @@ def audit_some(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int,
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    v = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    # whole numbers are their own keys, labels of other kinds get hashed ones; 0.0 and -0.0 are one label
+    kind = vectors.schema["label"].dataType
+    label = F.col("label").cast("long") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.xxhash64(F.col("label") + F.lit(0.0) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("label"))
+    label = F.when(F.col("label").isNotNull(), label)
+    v = vectors.select("vec_id", label.alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     good = F.col("label").isNotNull() & usable(F.col("e")) & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
     v = materialize(v.withColumn("good", F.coalesce(good, F.lit(False))), "nn-rows")
     nodes = v.filter("good").groupBy("label", "e").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))

@@ -95,4 +95,14 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n_links, 0) AS n_links, least(vec_id, coalesce(r.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(r.b, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of r ON r.a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_neardup": OP4_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}

@@ -232,6 +232,31 @@ def test_toxicity_learns_held_out_words():
     assert toxicity.train(texts, [0] * 600, ["en"] * 600) is None
 
 
+def test_toxicity_is_a_plain_convolution():
+    """Logits against embeddings, filters and maxima written out word by word."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["vile", "kind", "thing", "words", "people", "bad"], k=rng.randint(0, 9))) for _ in range(60)]
+    m = toxicity.train(texts, [int("vile" in t) for t in texts], ["en"] * 60)
+    vocabulary = toxicity.Vocabulary(m["hashes"])
+    z, _ = toxicity.logits(m, *vocabulary.index(texts))
+    for t, got in zip(texts, z, strict=True):
+        x = [m["E"][list(vocabulary[w])].sum(axis=0) for w in toxicity.words(t)] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+        n, features = len(x) - max(toxicity.WIDTHS) + 1, []
+        for w in toxicity.WIDTHS:
+            windows = [np.concatenate(x[i : i + w]) @ m[f"W{w}"] + m[f"b{w}"] for i in range(n)]
+            features.append(np.max(windows, axis=0))
+        assert got == pytest.approx(float(np.maximum(np.concatenate(features), 0) @ m["u"] + m["c"][0]), abs=1e-4)
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    """Of the labelled documents that it doesn't learn from, most toxic ones are found and few others."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op3_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic"), "doc_id").select("toxic", "predicted").collect()
+    toxic = [r["predicted"] for r in got if r["toxic"] == 1]
+    clean = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_chunks_do_not_change_scores(monkeypatch):
     m = toxicity.train(["a b c", "a b d", "x y z", "x y w"] * 20, [1, 1, 0, 0] * 20, ["en", "de"] * 40)
     docs = toxicity.Vocabulary(m["hashes"]).index(["a b c " * 50, "", None, "x y z a"])
@@ -265,6 +290,20 @@ def test_neardup_matches_brute_force(spark):
     assert all(got[i]["n_links"] <= linked[k].sum() for k, i in enumerate(ids))
 
 
+def test_neardup_is_its_sql_for_labels_of_any_type(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 8))
+    vectors = [(i, [float(x) for x in base[i % 12] + rng.normal(size=8) * (0.02 + 0.03 * (i % 5))]) for i in range(150)]
+    for kind, label in (("double", lambda i: [1.2, 1.4, 1.0, 2.0][i % 4]), ("string", lambda i: ["a", "b", "1"][i % 3])):
+        v = spark.createDataFrame([(i, e, None if i % 50 == 7 else label(i // 12)) for i, e in vectors], f"vec_id long, embedding array<float>, label {kind}")
+        v.write.parquet(f"{tmp_path}/{kind}")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{kind}/*.parquet'")
+        want = sorted(con.sql(queries.OP4_SQL).fetchall())
+        assert sorted(tuple(r) for r in neardup.near_duplicates(spark.read.parquet(f"{tmp_path}/{kind}")).collect()) == want
+        assert any(n for _, n, _, _ in want) and len({c for _, _, c, _ in want}) < 150
+
+
 def test_neardup_links_tight_clumps(spark):
     rng = np.random.default_rng(6)
     rows, centre = [], rng.normal(size=16)
@@ -388,6 +427,27 @@ def test_langid_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_langid_is_plain_compression(spark):
+    """Dictionaries, sizes and the choice, written out with zstandard alone."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("doc_id < 40").select("doc_id", "text", "lang")
+    raw = langid.learn(docs.filter("doc_id % 3 <> 1"))
+    got = {r["doc_id"]: r for r in langid.predict(docs, raw, ["doc_id"]).collect()}
+    for r in docs.collect():
+        data = f" {r['text'].lower()} ".encode()
+        sizes = {}
+        for lang, d in raw.items():
+            book = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=book, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK))
+        ranked = sorted(sizes, key=lambda x: (sizes[x], list(raw).index(x)))
+        margin = sizes[ranked[1]] - sizes[ranked[0]]
+        assert got[r["doc_id"]]["lang_pred"] == ranked[0]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 - math.exp(-margin / langid.SCORE_SCALE))
+        assert got[r["doc_id"]]["rejected"] == (margin < langid.MIN_MARGIN * sizes[ranked[1]])
+
+
 def test_langid_und_and_ties():
     c = langid.Classifier({"en": b"the and with from " * 20, "de": b"der die und nicht " * 20})
     assert c.predict(None) == c.predict("123 !!") == c.predict("") == ("und", 0.0, True)
