@@ -36,7 +36,7 @@ from .topk import usable
 THRESHOLD = 0.98
 NEAREST = 12
 #: Descents go on while more than this share of the list entries is new.
-CHANGED = 0.01
+CHANGED = 0.1
 TABLES, BITS, STRETCH = 8, 12, 4
 #: What 8-bit numbers may take from a cosine, with room.
 BLUR = 0.008
@@ -118,22 +118,23 @@ def first_graph(nodes: DataFrame, seed: int, bits: int = BITS) -> DataFrame:
 
 
 def nearest(edges: DataFrame, k: int = NEAREST) -> DataFrame:
-    """Of each a, its k nearest b."""
+    """Of each a, its k nearest b; of repeated edges the one that is least fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["a"], 1 << 16):
-            a, b, sim = (t.column(c).to_numpy() for c in ("a", "b", "sim"))
+            a, b, sim, fresh = (t.column(c).to_numpy() for c in ("a", "b", "sim", "fresh"))
             new = np.ones(len(a), dtype=bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b, sim = a[new], b[new], sim[new]
+            a, b, sim, fresh = a[new], b[new], sim[new], fresh[new]
             start = np.ones(len(a), dtype=bool)
             start[1:] = a[1:] != a[:-1]
             first = np.flatnonzero(start)
             place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-            yield _edges(a[place < k], b[place < k], sim[place < k])
+            near = place < k
+            yield pa.RecordBatch.from_arrays([pa.array(a[near], pa.int64()), pa.array(b[near], pa.int64()), pa.array(sim[near], pa.float32()), pa.array(fresh[near], pa.int32())], names=["a", "b", "sim", "fresh"])
 
     # equal pairs have equal similarities, so they stand side by side
-    return edges.repartition("a").sortWithinPartitions("a", F.col("sim").desc(), "b").mapInArrow(run, "a long, b long, sim float")
+    return edges.repartition("a").sortWithinPartitions("a", F.col("sim").desc(), "b", "fresh").mapInArrow(run, "a long, b long, sim float, fresh int")
 
 
 def descend(lists: DataFrame, small: DataFrame, k: int, near: float) -> DataFrame:
@@ -172,8 +173,8 @@ def descend(lists: DataFrame, small: DataFrame, k: int, near: float) -> DataFram
 
 
 def strong(edges: DataFrame, near: float) -> DataFrame:
-    """Pairs a < b of the edges from ``near`` up."""
-    return edges.filter(F.col("sim") >= near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs a < b of the edges from ``near`` up; some repeat."""
+    return edges.filter(F.col("sim") >= near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def compare(members: DataFrame, threshold: float) -> DataFrame:
@@ -283,13 +284,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         k = NEAREST << turn
         more = materialize(first_graph(nodes, turn, bits), "nn-first")
         kept.append(materialize(strong(more, near), "nn-strong"))
-        lists = materialize(nearest(more if lists is None else lists.unionAll(more), k), "nn-lists")
+        old, met = F.lit(0).alias("fresh"), F.lit(1).alias("fresh")
+        more_edges = more.select("a", "b", "sim", met)
+        lists = materialize(nearest(more_edges if lists is None else lists.select("a", "b", "sim", old).unionAll(more_edges), k), "nn-lists")
         discard(more)
         while True:
             offers = materialize(descend(lists, small, k, near), "nn-offers")
             kept.append(materialize(strong(offers, near), "nn-strong"))
-            following = materialize(nearest(lists.unionAll(offers), k), "nn-lists")
-            entries, new = following.count(), following.join(lists, ["a", "b"], "left_anti").count()
+            following = materialize(nearest(lists.select("a", "b", "sim", old).unionAll(offers.select("a", "b", "sim", met)), k), "nn-lists")
+            entries, new = following.agg(F.count("*"), F.coalesce(F.sum("fresh"), F.lit(0))).first()
             discard(lists)
             discard(offers)
             lists = following
