@@ -6,7 +6,7 @@ in a tie), the decision is marked as rejected (``lang_pred`` still names the sma
 blocks, so that the dictionary also counts towards the end of a long one.
 
 Dictionaries are learned from a bounded sample: at most ``PIECES`` pieces of ``PIECE_CHARS`` characters a language,
-chosen by a hash of the id.  The number of languages is taken to be small (one dictionary each is sent to the tasks).
+chosen by a hash of the id (of rows that repeat an id, one).  The number of languages is taken to be small (one dictionary each is sent to the tasks).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with nothing learned
 every text is ``und``; ties go to the language with more training documents, then to the smaller name; repeated rows
@@ -42,7 +42,7 @@ def learn(train: DataFrame) -> dict[str, bytes]:
     for lang, n in counts.items():
         chosen = chosen | ((F.col("lang") == lang) & (F.col("place") < int((1 << 30) * min(1.0, 1.3 * PIECES / n))))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(1)))
-    rows = t.withColumn("place", place).filter(chosen).select("lang", "place", F.lower(F.substring(F.col("text"), start.cast("int"), F.lit(PIECE_CHARS))).alias("piece")).collect()
+    rows = t.withColumn("place", place).filter(chosen).select("lang", "place", F.lower(F.substring(F.col("text"), start.cast("int"), F.lit(PIECE_CHARS))).alias("piece")).groupBy("lang", "place").agg(F.min("piece").alias("piece")).collect()
     out = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         pieces = [p for _, p in sorted((r["place"], r["piece"]) for r in rows if r["lang"] == lang)]

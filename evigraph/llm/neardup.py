@@ -8,7 +8,7 @@ further round doubles the lists.  All these edges give candidate components, who
 exactly and in double precision.  So what is reported is right for every pair inside a candidate component, and only a
 pair in no path of edges can be missed.
 
-A round descends until hardly any list changes; the codes' bits grow with the rows.  An audit compares ``AUDITED`` nodes
+A round descends until less than a tenth of the lists' entries is new; the codes' bits grow with the rows.  An audit compares ``AUDITED`` nodes
 with all rows exactly, and more of them until ``SEEN`` links are known.  While fewer than ``RECALL`` of these are found,
 another round with new projections follows, up to ``AUDITS`` times; after that, or if ``MOST`` audited nodes show too few
 links to tell, all pairs of each label are compared in blocks.
