@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, neardup, packing, pii, sharding, simhash, topk, toxicity
+from . import bestfit, filters, fim, langid, lm, mixing, neardup, packing, pii, sharding, simhash, topk, toxicity
 from .common import crc_of_id
 
 
@@ -60,6 +60,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -71,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_best_fit": op12_best_fit,
+    "op13_fim": op13_fim,
 }
 
 OP8_SQL = r"""
@@ -105,4 +122,32 @@ SELECT vec_id, coalesce(n.n_links, 0) AS n_links, least(vec_id, coalesce(r.b, ve
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of r ON r.a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_neardup": OP4_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > least, false)::INT AS bits FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT part, bits, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(c, bit)),
+o AS (SELECT p.c || q.c || r.c || s.c || u.c AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits FROM b p, b q, b r, b s, b u WHERE p.bit | q.bit | r.bit | s.bit | u.bit = 31),
+k AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+parts AS (SELECT DISTINCT part FROM t)
+SELECT parts.part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(sum(n) FILTER (x.bits & (before | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (x.bits & bit <> 0 AND x.bits & before = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (x.bits & bit <> 0 AND x.bits & before <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (x.bits = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (x.bits & bit <> 0 AND x.bits & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (x.bits & bit <> 0 AND x.bits & before = 0), 0) AS BIGINT) AS toxic_lost,
+    CAST(coalesce(sum(n * (120 // greatest(1, bit_count(x.bits)))) FILTER (x.bits & bit <> 0), 0) AS BIGINT) AS shapley
+FROM parts CROSS JOIN k JOIN x ON x.part = parts.part GROUP BY ALL
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+k AS (SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS a, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_neardup": OP4_SQL, "op5_topk": OP5_SQL, "op8_mixing": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_fim": OP13_SQL}
