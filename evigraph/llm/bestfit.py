@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from .units import cut, raw, stretches, unit_ends
 
 WINDOW = 1024
 END_ID = 2
-#: Entries of a task's cache, and bytes of the longest unit that it keeps.
+#: Entries of a task's cache, and characters of the longest run that it keeps.
 CACHE, LONGEST = 400_000, 64
 #: White space that the tokenizer knows beyond the ASCII one, or control characters that are near to it.
 WIDE_SPACE = r"[\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -49,28 +51,53 @@ def default_tokenizer() -> str:
 
 
 class Encoder(dict):
-    """Ids of texts.  As a mapping: a word with the white space before it -> its ids.
+    """Ids of texts.  As a mapping: a run that the tokenizer never joins with another -> its ids.
 
-    The tokenizer's runs never join a word and white space after it, so a text's ids are those of its units, and only
-    units not yet seen are encoded.  Texts with other white space than ASCII are encoded whole.
+    No run goes on behind a word, so a text's ids are those of its units (words with the white space before them).  Distinct
+    units are cut into their runs, and only runs not yet seen go through the model.  Texts with other white space than
+    ASCII and units that may hold a special token are encoded by the whole tokenizer.
     """
 
+    #: Fixed value: the runs of the byte-level pre-tokenizer.
+    RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.model = self.tokenizer.model
+        self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        shown = {b for b in range(256) if chr(b).isprintable() and chr(b) != " "}
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.direct(unit)
-        if len(unit) <= LONGEST:
-            self[unit] = out
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        word = run[1:]
+        if word.isalpha() and word.isascii() and run[0] == " ":
+            piece = self.letters[32] + word
+        else:
+            piece = run.encode().decode("latin-1").translate(self.letters)
+        out = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if len(run) <= LONGEST:
+            self[run] = out
         return out
 
+    def unit(self, unit: str) -> bytes:
+        known = self.get(unit)
+        if known is not None:
+            return known
+        word = unit[1:-1]
+        if word.isalpha() and unit[0] == " ":  # a word, or one with a sign behind it, most of the time
+            if unit[-1].isalpha():
+                return self[unit]
+            if unit[-1] in ".,;:!?":
+                return self[unit[:-1]] + self[unit[-1]]
+        return self.direct(unit) if "<|" in unit else b"".join(map(self.__getitem__, self.RUNS.findall(unit)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and where each text's begin; one more place ends the last."""
         data, places = raw(texts)
@@ -78,7 +105,7 @@ class Encoder(dict):
         coded = cut(data, np.concatenate([[0], ends])).dictionary_encode()
         if len(self) > CACHE:
             self.clear()
-        known = [self[u] for u in coded.dictionary.to_pylist()]
+        known = list(map(self.unit, coded.dictionary.to_pylist()))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // np.dtype(self.kind).itemsize
         code = coded.indices.to_numpy()
         ids = np.frombuffer(b"".join(known), dtype=self.kind)[ragged(np.cumsum(sizes) - sizes, sizes, code)]
