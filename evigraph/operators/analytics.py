@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import name_similarity, package_of, strip_suffixes
+from ..scratch import settle
+from .ranking import ranked
 
 
 def package_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
@@ -129,6 +134,38 @@ def focus_elements(elements: DataFrame, goal: str) -> DataFrame:
     return elements.filter(hit(F.col("current_name")) | hit(F.col("canonical_key"))).select("id").distinct()
 
 
+def focus_many(elements: DataFrame, goals: DataFrame, gram: int = 4) -> DataFrame:
+    """(goal_id, id) of every element whose name or key occurs in a goal's text, in any case: focus_elements for many
+    goals (goal_id, text).
+
+    An inverted index of the texts' grams (four letters; shorter ones for names that have no more): each name is looked up
+    by that of its grams which the fewest texts hold, and what is found must contain the name.  A name with a gram that no
+    text holds is in none.
+    """
+    names = elements.select("id", F.explode(F.array_compact(F.array_distinct(F.array(F.lower("current_name"), F.lower("canonical_key"))))).alias("name")).filter("name <> ''")
+    texts = goals.select("goal_id", F.lower("text").alias("text")).filter("text is not null")
+    of_name = _grams(names.select("name").distinct(), "name", F.least(F.length("name"), F.lit(gram)))
+    lengths = sorted(r[0] for r in of_name.select(F.length("gram")).distinct().collect())  # at most ``gram``
+    # pieces of 64 letters with the beginning of the next: letters are counted from a piece's start, not a text's
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,64}"), F.lit(0))
+    ahead = F.transform(cut, lambda x, i: F.concat(x, F.substring(F.coalesce(F.get(cut, i + 1), F.lit("")), 1, gram - 1)))
+    pieces = texts.select("goal_id", F.explode(ahead).alias("piece"))
+    of_text = [_grams(pieces, "piece", F.lit(n)).select("goal_id", "gram") for n in lengths]
+    held = settle(reduce(DataFrame.unionAll, of_text).distinct(), "grams") if of_text else texts.select("goal_id", F.lit("").alias("gram")).filter(F.lit(False))
+    times = held.groupBy("gram").agg(F.count("*").alias("times"))
+    rarest = of_name.join(times, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("r"))
+    keyed = rarest.filter("r.times > 0").select("name", F.col("r.gram").alias("gram"))
+    found = held.join(keyed, "gram").join(texts, "goal_id").filter(F.col("text").contains(F.col("name"))).select("goal_id", "name").distinct()
+    return found.join(names, "name").select("goal_id", "id").distinct()
+
+
+def _grams(rows: DataFrame, column: str, n: Column) -> DataFrame:
+    """``rows`` with gram: the runs of n letters of a column, each once."""
+    long = rows.filter(F.length(column) >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.substring(F.col(column), i, n))
+    return long.withColumn("gram", F.explode(F.array_distinct(runs)))
+
+
 def roll_up(edges: DataFrame, containment: DataFrame, level: str) -> DataFrame:
     """(src, dst, weight): edges between the containers at a level.  containment: id, level, container."""
     c = containment.filter(F.col("level") == level)
@@ -136,6 +173,45 @@ def roll_up(edges: DataFrame, containment: DataFrame, level: str) -> DataFrame:
     return up.filter("s <> d").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.count("*").alias("weight"))
 
 
+def intervals(nodes: DataFrame) -> DataFrame:
+    """(canonical_key, pre, post) of every key: places in the order of a walk through the tree, so that all keys below one have
+    places after its pre, up to its post.
+
+    Places are a ranking by the keys' segments; what lies below a key is counted by the prefixes of all keys.
+    """
+    keys = nodes.filter("canonical_key is not null").select("canonical_key").distinct()
+    placed = ranked(keys, [F.split("canonical_key", "/")], "pre")
+    below = placed.select(F.explode(key_prefixes(F.col("canonical_key"))).alias("p")).groupBy(F.col("p.prefix").alias("above")).agg(F.count("*").alias("below"))
+    return placed.join(below, F.col("canonical_key") == F.col("above"), "left").select("canonical_key", "pre", (F.col("pre") + F.coalesce("below", F.lit(0))).alias("post"))
+
+
+def containers(nodes: DataFrame, levels: Sequence[str], width: int = 100_000) -> DataFrame:
+    """(id, level, container) for every level on which something contains a node, or is the node.  nodes: id, level (null or
+    another: contains nothing), canonical_key.  The containers of one level don't contain one another.
+
+    All levels in one pass: places are cut into stretches of ``width``; a container stands at its first place in each
+    stretch that it reaches into, and a node belongs to the last one that stands before it, if that goes so far.
+    """
+    at = nodes.select("id", "level", "canonical_key").join(intervals(nodes), "canonical_key")
+    at = settle(at.withColumns({"first": F.floor(F.col("pre") / width), "last": F.floor(F.col("post") / width)}), "intervals")
+    mark = at.filter(F.col("level").isin(*levels)).select("level", F.explode(F.sequence("first", "last")).alias("stretch"), "pre", "post", F.col("id").alias("container"))
+    mark = mark.select("level", "stretch", F.greatest("pre", F.col("stretch") * width).alias("place"), F.lit(0).alias("is_node"), F.struct("container", "post").alias("held"), F.lit(None).cast(nodes.schema["id"].dataType).alias("id"))
+    node = at.select(F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"), F.col("first").alias("stretch"), F.col("pre").alias("place"), F.lit(1).alias("is_node"), F.lit(None).cast(mark.schema["held"].dataType).alias("held"), "id")
+    upto = Window.partitionBy("level", "stretch").orderBy("place", "is_node").rowsBetween(Window.unboundedPreceding, 0)
+    met = mark.unionByName(node).withColumn("in", F.last("held", ignorenulls=True).over(upto))
+    return met.filter((F.col("is_node") == 1) & (F.col("in.post") >= F.col("place"))).select("id", "level", F.col("in.container").alias("container"))
+
+
+def multi_level(edges: DataFrame, nodes: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """(level, src, dst, weight): edges (src, dst) between the containers of their ends, at all levels at once.  An end that
+    nothing contains at a level is not there; edges inside one container are left out."""
+    up = containers(nodes, levels).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("level", "container"))).alias("up"))  # one entry a level
+    side = lambda c: up.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
+    both = edges.select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
+    at = both.select(F.explode(F.array(*[F.lit(x) for x in levels])).alias("level"), "src_up", "dst_up").select("level", F.col("src_up")[F.col("level")].alias("src"), F.col("dst_up")[F.col("level")].alias("dst"))
+    return at.filter("src <> dst").groupBy("level", "src", "dst").agg(F.count("*").alias("weight"))
+
+
 def collapse_consecutive(interactions: DataFrame) -> DataFrame:
     """Drops an interaction that repeats the one before it in its scenario; order_key is numbered anew from 1."""
     w = Window.partitionBy("scenario").orderBy("order_key")

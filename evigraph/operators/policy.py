@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tomllib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_match
@@ -101,12 +101,17 @@ def gate(decided: DataFrame) -> DataFrame:
     return decided.withColumn("action", action).withColumn("queued", F.col("decision") == "RequireApproval")
 
 
-def approval_queue(log: DataFrame) -> DataFrame:
-    """Proposals still waiting.  log: seq, proposal_id, action (enqueue, approve, reject); each id once, by its last
-    enqueue since it was last decided."""
-    w = Window.partitionBy("proposal_id")
-    decided = F.max(F.when(F.col("action").isin("approve", "reject"), F.col("seq"))).over(w)
-    waiting = log.withColumn("decided", decided).filter((F.col("action") == "enqueue") & (F.col("decided").isNull() | (F.col("seq") > F.col("decided"))))
+def approval_queue(log: DataFrame, *, lifetime: str | None = None, now: Column | None = None) -> DataFrame:
+    """Proposals still waiting.  log: seq, proposal_id, action (enqueue, approve, reject); each id once, by its first
+    enqueue since it was last decided.  With a lifetime an enqueue lapses so long after ``at``; later ones then stand for it.
+
+    Decisions are one aggregate, joined back only to ids that have any; streaming.approvals keeps the same up as events come.
+    """
+    made = log.filter("action = 'enqueue'")
+    if lifetime is not None:
+        made = made.filter(F.col("at") + F.expr(f"INTERVAL {lifetime}") > now)
+    decided = log.filter(F.col("action").isin("approve", "reject")).groupBy("proposal_id").agg(F.max("seq").alias("decided"))
+    waiting = made.join(decided, "proposal_id", "left").filter(F.col("decided").isNull() | (F.col("seq") > F.col("decided")))
     return waiting.groupBy("proposal_id").agg(F.min("seq").alias("seq"))
 
 

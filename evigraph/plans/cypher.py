@@ -18,8 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.traverse import touching
-from ..scratch import settle
+from ..operators.adjacency import Adjacency, sized
+from ..operators.traverse import touching, whole
+from ..scratch import counted, joined, release
 
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+\.\d+|\d+)|(\$?[A-Za-z_]\w*)|(<>|<=|>=|->|<-|\.\.|[-=<>()\[\]{},.:*|+/]))")
 WRITES = {"CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "DROP", "ALTER", "COPY"}
@@ -33,8 +34,10 @@ class CypherError(ValueError):
 
 @dataclass
 class Graph:
+    """Node and edge tables by name; edges that are stored as an Adjacency are walked there."""
+
     nodes: dict[str, DataFrame]
-    edges: dict[str, DataFrame]
+    edges: dict[str, DataFrame | Adjacency]
 
     def node(self, label: str | None) -> DataFrame:
         """A label's table with a label column; without a label, ids of all tables."""
@@ -48,8 +51,14 @@ class Graph:
         if len(kinds) == 1:
             if kinds[0] not in self.edges:
                 raise CypherError(f"no edge table {kinds[0]}")
-            return self.edges[kinds[0]]
-        return reduce(DataFrame.unionAll, [self.edges[k].select("src", "dst", F.lit(k).alias("__type")) for k in (kinds or self.edges)])
+            return whole(self.edges[kinds[0]])
+        return reduce(DataFrame.unionAll, [whole(self.edges[k]).select("src", "dst", F.lit(k).alias("__type")) for k in (kinds or self.edges)])
+
+    def adjacent(self, kinds: list[str]) -> DataFrame | Adjacency:
+        """The edges to walk, stored ones as they are."""
+        kinds = kinds or list(self.edges)
+        stored = self.edges.get(kinds[0]) if len(kinds) == 1 else None
+        return stored if isinstance(stored, Adjacency) else self.edge(kinds)
 
 
 @dataclass
@@ -391,24 +400,27 @@ class _Planner(_Parser):
     def _walk(self, e: Edge, before: Node) -> DataFrame:
         """(src, dst) of ends of trails with low to high steps: pairs by shortest distance, each once; with SHORTEST also
         path, the ids on the way that comes first in order.  Every step reads the edges that leave its frontier only."""
-        raw, shortest = self.graph.edge(e.kinds), e.name in self.paths
+        raw, shortest = self.graph.adjacent(e.kinds), e.name in self.paths
         if shortest:
             self.kinds_of[e.name] = e.kinds
             condition = self._all_edges(e.name)
             raw = raw if condition is None else raw.filter(condition)
-        raw = raw.select("src", "dst")
-        start = settle(self.df.select(F.col(f"`{_column(before.name, 'id')}`").alias("src")).distinct(), "starts")
-        seen = frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("n"), F.array("src").alias("path"))
+        start, rows = counted(self.df.select(F.col(f"`{_column(before.name, 'id')}`").alias("src")).distinct(), "starts")
+        frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("n"), F.array("src").alias("path"))
+        seen, parts = frontier, []
         for n in range(1, e.hops[1] + 1):
             ids = frontier.select(F.col("dst").alias("id")).distinct()
-            step = touching(raw, ids, frontier.count(), e.direction)
-            more = frontier.select(F.col("src").alias("s"), F.col("dst").alias("d"), "path").join(step, F.col("d") == F.col("src"))
+            step = touching(raw, ids, rows, e.direction)
+            more = sized(frontier.select(F.col("src").alias("s"), F.col("dst").alias("d"), "path"), rows).join(step, F.col("d") == F.col("src"))
             more = more.groupBy(F.col("s").alias("src"), "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-            frontier = settle(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(n).alias("n"), "path"), "walk")
-            if frontier.isEmpty():
+            frontier, rows = counted(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(n).alias("n"), "path"), "walk")
+            parts.append(frontier)
+            if not rows:
                 break
             seen = seen.unionByName(frontier)
-        return seen.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst", *(["path"] if shortest else []))
+        found = joined(parts, "walked") if parts else seen
+        release(start)
+        return found.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst", *(["path"] if shortest else []))
 
     def project(self) -> None:
         distinct = self.take("DISTINCT")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as s
-from .operators import analytics, extract, ingest, policy, select, traverse, upsert
+from .operators import analytics, documents, extract, ingest, policy, select, traverse, upsert
 from .plans import cypher, project
-from .sources import star
+from .scratch import shared_folder
+from .sources import star, stored
 from .sources.star import CALLS_SQL, EDGES_SQL, ELEMENTS_SQL, EVIDENCE_SQL
+from .streaming import approvals, lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,8 +143,7 @@ def _walk_sql(start: str, edges: str, depth: int) -> str:
 
 @query("SELECT DISTINCT w.id, e.kind_id AS label FROM w JOIN elements e ON w.id = e.id WHERE w.id <> 'customer:1'", ELEMENTS_SQL, EDGES_SQL, BOTH_SQL, _walk_sql("customer:1", "both_ways", 2), recursive=True)
 def g_neighbours(spark, d):
-    edges, nodes = _graph(spark, d)
-    return traverse.neighbours(edges, nodes, "customer:1", 2)
+    return traverse.neighbours(stored.edges(spark, d), stored.nodes(spark, d), "customer:1", 2)
 
 
 BACK_SQL = "back AS (SELECT dst AS src, src AS dst FROM calls)"
@@ -153,23 +156,23 @@ def _one(spark, ident: str = START) -> DataFrame:
 
 @query("SELECT id, CAST(min(n) AS INTEGER) AS depth FROM w GROUP BY id", CALLS_SQL, _walk_sql(START, "calls", 3), recursive=True)
 def g_levels_out(spark, d):
-    return traverse.levels(star.calls(spark, d), _one(spark), 3, "out")
+    return traverse.levels(stored.calls(spark, d), _one(spark), 3, "out")
 
 
 @query("SELECT id, CAST(min(n) AS INTEGER) AS depth FROM w GROUP BY id", CALLS_SQL, SAME_SQL, _walk_sql(START, "same", 2), recursive=True)
 def g_levels_both(spark, d):
-    return traverse.levels(star.calls(spark, d), _one(spark), 2, "both")
+    return traverse.levels(stored.calls(spark, d), _one(spark), 2, "both")
 
 
 @query("SELECT c.src, c.dst, CAST(a.n + 1 AS INTEGER) AS depth FROM calls c JOIN (SELECT id, min(n) AS n FROM w GROUP BY id) a ON c.src = a.id JOIN (SELECT id, min(n) AS n FROM w GROUP BY id) b ON c.dst = b.id WHERE a.n + 1 <= (SELECT max(n) FROM (SELECT id, min(n) AS n FROM w GROUP BY id))", CALLS_SQL, _walk_sql(START, "calls", 3), recursive=True)
 def g_level_edges(spark, d):
-    calls = star.calls(spark, d)
+    calls = stored.calls(spark, d)
     return traverse.level_edges(calls, traverse.levels(calls, _one(spark), 3, "out"), "out")
 
 
 @query("SELECT count(DISTINCT id) - 1 AS n FROM w", CALLS_SQL, _walk_sql(START, "calls", 4), recursive=True)
 def g_blast_radius(spark, d):
-    return traverse.blast_radius(star.calls(spark, d), _one(spark), 4)
+    return traverse.blast_radius(stored.calls(spark, d), _one(spark), 4)
 
 
 def _paths_sql(name: str, edges: str, start: str, depth: int) -> str:
@@ -182,17 +185,17 @@ def _paths_sql(name: str, edges: str, start: str, depth: int) -> str:
 @query("""SELECT id, 'downstream' AS direction, CAST(n AS INTEGER) AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, path) AS k FROM ahead) WHERE k = 1 AND n > 0
 UNION ALL SELECT id, 'upstream', CAST(n AS INTEGER), path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, path) AS k FROM behind) WHERE k = 1 AND n > 0""", CALLS_SQL, BACK_SQL, _paths_sql("ahead", "calls", START, 3), _paths_sql("behind", "back", START, 3), recursive=True)
 def g_impact(spark, d):
-    return traverse.impact(star.calls(spark, d), START, 3, "both")
+    return traverse.impact(stored.calls(spark, d), START, 3, "both")
 
 
 @query("SELECT CAST(n AS INTEGER) AS depth, path FROM ahead WHERE id = 'part:62' ORDER BY n, path LIMIT 1", CALLS_SQL, _paths_sql("ahead", "calls", START, 12), recursive=True)
 def g_shortest_path(spark, d):
-    return traverse.shortest_path(star.calls(spark, d), START, "part:62", 12)
+    return traverse.shortest_path(stored.calls(spark, d), START, "part:62", 12)
 
 
 @query("""SELECT c.src AS sender, c.dst AS receiver, CAST(a.n + 1 AS INTEGER) AS depth FROM calls c JOIN (SELECT id, min(n) AS n FROM w GROUP BY id) a ON c.src = a.id WHERE a.n < 3""", CALLS_SQL, _walk_sql(START, "calls", 3), recursive=True)
 def g_sequence(spark, d):
-    return traverse.sequence(star.calls(spark, d), START, 3, cap=1_000_000).select("sender", "receiver", "depth")
+    return traverse.sequence(stored.calls(spark, d), START, 3, cap=1_000_000).select("sender", "receiver", "depth")
 
 
 def _first_places_sql(start: str, depth: int) -> str:
@@ -204,7 +207,7 @@ def _first_places_sql(start: str, depth: int) -> str:
 
 @query("SELECT CAST(row_number() OVER (ORDER BY depth, place, receiver) AS INTEGER) AS order_key, sender, receiver, depth, revisited FROM (SELECT c.src AS sender, c.dst AS receiver, CAST(s.n + 1 AS INTEGER) AS depth, s.place, NOT (r.n = s.n + 1 AND r.place = s.place || '>' || c.dst) AS revisited FROM first_met s JOIN calls c ON c.src = s.id JOIN first_met r ON r.id = c.dst WHERE s.n < 4 ORDER BY depth, place, receiver LIMIT 50)", CALLS_SQL, _first_places_sql(START, 4), recursive=True)
 def g_sequence_order(spark, d):
-    return traverse.sequence(star.calls(spark, d), START, 4, cap=50)
+    return traverse.sequence(stored.calls(spark, d), START, 4, cap=50)
 
 
 @query("SELECT DISTINCT c.src, c.dst FROM calls c JOIN r ON r.a = c.dst AND r.b = c.src", CALLS_SQL, "r(a, b) AS (SELECT src, dst FROM calls UNION SELECT r.a, c.dst FROM r JOIN calls c ON r.b = c.src)", recursive=True)
@@ -228,7 +231,7 @@ def g_layout(spark, d):
 
 @query("SELECT coalesce(direction, 'all') AS direction, count(*) AS n, CAST(coalesce(max(n), 0) AS INTEGER) AS max_depth FROM (SELECT id, 'downstream' AS direction, min(n) AS n FROM ahead WHERE n > 0 AND id <> 'part:10' GROUP BY id UNION ALL SELECT id, 'upstream', min(n) FROM behind WHERE n > 0 AND id <> 'part:10' GROUP BY id) GROUP BY ROLLUP (direction)", CALLS_SQL, BACK_SQL, _paths_sql("ahead", "calls", START, 2), _paths_sql("behind", "back", START, 2), recursive=True)
 def g_impact_summary(spark, d):
-    return traverse.impact_summary(traverse.impact(star.calls(spark, d), START, 2, "both"))
+    return traverse.impact_summary(traverse.impact(stored.calls(spark, d), START, 2, "both"))
 
 
 # analyses --------------------------------------------------------------------------------------------------------
@@ -297,14 +300,14 @@ def g_breadcrumbs(spark, d):
     return traverse.breadcrumbs_by_key(star.elements(spark, d), "customer:7")
 
 
-@query("SELECT id FROM elements WHERE category IN ('geo', 'party') AND (id = 'nation:3' OR regexp_replace(canonical_key, '/[^/]*$', '') = (SELECT canonical_key FROM elements WHERE id = 'nation:3') OR canonical_key = (SELECT regexp_replace(canonical_key, '/[^/]*$', '') FROM elements WHERE id = 'nation:3'))", ELEMENTS_SQL)
+@query("SELECT id FROM elements WHERE (id = 'nation:3' OR regexp_replace(canonical_key, '/[^/]*$', '') = (SELECT canonical_key FROM elements WHERE id = 'nation:3') OR canonical_key = (SELECT regexp_replace(canonical_key, '/[^/]*$', '') FROM elements WHERE id = 'nation:3'))", ELEMENTS_SQL)
 def g_visible_nodes(spark, d):
-    return analytics.visible_nodes(analytics.derive_parents(star.elements(spark, d).filter("category in ('geo', 'party')")), "nation:3")
+    return analytics.visible_nodes(analytics.derive_parents(star.elements(spark, d)), "nation:3")
 
 
 @query("SELECT source_id AS src, target_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to' AND target_id = 'nation:3' UNION ALL SELECT source_id, target_id FROM edges WHERE source_id = 'nation:3'", EDGES_SQL)
 def g_visible_edges(spark, d):
-    shown = analytics.visible_nodes(analytics.derive_parents(star.elements(spark, d).filter("category in ('geo', 'party')")), "nation:3")
+    shown = analytics.visible_nodes(analytics.derive_parents(star.elements(spark, d)), "nation:3")
     return analytics.visible_edges(_plain(spark, d), shown)
 
 
@@ -374,6 +377,39 @@ def g_roll_up(spark, d):
     return analytics.roll_up(star.calls(spark, d), p, "component")
 
 
+LEVELS = ("system", "container", "component", "class", "operation")
+#: A place for everything: orders in their customer, nation and region, parts in their brand, type and size.
+TREE_SQL = """tree AS (SELECT 'world' AS id, NULL AS parent, 1 AS level UNION ALL SELECT 'catalog', NULL, 1 UNION ALL SELECT 'region:' || r_regionkey, 'world', 2 FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 3 FROM nation
+  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 4 FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 4 FROM supplier UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 5 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT DISTINCT p_brand, 'catalog', 2 FROM part UNION ALL SELECT DISTINCT p_brand || '/' || p_type, p_brand, 3 FROM part UNION ALL SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size, p_brand || '/' || p_type, 4 FROM part UNION ALL SELECT 'part:' || p_partkey, p_brand || '/' || p_type || '/' || p_size, 5 FROM part)"""
+
+
+def _tree(spark, d) -> DataFrame:
+    """id, level, canonical_key: the tree as paths."""
+    e = star.elements(spark, d).filter("kind_id <> 'mt.part'").select("id", F.concat(F.lit("world/"), "canonical_key").alias("canonical_key"))
+    p = star.table(spark, d, "part").select("p_partkey", F.concat_ws("/", F.lit("catalog"), "p_brand", "p_type", "p_size").alias("place"))
+    part = p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.concat("place", F.lit("/"), F.col("p_partkey").cast("string")).alias("canonical_key"))
+    inner = p.select(F.explode(F.array(*[F.substring_index("place", "/", k) for k in (2, 3, 4)])).alias("canonical_key")).distinct()
+    roots = spark.createDataFrame([("world", "world"), ("catalog", "catalog")], "id string, canonical_key string")
+    every = e.unionByName(part).unionByName(inner.select(F.expr("substring(canonical_key, 9)").alias("id"), "canonical_key")).unionByName(roots)
+    return every.withColumn("level", F.get(F.array(*[F.lit(x) for x in LEVELS]), F.size(F.split("canonical_key", "/")) - 1))
+
+
+@query("SELECT list_extract(['system', 'container', 'component', 'class', 'operation'], s.level) AS level, s.top AS src, d.top AS dst, count(*) AS weight FROM edges JOIN up s ON source_id = s.id JOIN up d ON target_id = d.id AND s.level = d.level WHERE s.top <> d.top GROUP BY ALL",
+       EDGES_SQL, TREE_SQL, "up(id, top, level, parent) AS (SELECT id, id, level, parent FROM tree UNION ALL SELECT up.id, t.id, t.level, t.parent FROM up JOIN tree t ON up.parent = t.id)", recursive=True)
+def g_multi_level(spark, d):
+    return analytics.multi_level(_plain(spark, d), _tree(spark, d), LEVELS)
+
+
+@query("SELECT DISTINCT goal_id, id FROM goals JOIN elements ON contains(goal, lower(current_name)) OR contains(goal, lower(canonical_key))", ELEMENTS_SQL,
+       "goals AS (SELECT conv_id || ':' || turn AS goal_id, lower(text) || ' of customer#' || lpad(CAST(conv_id % 150 AS VARCHAR), 9, '0') || CASE turn % 3 WHEN 0 THEN ' in europe' WHEN 1 THEN ' by order ' || conv_id ELSE '' END AS goal FROM conversations)")
+def g_focus_many(spark, d):
+    c = star.table(spark, d, "conversations")
+    more = F.when(F.col("turn") % 3 == 0, " in EUROPE").when(F.col("turn") % 3 == 1, F.concat(F.lit(" by Order "), F.col("conv_id").cast("string"))).otherwise("")
+    text = F.concat("text", F.lit(" of Customer#"), F.lpad((F.col("conv_id") % 150).cast("string"), 9, "0"), more)
+    return analytics.focus_many(star.elements(spark, d), c.select(F.concat_ws(":", "conv_id", "turn").alias("goal_id"), text.alias("text")))
+
+
 def _history(spark, d) -> DataFrame:
     return star.table(spark, d, "events").select(F.col("user_id").alias("element_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("name"))
 
@@ -395,17 +431,34 @@ def g_invalidated(spark, d):
     return analytics.invalidated(spark.range(1).select(F.lit("src:3").alias("id")), extracted, _supported(spark, d), _versions(star.elements(spark, d)))
 
 
+@query("SELECT 'src:' || (doc_id % 7) AS source, 'ev:' || doc_id AS evidence, s.src AS version, v.element_id AS element FROM documents LEFT JOIN (SELECT * FROM supported WHERE substr(dst, 4)::BIGINT % 5 <> 2) s ON s.dst = 'ev:' || doc_id LEFT JOIN versions v ON s.src = v.id WHERE doc_id % 7 = 3", ELEMENTS_SQL, VERSIONS_SQL, SUPPORTED_SQL)
+def g_invalidated_stream(spark, d):
+    """The lineage of all documents as changes in three batches: facts come, a fifth of the support goes, versions come."""
+    folder = f"{shared_folder(spark)}/evigraph-lineage-{uuid.uuid4().hex}"
+    ev = F.concat(F.lit("ev:"), F.col("doc_id").cast("string"))
+    docs, support = star.table(spark, d, "documents"), _supported(spark, d)
+    change = lambda df, relation, op, src, dst: df.select(F.lit(1).cast("long").alias("seq"), F.lit(relation).alias("relation"), F.lit(op).alias("op"), src.alias("src"), dst.alias("dst"))
+    first = change(docs, "extracted_from", "insert", ev, F.concat(F.lit("src:"), (F.col("doc_id") % 7).cast("string"))).unionByName(change(support, "supported_by", "insert", F.col("src"), F.col("dst")))
+    gone = change(support.filter(F.substring("dst", 4, 20).cast("long") % 5 == 2), "supported_by", "delete", F.col("src"), F.col("dst"))
+    versions = change(_versions(star.elements(spark, d)), "has_version", "insert", F.col("id"), F.col("element_id"))
+    for batch in (first, gone, versions):
+        batch.write.mode("append").parquet(f"{folder}/log")
+        changes = spark.readStream.schema(lineage.CHANGES).parquet(f"{folder}/log")
+        lineage.keep_up(changes, f"{folder}/tables", f"{folder}/checkpoint", buckets=8).awaitTermination()
+    return lineage.invalidated(spark, f"{folder}/tables", spark.range(1).select(F.lit("src:3").alias("id")))
+
+
 # writes ----------------------------------------------------------------------------------------------------------
-@query("SELECT id, CASE WHEN id IN ('region:1', 'region:2') THEN 'renamed' ELSE current_name END AS current_name, kind_id FROM elements WHERE category = 'geo' UNION ALL SELECT 'region:99', 'renamed', 'mt.region'", ELEMENTS_SQL)
+@query("SELECT id, CASE WHEN id IN ('region:1', 'region:2') THEN 'renamed' ELSE current_name END AS current_name, kind_id FROM elements UNION ALL SELECT 'region:99', 'renamed', 'mt.region'", ELEMENTS_SQL)
 def g_merge_nodes(spark, d):
-    old = star.elements(spark, d).filter("category = 'geo'").select("id", "current_name", "kind_id")
+    old = star.elements(spark, d).select("id", "current_name", "kind_id")
     new = spark.range(3).select(F.element_at(F.array(F.lit("region:1"), F.lit("region:2"), F.lit("region:99")), (F.col("id") + 1).cast("int")).alias("id"), F.lit("renamed").alias("current_name"), F.lit("mt.region").alias("kind_id"))
     return upsert.merge_nodes(old, new)
 
 
-@query("SELECT src, dst FROM (SELECT source_id AS src, target_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to') UNION ALL SELECT 'supplier:1', 'region:1'", EDGES_SQL)
+@query("SELECT source_id AS src, target_id AS dst FROM edges UNION ALL SELECT 'supplier:1', 'region:1'", EDGES_SQL)
 def g_merge_edges(spark, d):
-    old = star.edges(spark, d).filter("predicate_id = 'core.belongs_to'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    old = _plain(spark, d)
     nation = old.filter("src = 'nation:1'")
     new = spark.range(1).select(F.lit("supplier:1").alias("src"), F.lit("region:1").alias("dst")).unionAll(spark.range(1).select(F.lit("supplier:1"), F.lit("region:77"))).unionAll(nation)
     return upsert.merge_edges(old, new, star.elements(spark, d))
@@ -419,9 +472,9 @@ def g_merge_repeated(spark, d):
     return upsert.merge_nodes(old, e.select("id", "name", "at"), order="at")
 
 
-@query("SELECT src, dst, count(*) AS n FROM (SELECT source_id AS src, target_id AS dst FROM edges WHERE predicate_id = 'core.belongs_to' UNION ALL SELECT source_id, target_id FROM edges WHERE predicate_id = 'core.belongs_to' AND target_id = 'nation:3') GROUP BY ALL", EDGES_SQL)
+@query("SELECT src, dst, count(*) AS n FROM (SELECT source_id AS src, target_id AS dst FROM edges UNION ALL SELECT source_id, target_id FROM edges WHERE target_id = 'nation:3') GROUP BY ALL", EDGES_SQL)
 def g_create_edges(spark, d):
-    old = star.edges(spark, d).filter("predicate_id = 'core.belongs_to'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    old = _plain(spark, d)
     new = old.filter("dst = 'nation:3'").unionAll(spark.range(1).select(F.lit("supplier:1"), F.lit("nation:nowhere")))
     return upsert.create_edges(old, new, star.elements(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -510,6 +563,64 @@ def g_changeset_violations(spark, d):
     return upsert.changeset_violations(c)
 
 
+# documents -------------------------------------------------------------------------------------------------------
+def _bundle_files(spark, d) -> DataFrame:
+    """Every conversation as a diagram bundle: turns are nodes and evidence.  What is wrong follows from conv_id, turn, role and text."""
+    c, k, turn = star.table(spark, d, "conversations"), F.col("conv_id"), F.col("turn")
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    kind = F.when(F.col("role") == "user", "container").when(F.col("role") == "assistant", "component").otherwise(F.col("role"))
+    refs = F.when(turn % 4 == 3, F.array(text("e", turn), text("e", turn + 100))).otherwise(F.array(text("e", turn)))
+    node = F.struct(text("n", turn).alias("id"), kind.alias("type"), F.when(turn % 7 != 6, F.col("text")).alias("name"), (F.length("text") / 400.0).alias("confidence"), refs.alias("evidenceRefs"))
+    edge = F.struct(text("x", turn).alias("id"), text("n", turn).alias("source"), text("n", turn + 1).alias("target"), F.lit("next").alias("predicate"), F.when(turn % 5 == 4, turn).alias("weight"))
+    proof = F.struct(text("e", turn).alias("id"), F.lit("turn").alias("kind"), F.col("text").alias("claim"), F.lit("p").alias("path"), turn.alias("startLine"), (turn - F.when(k % 9 == 8, 1).otherwise(0)).alias("endLine"), *[F.lit("t").alias(x) for x in ("toolName", "toolVersion", "ruleId", "contentHash", "observedAt")])
+    g = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"), F.collect_list(proof).alias("proofs"))  # the turns of one conversation
+    manifest = F.struct(F.when(k % 7 == 2, "1.0").otherwise("1.0.0").alias("schemaVersion"), F.lit("viewer-bundle").alias("format"), text("container:", k).alias("viewSelector"), text("blake3:", F.sha2(k.cast("string"), 256)).alias("baseRevision"), F.lit("now").alias("generatedAt"), F.when(k % 7 == 3, -1).otherwise(F.col("n")).alias("elementCount"), F.col("n").alias("edgeCount"), F.col("n").alias("evidenceCount"))
+    styles = F.struct(F.lit("light").alias("theme"), F.lit("1").alias("version"), F.struct(F.lit("red").alias("context")).alias("elementColors"), F.when(k % 7 != 6, F.struct(F.lit("black").alias("default"))).alias("edgeColors"))
+    files = [
+        g.filter(k % 7 != 1).select(k.alias("bundle"), F.lit("manifest.json").alias("file"), F.to_json(manifest).alias("text")),
+        g.select(k, F.lit("projection.json"), F.to_json(F.struct("nodes", "edges"))),
+        g.filter(k % 7 != 5).select(k, F.lit("evidence.json"), F.when(k % 7 == 4, F.lit('{"evidence":[')).otherwise(F.to_json(F.struct(F.col("proofs").alias("evidence"))))),
+        g.select(k, F.lit("styles.json"), F.to_json(styles)),
+        g.filter(k % 11 != 1).select(k, F.explode(F.array(*[F.lit(f"assets/{i}.png") for i in documents.ICONS])).alias("file"), F.lit(None).cast("string")).filter((k % 11 != 0) | (F.col("file") != "assets/dynamic.png")),
+    ]
+    return reduce(DataFrame.unionAll, files)
+
+
+@query("""SELECT bundle, file, path, problem, count(*) AS n FROM (
+  SELECT conv_id AS bundle, 'manifest.json' AS file, '' AS path, 'not found' AS problem FROM ids WHERE conv_id % 7 = 1
+  UNION ALL SELECT conv_id, 'manifest.json', '.schemaVersion', 'does not match' FROM ids WHERE conv_id % 7 = 2
+  UNION ALL SELECT conv_id, 'manifest.json', '.elementCount', 'below the least' FROM ids WHERE conv_id % 7 = 3
+  UNION ALL SELECT conv_id, 'evidence.json', '', 'no JSON' FROM ids WHERE conv_id % 7 = 4
+  UNION ALL SELECT conv_id, 'evidence.json', '', 'not found' FROM ids WHERE conv_id % 7 = 5
+  UNION ALL SELECT conv_id, 'styles.json', '.edgeColors', 'required' FROM ids WHERE conv_id % 7 = 6
+  UNION ALL SELECT conv_id, 'assets/dynamic.png', '', 'not found' FROM ids WHERE conv_id % 11 = 0
+  UNION ALL SELECT conv_id, 'assets/', '', 'not found' FROM ids WHERE conv_id % 11 = 1
+  UNION ALL SELECT conv_id, 'projection.json', '.nodes[].type', role || ' is not allowed' FROM conversations WHERE role NOT IN ('user', 'assistant')
+  UNION ALL SELECT conv_id, 'projection.json', '.nodes[].name', 'required' FROM conversations WHERE turn % 7 = 6
+  UNION ALL SELECT conv_id, 'projection.json', '.nodes[].confidence', 'above the most' FROM conversations WHERE length(text) > 400
+  UNION ALL SELECT conv_id, 'projection.json', '.edges[].weight', 'not allowed here' FROM conversations WHERE turn % 5 = 4
+  UNION ALL SELECT conv_id, 'evidence.json', '.evidence[].endLine', 'below the least' FROM conversations WHERE turn = 0 AND conv_id % 9 = 8 AND conv_id % 7 NOT IN (4, 5)
+  UNION ALL SELECT conv_id, 'projection.json', '.nodes[].evidenceRefs[]', 'no evidence e' || (turn + 100) FROM conversations WHERE turn % 4 = 3 AND conv_id % 7 NOT IN (4, 5)
+    AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role NOT IN ('user', 'assistant') OR turn % 7 = 6 OR length(text) > 400 OR turn % 5 = 4 OR turn = 0 AND conv_id % 9 = 8)) GROUP BY ALL""", "ids AS (SELECT DISTINCT conv_id FROM conversations)")
+def g_bundle_violations(spark, d):
+    found = documents.violations(_bundle_files(spark, d), documents.load_rules(spark))
+    return found.groupBy("bundle", "file", F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "problem").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id AS doc, '{"conv":' || conv_id || ',"last":null,"turns":[' || string_agg('{"id":"' || role || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') || '","odd":' || (turn % 2 = 1) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"where":[' || turn || ',{"a":"x","b":[]}]}', ',' ORDER BY role || '-' || lpad(CAST(turn AS VARCHAR), 6, '0')) || ']}' AS text FROM conversations GROUP BY conv_id""")
+def g_canonical_json(spark, d):
+    """Conversations as JSON, members in another order and turns as they come."""
+    c = star.table(spark, d, "conversations")
+    inner = F.struct(F.array().cast("array<int>").alias("b"), F.lit("x").alias("a"))
+    turn = F.concat(
+        F.lit('{"where":['), F.col("turn").cast("string"), F.lit(","), F.to_json(inner), F.lit('],"text":'), F.to_json(F.struct("text")).substr(F.lit(9), F.length(F.to_json(F.struct("text"))) - 9),
+        F.lit(',"odd":'), (F.col("turn") % 2 == 1).cast("string"), F.lit(',"id":"'), F.col("role"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit('"}'),
+    )
+    g = c.groupBy("conv_id").agg(F.array_join(F.collect_list(turn), " , ").alias("turns"))
+    texts = g.select(F.col("conv_id").alias("doc"), F.concat(F.lit('{ "turns" : ['), "turns", F.lit('], "last":null, "conv":'), F.col("conv_id").cast("string"), F.lit("}")).alias("text"))
+    return documents.canonical(documents.values(texts))
+
+
 # ingest ----------------------------------------------------------------------------------------------------------
 @query("""SELECT k AS canonical_key, arg_min(name, (-c, nth)) AS name, arg_min(strategy, (-c, nth)) AS strategy, arg_min(c, (-c, nth)) AS confidence, (SELECT string_agg(strategy, ',' ORDER BY nth) FROM (SELECT strategy, min(nth) AS nth FROM cand i WHERE i.k = o.k GROUP BY strategy)) AS merged_from, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM cand o GROUP BY k""",
        "cand AS (SELECT event_id AS nth, 'user/' || user_id AS k, event_type || event_id AS name, event_type AS strategy, (event_id % 4) / 4.0::DOUBLE AS c, 'f' || (event_id % 5) AS file FROM events)")
@@ -649,6 +760,19 @@ def g_approval_queue(spark, d):
     return policy.approval_queue(star.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("proposal_id"), F.expr(_ACTION).alias("action")))
 
 
+@query(ORACLE_SQL["g_approval_queue"])
+def g_approval_stream(spark, d):
+    """The queue as a stream over all events in an order of their own, in two runs from one checkpoint."""
+    folder = f"{shared_folder(spark)}/evigraph-approvals-{uuid.uuid4().hex}"
+    e = star.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("proposal_id"), F.expr(_ACTION).alias("action"), F.col("ts").cast("timestamp").alias("at"))
+    for k in range(3):
+        e.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/log")
+        if k:
+            log = spark.readStream.schema(approvals.EVENTS).parquet(f"{folder}/log")
+            approvals.run(log, f"{folder}/table", f"{folder}/checkpoint", delay="36500 days").awaitTermination()
+    return approvals.waiting(spark, f"{folder}/table")
+
+
 @query("SELECT user_id AS key, min(c) AS min_confidence, CASE WHEN min(c) < 0.5 THEN 'Human' WHEN min(c) < 0.8 THEN 'PowerfulLLM' WHEN min(c) < 0.95 THEN 'LocalLLM' ELSE 'Heuristic' END AS model FROM (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN (user_id % 10) / 10.0::DOUBLE + (event_id % 2) / 20.0::DOUBLE END AS c FROM events) GROUP BY user_id")
 def g_escalation(spark, d):
     c = F.when(F.col("user_id") % 5 != 0, F.col("user_id") % 10 / 10.0 + F.col("event_id") % 2 / 20.0)
@@ -708,9 +832,9 @@ def g_export_nodes(spark, d):
     return project.export_bundle(e, star.edges(spark, d), v, select.supporting_evidence(v, _supported(spark, d), star.evidence(spark, d)))[0]
 
 
-@query("SELECT relation_id AS id, source_id AS source, target_id AS target, split_part(predicate_id, '.', -1) AS type FROM edges WHERE active AND predicate_id = 'core.belongs_to'", EDGES_SQL)
+@query("SELECT relation_id AS id, source_id AS source, target_id AS target, split_part(predicate_id, '.', -1) AS type FROM edges WHERE active", EDGES_SQL)
 def g_export_edges(spark, d):
-    return project.export_bundle(star.elements(spark, d), star.edges(spark, d).filter("active and predicate_id = 'core.belongs_to'"))[1]
+    return project.export_bundle(star.elements(spark, d), star.edges(spark, d).filter("active"))[1]
 
 
 # functions -------------------------------------------------------------------------------------------------------
@@ -737,6 +861,10 @@ def _cypher_graph(spark, d) -> cypher.Graph:
     return cypher.Graph({"Element": star.elements(spark, d)}, {"SEMANTIC_EDGE": e})
 
 
+def _stored_graph(spark, d) -> cypher.Graph:
+    return cypher.Graph({"Element": stored.nodes(spark, d)}, {"SEMANTIC_EDGE": stored.edges(spark, d)})
+
+
 @query("SELECT a.current_name AS customer, count(r.relation_id) AS orders FROM elements a JOIN edges r ON a.id = r.source_id JOIN elements b ON r.target_id = b.id WHERE a.category = 'party' AND r.predicate_id = 'core.owns' AND r.active AND starts_with(b.canonical_key, 'r1/') GROUP BY 1", ELEMENTS_SQL, EDGES_SQL)
 def g_cypher_grouping(spark, d):
     return cypher.query(_cypher_graph(spark, d), "MATCH (a:Element {category: 'party'})-[r:SEMANTIC_EDGE]->(b:Element) WHERE r.predicate_id = $p AND r.active = true AND b.canonical_key STARTS WITH 'r1/' RETURN a.current_name AS customer, count(r.relation_id) AS orders", p="core.owns")
@@ -749,7 +877,7 @@ def g_cypher_optional(spark, d):
 
 @query("SELECT DISTINCT w.id, 'Element' AS label FROM w WHERE id <> 'region:1'", EDGES_SQL, "plain AS (SELECT source_id AS src, target_id AS dst FROM edges), both_ways AS (SELECT src, dst FROM plain UNION SELECT dst, src FROM plain)", _walk_sql("region:1", "both_ways", 2), recursive=True)
 def g_cypher_walk(spark, d):
-    return cypher.query(_cypher_graph(spark, d), "MATCH (a:Element {id: 'region:1'})-[*1..2]-(b:Element) RETURN DISTINCT b.id AS id, labels(b) AS label")
+    return cypher.query(_stored_graph(spark, d), "MATCH (a:Element {id: 'region:1'})-[*1..2]-(b:Element) RETURN DISTINCT b.id AS id, labels(b) AS label")
 
 
 @query("SELECT id, current_name FROM elements WHERE kind_id = 'mt.part' AND contains(current_name, 'e') AND current_confidence IS NOT NULL ORDER BY current_confidence DESC, id LIMIT 20", ELEMENTS_SQL)
@@ -764,7 +892,7 @@ def g_cypher_unwind(spark, d):
 
 @query("SELECT path FROM (SELECT path FROM up WHERE id = 'region:1' ORDER BY n, path LIMIT 1)", EDGES_SQL, "plain AS (SELECT source_id AS src, target_id AS dst FROM edges WHERE active)", _paths_sql("up", "plain", "customer:7", 5), recursive=True)
 def g_cypher_shortest(spark, d):
-    return cypher.query(_cypher_graph(spark, d), "MATCH (s:Element {id: 'customer:7'})-[path:SEMANTIC_EDGE* SHORTEST 1..12]->(t:Element {id: $t}) WHERE ALL(edge IN path WHERE edge.active = true) RETURN path", t="region:1").select(F.array_join("path", ">").alias("path"))
+    return cypher.query(_stored_graph(spark, d), "MATCH (s:Element {id: 'customer:7'})-[path:SEMANTIC_EDGE* SHORTEST 1..12]->(t:Element {id: $t}) WHERE ALL(edge IN path WHERE edge.active = true) RETURN path", t="region:1").select(F.array_join("path", ">").alias("path"))
 
 
 @query("SELECT a.id AS region, b.current_name AS name, c.id AS customer FROM elements a JOIN elements b ON b.id = 'nation:3' AND a.id = 'region:1' JOIN edges r ON r.target_id = b.id JOIN elements c ON c.id = r.source_id AND c.kind_id = 'mt.customer' WHERE c.current_status IS NOT NULL", ELEMENTS_SQL, EDGES_SQL)

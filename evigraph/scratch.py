@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -31,10 +33,32 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a table that settle() wrote, once no later plan reads it."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/evigraph-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def counted(df: DataFrame, tag: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``df`` as a table in the shared folder, and its rows (or another count), counted as they are written."""
+    seen = Observation()
+    table = settle(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("rows")), tag)
+    return table, seen.get["rows"]
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that settle() wrote, once no later plan reads them."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/evigraph-" in folder:
+                delete(df.sparkSession, folder)
+
+
+def joined(parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """The union of settled tables as one, after which they are deleted."""
+    parts = list(parts)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    out = settle(whole, tag)
+    release(*parts)
+    return out
