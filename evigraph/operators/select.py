@@ -138,6 +138,14 @@ def stat(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def stat_of_graph(elements: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """stat() of a graph with metatypes and predicates, the kinds that are in use: every table is read once."""
+    of = lambda df, kind, rows, kinds: df.groupBy(kind).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(rows), F.count(kind).alias(kinds))
+    e, r = of(elements, "kind_id", "elements", "metatypes"), of(edges, "predicate_id", "edges", "predicates")
+    one = e.crossJoin(r).crossJoin(evidence.agg(F.count("*").alias("evidence")))  # single rows
+    return one.select("elements", "edges", "evidence", "metatypes", "predicates")
+
+
 def kind_histogram(elements: DataFrame) -> DataFrame:
     return elements.groupBy("category", "kind_id").agg(F.count("*").alias("n"))
 

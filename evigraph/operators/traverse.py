@@ -20,6 +20,8 @@ from .chains import contract
 from .ranking import ranked, ranked_within
 
 Edges = DataFrame | Adjacency
+#: Rows that one window may number; more are ranked over ranges.
+FEW = 100_000
 WAYS = {"out": (("src", "dst"),), "in": (("dst", "src"),), "both": (("src", "dst"), ("dst", "src"))}
 
 
@@ -35,10 +37,10 @@ def whole(edges: Edges) -> DataFrame:
 
 
 def touching(edges: Edges, frontier: DataFrame, rows: int, direction: str) -> DataFrame:
-    """(src, dst), each once, of the edges that leave the frontier (id), which has at most so many rows: out as they are, in
-    reversed, both either way."""
+    """(src, dst) of the edges that leave the frontier (id), which has at most so many rows: out as they are, in reversed,
+    both either way.  Repeats stay; every step goes on with an aggregate."""
     found = [edges_at(edges, a, frontier, rows).select(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in WAYS[direction]]
-    return reduce(DataFrame.unionAll, found).distinct()
+    return reduce(DataFrame.unionAll, found)
 
 
 def levels(edges: Edges, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
@@ -172,7 +174,7 @@ def sequence(edges: Edges, start: str, depth: int = 5, cap: int = 500) -> DataFr
     """
     extra = [c for c in ("message_kind", "file", "line") if c in edges.columns]
     seen = frontier = edges.sparkSession.range(1).select(F.lit(start).alias("id"), F.lit("").alias("place"))
-    rows, known, out, fronts = 1, 1, [], []
+    rows, known, total, out, fronts = 1, 1, 0, [], []
     for k in range(1, depth + 1):
         e = edges_at(edges, "src", frontier, rows).join(sized(frontier.select(F.col("id").alias("src"), "place"), rows), "src")
         first = F.min(F.struct(*[F.col(c) for c in ("file", "line", "message_kind") if c in extra])) if extra else F.lit(None)
@@ -181,6 +183,7 @@ def sequence(edges: Edges, start: str, depth: int = 5, cap: int = 500) -> DataFr
         values = [(F.coalesce(F.col(f"first.{c}"), F.lit("sync_call")) if c == "message_kind" else F.col(f"first.{c}")).alias(c) for c in extra]
         step, found = counted(step.join(met, "receiver", "left").select("place", "sender", "receiver", F.lit(k).alias("depth"), F.col("met").isNotNull().alias("met"), *values), "sequence")
         out.append(step)
+        total += found
         if not found:
             break
         # the place of a receiver: that of its first sender, then its key
@@ -201,7 +204,11 @@ def sequence(edges: Edges, start: str, depth: int = 5, cap: int = 500) -> DataFr
     else:
         steps = steps.withColumn("fresh", F.lit(None).cast("boolean"))
     steps = steps.select("place", "sender", "receiver", "depth", F.col("fresh").isNull().alias("revisited"), *extra)
-    listed = ranked(steps, ["depth", "place", "receiver"], "nth").filter(F.col("nth") < cap)
+    order = ["depth", "place", "receiver"]
+    if total <= FEW:
+        listed = settle(steps.withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("nth") < cap), "interactions")
+    else:
+        listed = ranked(steps, order, "nth").filter(F.col("nth") < cap)
     release(*out, *fronts)
     return listed.select((F.col("nth") + 1).cast("int").alias("order_key"), "sender", "receiver", "depth", "revisited", *extra)
 

@@ -83,8 +83,7 @@ def g_evidence_exportable(spark, d):
 
 @query("SELECT (SELECT count(*) FROM elements) AS elements, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM evidence) AS evidence, (SELECT count(DISTINCT kind_id) FROM elements) AS metatypes, (SELECT count(DISTINCT predicate_id) FROM edges) AS predicates", ELEMENTS_SQL, EDGES_SQL, EVIDENCE_SQL)
 def g_stat(spark, d):
-    e, r = star.elements(spark, d), star.edges(spark, d)
-    return select.stat(elements=e, edges=r, evidence=star.evidence(spark, d), metatypes=e.select("kind_id").distinct(), predicates=r.select("predicate_id").distinct())
+    return select.stat_of_graph(star.elements(spark, d), star.edges(spark, d), star.evidence(spark, d))
 
 
 @query("SELECT category, kind_id, count(*) AS n FROM elements GROUP BY category, kind_id", ELEMENTS_SQL)
