@@ -8,10 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Schemas of tables by place, as long as these have the same time of change and size.
+_SCHEMAS: dict[str, tuple[tuple[int, int], StructType]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; its schema is read from the files once, not by a job for every query."""
+    place = f"{folder}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    now = status.getModificationTime(), status.getLen()
+    if _SCHEMAS.get(place, (None,))[0] != now:
+        _SCHEMAS[place] = now, spark.read.parquet(place).schema
+    return spark.read.schema(_SCHEMAS[place][1]).parquet(place)
 
 
 def _text(*parts: str | Column) -> Column:
