@@ -8,10 +8,14 @@ further round doubles the lists.  All these edges give candidate components, who
 exactly and in double precision.  So what is reported is right for every pair inside a candidate component, and only a
 pair in no path of edges can be missed.
 
-A round descends until less than a tenth of the lists' entries is new; the codes' bits grow with the rows.  An audit compares ``AUDITED`` nodes
-with all rows exactly, and more of them until ``SEEN`` links are known.  While fewer than ``RECALL`` of these are found,
-another round with new projections follows, up to ``AUDITS`` times; after that, or if ``MOST`` audited nodes show too few
-links to tell, all pairs of each label are compared in blocks.
+A round descends until less than a tenth of the lists' entries is new, and compares new entries with all, never old ones
+with old ones again; centres without a new entry rest.  The codes' bits grow with the rows.
+
+An audit compares nodes with all rows exactly and counts nodes, not links: a node with links is whole if all of them
+were found.  It draws from two parts: nodes that are in a candidate component, and all others, of which any with a link was
+missed; each part's findings stand for its size.  While fewer than ``RECALL`` of the nodes with links are whole,
+another round with new projections follows, up to ``AUDITS`` times; after that all pairs are compared, in blocks, of those
+labels in which the audit found a node that is not whole.  The share is reported.
 
 Defined results: labels of any type are compared as they are; null labels, null, empty, zero and non-finite vectors link with nothing; vectors of different length
 neither; repeated rows are vectors of their own (their ids make one component); an empty table gives an empty result;
@@ -20,6 +24,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,6 +38,7 @@ from .common import discard, materialize, sorted_groups
 from .components import components
 from .topk import usable
 
+log = logging.getLogger(__name__)
 THRESHOLD = 0.98
 NEAREST = 12
 #: Descents go on while more than this share of the list entries is new.
@@ -41,8 +47,9 @@ TABLES, BITS, STRETCH = 8, 12, 4
 #: What 8-bit numbers may take from a cosine, with room.
 BLUR = 0.008
 BLOCK = 1024
-AUDITED, MOST, SEEN, RECALL, AUDITS = 512, 8192, 200, 0.99, 2
-#: A centre passes on so many partners of a node at most; rounds repeat, and the final comparison is complete.
+#: Nodes that are compared at a time, and of each part at most; nodes with links to be seen in a part; rounds.
+AUDITED, MOST, SEEN, RECALL, AUDITS = 512, 4096, 200, 0.99, 2
+#: Partners of a node that a centre passes on, besides a spanning forest of all pairs near the threshold.
 OFFERS = 4
 
 
@@ -138,37 +145,49 @@ def nearest(edges: DataFrame, k: int = NEAREST) -> DataFrame:
 
 
 def descend(lists: DataFrame, small: DataFrame, k: int, near: float) -> DataFrame:
-    """One round: members of every centre's neighbourhood are compared with each other.  Edges that enter a list of k,
-    and all from ``near`` up."""
+    """One round: members of every centre's neighbourhood are compared with each other, if one of the two is new there.
+    Edges that enter a list of k, and of all from ``near`` up at least a spanning forest."""
+    from .simhash import forest
+
     popular = lists.groupBy("b").agg(F.count("*").alias("n")).select(F.col("b").alias("k"), "n")
-    back = lists.join(popular, F.col("b") == F.col("k")).filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) * F.col("n") < k << 20).select(F.col("b").alias("c"), F.col("a").alias("x"))
-    around = lists.select(F.col("a").alias("c"), F.col("b").alias("x")).unionAll(back).unionAll(lists.select(F.col("a").alias("c"), F.col("a").alias("x")).distinct()).distinct()
+    back = lists.join(popular, F.col("b") == F.col("k")).filter(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 20)) * F.col("n") < k << 20).select(F.col("b").alias("c"), F.col("a").alias("x"), "fresh")
+    own = lists.select(F.col("a").alias("c"), F.col("a").alias("x")).distinct().withColumn("fresh", F.lit(0))
+    around = lists.select(F.col("a").alias("c"), F.col("b").alias("x"), "fresh").unionAll(back).unionAll(own).groupBy("c", "x").agg(F.max("fresh").alias("fresh"))
+    around = materialize(around, "nn-around")
+    awake = around.filter("fresh = 1").select(F.col("c").alias("k")).distinct()
+    around = around.join(awake, F.col("c") == F.col("k"), "left_semi")
     worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     known = small.join(worst, small.node == worst.a, "left").select("node", "small", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["c"], 1 << 14):
-            c, x, worst = (t.column(n).to_numpy() for n in ("c", "x", "worst"))
+            c, x, worst, fresh = (t.column(n).to_numpy() for n in ("c", "x", "worst", "fresh"))
             v = t.column("small").to_pylist()
             cuts = np.flatnonzero(np.diff(c)) + 1
             out_a, out_b, out_s = [], [], []
             for lo, hi in zip([0, *cuts], [*cuts, len(c)], strict=True):
                 if hi - lo < 2 or len({len(y) for y in v[lo:hi]}) > 1:
                     continue
-                m = _large(v[lo:hi])
+                m, new = _large(v[lo:hi]), fresh[lo:hi] > 0
                 sim = m @ m.T
+                sim[~(new[:, None] | new)] = -3
                 np.fill_diagonal(sim, -3)
                 top = np.argpartition(-sim, min(OFFERS, hi - lo - 1) - 1, axis=1)[:, : min(OFFERS, hi - lo - 1)]
-                row = np.repeat(np.arange(hi - lo), top.shape[1])
-                s = sim[row, top.ravel()]
+                row, col = np.repeat(np.arange(hi - lo), top.shape[1]), top.ravel()
+                close = sim >= near
+                if (close.sum(axis=1) > OFFERS).any():
+                    i, j = (np.array(e, dtype=np.int64) for e in forest(hi - lo, [np.nonzero(np.triu(close))]))
+                    row, col = np.concatenate([row, i, j]), np.concatenate([col, j, i])
+                s = sim[row, col]
                 keep = (s > worst[lo + row]) | (s >= near)
+                keep &= s > -3
                 out_a.append(x[lo + row[keep]])
-                out_b.append(x[lo + top.ravel()[keep]])
+                out_b.append(x[lo + col[keep]])
                 out_s.append(s[keep])
             if out_a:
                 yield _edges(np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s))
 
-    met = around.join(known, F.col("x") == F.col("node")).select("c", "x", "small", "worst")
+    met = around.join(known, F.col("x") == F.col("node")).select("c", "x", "small", "worst", "fresh")
     return met.repartition("c").sortWithinPartitions("c").mapInArrow(run, "c long, x long, sim float").toDF("a", "b", "sim")
 
 
@@ -218,20 +237,32 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
     return m.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "kind int, a long, b long")
 
 
-def audit(nodes: DataFrame, n: int, counts: DataFrame, threshold: float, seed: int) -> float | None:
-    """Share of the links of AUDITED or more of the n nodes, by a hash, that were found; None: too few links to tell."""
-    links = found = at = 0
-    while at < min(n, MOST) and links < SEEN:
-        more = audit_some(nodes, counts, threshold, seed, at)
-        links, found, at = links + more[0], found + more[1], at + AUDITED
-    if links < SEEN and at < n:
-        return None
-    return found / links if links else 1.0
-
-
-def audit_some(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int, skip: int) -> tuple[int, int]:
-    """Links of AUDITED nodes after the first ``skip``, and how many of them were found."""
-    some = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").offset(skip).limit(AUDITED).select("node", "label", "e").collect()
+def audit(nodes: DataFrame, candidates: DataFrame, counts: DataFrame, threshold: float, seed: int) -> tuple[float, list[int]]:
+    """Share of the nodes with links whose links were all found, as estimated, and the labels of those that were not.
+
+    ``candidates`` (node): those in a candidate component.  Of them and of the others, each on its own, nodes are drawn by a
+    hash until ``SEEN`` with links are known, or ``MOST`` were drawn, or all.
+    """
+    inside = nodes.join(candidates.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_semi")
+    outside = nodes.join(candidates.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti")
+    whole = short = 0.0
+    labels: set[int] = set()
+    for part in (inside, outside):
+        part = materialize(part.select("node", "label", "e"), "nn-audit")
+        n, drawn, good, bad = part.count(), 0, 0, 0
+        while drawn < min(n, MOST) and good + bad < SEEN:
+            found, missed, where = audit_some(part, nodes, counts, threshold, seed, drawn)
+            good, bad, drawn = good + found, bad + missed, min(n, drawn + AUDITED)
+            labels |= where
+        whole, short = whole + good * n / max(drawn, 1), short + bad * n / max(drawn, 1)
+        discard(part)
+    return whole / (whole + short) if short else 1.0, sorted(labels)
+
+
+def audit_some(part: DataFrame, nodes: DataFrame, counts: DataFrame, threshold: float, seed: int, skip: int) -> tuple[int, int, set[int]]:
+    """Of AUDITED nodes of ``part`` after the first ``skip``, those with links: how many are whole, how many are not, and
+    the labels of these."""
+    some = part.orderBy(F.xxhash64("node", F.lit(seed)), "node").offset(skip).limit(AUDITED).collect()
     held = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["label"], np.array(r["e"], dtype=np.float64)) for r in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +280,15 @@ def audit_some(nodes: DataFrame, counts: DataFrame, threshold: float, seed: int,
         yield pa.RecordBatch.from_arrays([pa.array([q[0] for q in held.value], pa.int64()), pa.array(total)], names=["node", "n"])
 
     truth = nodes.select("node", "label", "e", "copies").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    got = truth.join(counts.select(F.col("node").alias("k"), "links"), F.col("node") == F.col("k"), "left").agg(F.sum("n"), F.sum("links")).first()
-    return got[0] or 0, got[1] or 0
+    met = truth.filter("n > 0").join(counts.select(F.col("node").alias("k"), "links"), F.col("node") == F.col("k"), "left").select("node", (F.coalesce("links", F.lit(0)) >= F.col("n")).alias("whole")).collect()
+    label = {r["node"]: r["label"] for r in some}
+    bad = [r["node"] for r in met if not r["whole"]]
+    return len(met) - len(bad), len(bad), {label[x] for x in bad}
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row.  ``report`` gets recall (the audit's share after the last round)
+    and compared (the number of labels of which all pairs were compared then)."""
     # whole numbers are their own keys, labels of other kinds get hashed ones; 0.0 and -0.0 are one label
     kind = vectors.schema["label"].dataType
     label = F.col("label").cast("long") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.xxhash64(F.col("label") + F.lit(0.0) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("label"))
@@ -277,6 +311,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         return links, materialize(links.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links")), "nn-counts")
 
     n = nodes.count()
+    share, short = 1.0, []
     bits = min(62, max(BITS, (n // 16).bit_length()))  # some 16 vectors a code
     small = materialize(nodes.select("node", "e").mapInArrow(shrink, "node long, small binary"), "nn-small")
     lists, kept, near = None, [], threshold - BLUR
@@ -301,11 +336,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         found = components(reduce(DataFrame.unionAll, kept), "nn-near")
         members = found.join(nodes, "node").select(F.col("component").alias("comp"), "node", "label", "e", "copies")
         links, counts = compared(members)
-        share = audit(nodes, n, counts, threshold, turn)
-        if share is None or share >= RECALL:
+        share, short = audit(nodes, members, counts, threshold, turn)
+        if share >= RECALL:
+            short = []
             break
-    if share is None or share < RECALL:
-        links, counts = compared(nodes.select(F.col("label").alias("comp"), "node", "label", "e", "copies"))
+    if report is not None:
+        report |= {"recall": share, "compared": len(short)}
+    log.info("nodes with links whose links were all found: %.4f; labels compared whole: %d", share, len(short))
+    if short:
+        # labels are few where nodes are many; their nodes give up what was found of them for the comparison of all pairs
+        of = nodes.select("node", "label").filter(F.col("label").isin(short)).select(F.col("node").alias("k"))
+        other, other_counts = links.join(of, F.col("a") == F.col("k"), "left_anti"), counts.join(of, F.col("node") == F.col("k"), "left_anti")
+        links, counts = compared(nodes.filter(F.col("label").isin(short)).select(F.col("label").alias("comp"), "node", "label", "e", "copies"))
+        links, counts = links.unionByName(other), counts.unionByName(other_counts)
     joined = components(links.filter("kind = 1").select("a", "b"), "nn-joined").withColumnRenamed("node", "k")
     of_node = nodes.join(joined, F.col("node") == F.col("k"), "left").withColumn("component", F.coalesce("component", "node")).drop("k")
     heads = of_node.groupBy("component").agg(F.min("least").alias("head")).withColumnRenamed("component", "c")

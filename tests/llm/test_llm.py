@@ -329,6 +329,49 @@ def test_neardup_compares_all_where_the_search_misses(spark, monkeypatch):
     assert got == {i: (1, i % 30) for i in range(60)}
 
 
+def test_neardup_audit_counts_nodes(spark, monkeypatch):
+    """A clump of 300 whose links are all found, and 300 pairs, which are lost: most nodes with links are not whole."""
+    monkeypatch.setattr(neardup, "SEEN", 100)
+    rng = np.random.default_rng(8)
+    clump = rng.normal(size=32) + rng.normal(size=(300, 32)) * 0.01
+    base = rng.normal(size=(300, 32))
+    v = np.concatenate([clump, base, base + rng.normal(size=(300, 32)) * 0.01, rng.normal(size=(900, 32))])
+    rows = [(i, i % 300 % 3 + 1 if i >= 300 else 0, [float(x) for x in r], 1) for i, r in enumerate(v)]
+    nodes = spark.createDataFrame(rows, "node long, label long, e array<double>, copies long")
+    counts = nodes.filter("node < 300").select("node", F.lit(299).cast("long").alias("links"))
+    inside = nodes.filter("node < 300").select("node")
+    share, short = neardup.audit(nodes, inside, counts, 0.98, 1)
+    assert 0.2 < share < 0.5 and short == [1, 2, 3]
+    every = counts.unionAll(nodes.filter("node between 300 and 899").select("node", F.lit(1).cast("long")))
+    assert neardup.audit(nodes, inside, every, 0.98, 1) == (1.0, [])
+
+
+def test_neardup_compares_short_labels_only(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 16))
+    v[30:] = v[:30] + rng.normal(size=(30, 16)) * 0.01
+    real, seen = neardup.strong, []
+    # edges of one label are lost
+    monkeypatch.setattr(neardup, "first_graph", lambda nodes, *a, f=neardup.first_graph: f(nodes.filter("label = 0"), *a))
+    monkeypatch.setattr(neardup, "compare", lambda members, t, f=neardup.compare: seen.append({r[0] for r in members.select("label").distinct().collect()}) or f(members, t))
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 30 // 15) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    report = {}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df, report=report).collect()}
+    assert got == {i: (1, i % 30) for i in range(60)}
+    assert seen[-1] == {1} and report["compared"] == 1 and report["recall"] < 0.9 and real is neardup.strong
+
+
+def test_neardup_rare_pairs_end_by_descent(spark):
+    """One pair in a hundred vectors: the audit can tell, and nothing is compared whole."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(3000, 24))
+    v[:30] = v[30:60] + rng.normal(size=(30, 24)) * 0.02
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    report = {}
+    got = {r["vec_id"]: r["component_id"] for r in neardup.near_duplicates(df, report=report).filter("n_links > 0").collect()}
+    assert got == {i: i % 30 for i in range(60)} and report == {"recall": 1.0, "compared": 0}
+
+
 def test_topk_odd_vectors(spark, folder):
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in queries.op5_topk(spark, f"{folder}/rows").collect()}
     assert {v for q, v in got if q == 0} == {1, 3, 6, 100} and got[0, 100] == 1024 * 512
