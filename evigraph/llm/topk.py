@@ -11,8 +11,8 @@ Queries go out in rounds of about ``QUERIES`` (a bounded broadcast), each over t
 
 Defined results: null vectors and vectors with null or non-finite components take no part; vectors are compared only
 with vectors of equal length; a query's own row and rows that repeat its id are no candidates; repeated candidates
-count each; ties go to the smaller id; fewer than k candidates give fewer rows; scores are 64-bit integers (components
-beyond 2**28 would wrap); an empty table gives an empty result; other columns are not read.
+count each; ties go to the smaller id; fewer than k candidates give fewer rows; scores are 64-bit integers, and a
+vector with a component so large that a score could wrap is an error; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,7 +98,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """``vectors`` (vec_id, embedding) -> query_id, rank, vec_id, score for the rows where ``is_query`` holds."""
     spark = vectors.sparkSession
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), is_query.alias("q")).filter(usable(F.col("e")) & F.col("vec_id").isNotNull())
-    v = materialize(v.select("vec_id", F.transform("e", lambda x: F.floor(x * SCALE)).alias("e"), F.coalesce("q", F.lit(False)).alias("q")), "topk-vectors")
+    most = F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size("e"), F.lit(1)))  # products of two such vectors stay below 2**62
+    large = F.exists("e", lambda x: F.abs(x * SCALE) > most)
+    whole = F.when(large, F.raise_error(F.lit("a component is too large for scores of 64 bits"))).otherwise(F.transform("e", lambda x: F.floor(x * SCALE)))
+    v = materialize(v.select("vec_id", whole.alias("e"), F.coalesce("q", F.lit(False)).alias("q")), "topk-vectors")
     total, asked = v.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
     rounds = max(1, -(-asked // QUERIES))
 

@@ -378,6 +378,13 @@ def test_topk_odd_vectors(spark, folder):
     assert sum(1 for r in queries.op5_topk(spark, f"{folder}/rows").collect() if (r["query_id"], r["vec_id"]) == (0, 1)) == 2
 
 
+def test_topk_refuses_what_would_wrap(spark):
+    made = lambda x: topk.search(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    assert [r["score"] for r in made(1e6).collect()] == [1024 * 1024 * (10**12 + 2)]
+    with pytest.raises(Exception, match="too large"):
+        made(1e17).collect()
+
+
 def test_topk_stops_only_on_proof():
     rng = np.random.default_rng(4)
     v = np.floor(rng.normal(size=(2000, 12)) * 300).astype(np.int64)
@@ -668,7 +675,7 @@ def test_pipeline_keeps_odd_columns_and_long_texts(spark, tmp_path):
     text = lambda k: " ".join(rng.choices("the of and to in that is was for with alpha beta gamma delta".split(), k=k))
     rows = [(i, text(30), "en", "s") for i in range(20)] + [(None, text(20), "en", "s"), (None, None, "en", None), (3, text(25), "en", "s"), (30, text(600_000), "en", "t")]
     docs = documents(spark, rows).drop("size", "score", "label")
-    for k, name in enumerate(["meta.url", "SCORE", "__spans", "__size", "__bucket", "__key", "__head", "__nth", "box", "nth", "head", "Rejected", "a`b"]):
+    for k, name in enumerate(["meta.url", "SCORE", "__spans", "__size", "__bucket", "__key", "__head", "__nth", "__least", "first_id", "box", "nth", "head", "Rejected", "a`b"]):
         docs = docs.withColumn(name, F.lit(k))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -677,7 +684,7 @@ def test_pipeline_keeps_odd_columns_and_long_texts(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == columns
         got = docs.collect()
-        assert all([*r][5:] == list(range(13)) for r in got)
+        assert all([*r][5:] == list(range(15)) for r in got)
         assert {30, None} <= {r["doc_id"] for r in got}
     assert max(len(r["text"] or "") for r in got) > 2_000_000
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
