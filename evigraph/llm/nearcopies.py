@@ -162,13 +162,13 @@ def verified(members: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) for every row with a doc_id."""
-    docs = docs.filter("doc_id is not null")
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
     rows = materialize(signatures(docs), "near-rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "near-nodes")
     found = materialize(components(candidates(nodes), "near-candidates"), "near-found")
     named = found.join(nodes.select(F.col("node").alias("k"), "least"), F.col("node") == F.col("k"))
-    texts = docs.join(named.select(F.col("least").alias("__least")).distinct(), F.col("doc_id") == F.col("__least"), "left_semi")
+    texts = docs.join(named.select(F.col("least").alias("first_id")).distinct(), F.col("doc_id") == F.col("first_id"), "left_semi")
     whole = sets(texts).dropDuplicates(["node"]).withColumnRenamed("node", "k")
     members = materialize(found.join(whole, F.col("node") == F.col("k")).select(F.col("component").alias("comp"), "node", "shingles", "n"), "near-members")
     joined = components(verified(members), "near-links").withColumnRenamed("node", "k")
