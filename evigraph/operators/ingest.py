@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import field_type
+from ..functions.scalars import field_type, last_segment
 from ..schema import content_id
+from ..scratch import settle
 from .select import only_new
 
 
@@ -36,10 +37,38 @@ def attribute_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
     return f.unionByName(c).withColumn("caller", caller).filter("is_call = 1").select("language", "file", "line", "callee", "caller")
 
 
+#: A name with more than this share of the calls is heavy; there are at most its inverse of them, so they are broadcast.
+HEAVY_SHARE = 0.005
+
+
+def callee_names(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(callee, calls, functions, edges): for every name that is called and known, how many calls and functions have it and
+    how many edges these make.  The edges of a name are its calls and its functions side by side; they are counted, and may be
+    kept, without being written out."""
+    c = calls.groupBy("callee").agg(F.count("*").alias("calls"))
+    f = functions.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("functions"))
+    return c.join(f, "callee").select("callee", "calls", "functions", (F.col("calls") * F.col("functions")).alias("edges"))
+
+
+def by_name(calls: DataFrame, known: DataFrame) -> DataFrame:
+    """``calls`` (callee, more) with everything of that name in ``known`` (name, callee_key).
+
+    Calls of a heavy name are dealt over as many salts as it has shares, and what has the name goes to each of these.
+    """
+    counts = settle(calls.filter("callee is not null").groupBy("callee").agg(F.count("*").alias("n")), "callees")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(1, int(HEAVY_SHARE * total))
+    heavy = F.broadcast(counts.filter(F.col("n") > share).select(F.col("callee").alias("heavy"), F.ceil(F.col("n") / share).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64(*calls.columns), F.coalesce("salts", F.lit(1))).cast("int")
+    c = calls.join(heavy, F.col("callee") == F.col("heavy"), "left").select(*calls.columns, salt.alias("salt"))
+    k = known.select(F.col("name").alias("of_name"), "callee_key").join(heavy, F.col("of_name") == F.col("heavy"), "left")
+    k = k.select("of_name", "callee_key", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("of_salt"))
+    return c.join(k, (F.col("callee") == F.col("of_name")) & (F.col("salt") == F.col("of_salt"))).select(*calls.columns, "callee_key")
+
+
 def resolve_callees(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(caller, callee_key, line): a call leads to every function of its name; calls of unknown names drop out."""
-    named = functions.select(F.col("name").alias("callee"), F.col("canonical_key").alias("callee_key"))
-    return calls.join(named, "callee").select("caller", "callee_key", "line")
+    return by_name(calls.select("caller", "callee", "line"), functions.select("name", F.col("canonical_key").alias("callee_key"))).select("caller", "callee_key", "line")
 
 
 def resolve_types(references: DataFrame, classes: DataFrame) -> DataFrame:
@@ -64,14 +93,23 @@ def edge_rows(pairs: DataFrame, predicate: str) -> DataFrame:
     return pairs.select(ident.alias("relation_id"), F.lit(predicate).alias("predicate_id"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(True).alias("active"))
 
 
-def transitions(edges: DataFrame) -> DataFrame:
-    """(transition, source_state, target_state) from source_state and target_state edges, in either direction."""
-    def ends(predicate: str, name: str) -> DataFrame:
+def transitions(edges: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+    """(transition, source_state, target_state) from source_state and target_state edges, in either direction.
+
+    With elements (id, kind_id) the end of an edge that is a transition by its kind is the transition; where neither is, or
+    both are, source_state edges lead to the transition and target_state edges away from it.
+    """
+    def ends(predicate: str, name: str, leads: bool) -> DataFrame:
         e = edges.filter(F.col("predicate_id") == predicate)
-        as_written = e.select(F.col("source_id").alias("transition"), F.col("target_id").alias(name))
-        turned = e.select(F.col("target_id").alias("transition"), F.col("source_id").alias(name))
-        return as_written.unionAll(turned)
-    return ends("behavior.source_state", "source_state").join(ends("behavior.target_state", "target_state"), "transition").filter("source_state <> transition and target_state <> transition").distinct()
+        a, b = F.col("source_id"), F.col("target_id")
+        if elements is None:
+            return e.select(a.alias("transition"), b.alias(name)).unionAll(e.select(b.alias("transition"), a.alias(name)))
+        is_one = elements.select("id", F.coalesce(last_segment(F.col("kind_id")) == "transition", F.lit(False)).alias("is"))
+        for c in ("source", "target"):
+            e = e.join(is_one.select(F.col("id").alias(f"{c}_id"), F.col("is").alias(c)), f"{c}_id")
+        away = F.when(F.col("source") & ~F.col("target"), True).when(F.col("target") & ~F.col("source"), False).otherwise(not leads)
+        return e.select(F.when(away, a).otherwise(b).alias("transition"), F.when(away, b).otherwise(a).alias(name))
+    return ends("behavior.source_state", "source_state", True).join(ends("behavior.target_state", "target_state", False), "transition").filter("source_state <> transition and target_state <> transition").distinct()
 
 
 def _new_elements(rows: DataFrame, existing: DataFrame, prefix: str, kind: Column, category: str, origin: str, props: Column) -> tuple[DataFrame, DataFrame]:
@@ -105,8 +143,8 @@ def call_graph(functions: DataFrame, calls: DataFrame, existing: DataFrame) -> d
     known = existing.filter("kind_id in ('code.function', 'code.method', 'code.closure')").select("canonical_key", F.col("current_name").alias("name")).unionByName(elements.select("canonical_key", F.col("current_name").alias("name"))).distinct()
     placed = attribute_calls(functions, calls).join(calls.select("language", "file", "line", "callee", "message_kind").distinct(), ["language", "file", "line", "callee"])
     placed = placed.join(keys, "caller")
-    named = known.select(F.col("name").alias("callee"), F.concat(F.lit("cg:"), "canonical_key").alias("dst"))
-    pairs = placed.join(named, "callee").groupBy(F.concat(F.lit("cg:"), "caller").alias("src"), "dst").agg(F.min(F.struct("line", "message_kind", "file")).alias("first"))
+    named = by_name(placed.select("caller", "callee", "line", "message_kind", "file"), known.select("name", F.concat(F.lit("cg:"), "canonical_key").alias("callee_key")))
+    pairs = named.groupBy(F.concat(F.lit("cg:"), "caller").alias("src"), F.col("callee_key").alias("dst")).agg(F.min(F.struct("line", "message_kind", "file")).alias("first"))
     edges = edge_rows(pairs, "code.calls").join(pairs.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), "first"), ["source_id", "target_id"])
     edges = edges.select("relation_id", "predicate_id", "source_id", "target_id", "active", F.to_json(F.struct("first.file", "first.line", "first.message_kind")).alias("props"))
     found = _support(functions.join(elements.select("canonical_key"), "canonical_key", "left_semi"), "function").unionByName(_support(placed.select(F.col("callee").alias("name"), "file", "line", F.lit(0.8).alias("confidence")), "call")).dropDuplicates(["id"])

@@ -60,7 +60,7 @@ def plantuml(elements: DataFrame, edges: DataFrame, view: str) -> DataFrame:
         text = F.when(kind.isin("state", "state_machine"), _c("state ", name, " {\n}")).when(kind == "pseudostate", F.when(first, _c("[*] --> ", name)).otherwise(_c(name, " --> [*]")))
         body = _rows(elements, 1, key, text)
         names = elements.select(F.col("id").alias("n_id"), name.alias("n"))
-        t = transitions(edges)
+        t = transitions(edges, elements)
         for c in ("transition", "source_state", "target_state"):
             t = t.join(names, F.col(c) == F.col("n_id")).withColumn(f"{c}_name", F.col("n")).drop("n", "n_id")
         t = t.groupBy("transition", "transition_name").agg(F.min(F.struct("source_state_name", "target_state_name")).alias("s"))

@@ -649,6 +649,12 @@ def g_resolve_callees(spark, d):
     return ingest.resolve_callees(calls, functions)
 
 
+@query("SELECT callee, calls, functions, calls * functions AS edges FROM (SELECT event_id % 90 AS callee, count(*) AS calls FROM events WHERE event_type = 'click' GROUP BY ALL) JOIN (SELECT event_id % 90 AS callee, count(*) AS functions FROM events WHERE event_type = 'signup' GROUP BY ALL) USING (callee)")
+def g_callee_names(spark, d):
+    e = star.table(spark, d, "events").withColumn("name", F.col("event_id") % 90)
+    return ingest.callee_names(e.filter("event_type = 'click'").withColumnRenamed("name", "callee"), e.filter("event_type = 'signup'"))
+
+
 @query("""SELECT 'part:' || a.p_partkey AS source, t.key AS target, CAST(1 AS BIGINT) AS line FROM part a JOIN (SELECT p_brand, p_size, 'part:' || max(p_partkey) AS key FROM part GROUP BY ALL) t ON a.p_brand = t.p_brand AND t.p_size = a.p_size + 1""")
 def g_composes(spark, d):
     p = star.table(spark, d, "part")
@@ -824,6 +830,103 @@ def g_structurizr(spark, d):
     return project.as_text(project.structurizr(*_view(spark, d), "c4-container"))
 
 
+# views of other kinds: brands as boxes, calls between them as lines
+BOXES_SQL = "boxes AS (SELECT 'b:' || b AS id, replace(b, '#', '') AS name, CAST(split_part(b, '#', 2) AS INTEGER) AS n, 'p/' || b AS key FROM brands), lines AS (SELECT src || '>' || dst AS rel, s.id AS source, d.id AS target, s.name AS src, d.name AS dst, s.n AS sn, d.n AS dn, weight FROM rolled JOIN boxes s ON s.id = 'b:' || src JOIN boxes d ON d.id = 'b:' || dst)"
+NL = "chr(10)"
+
+
+def _boxes(spark, d, kinds: tuple[str, ...], predicates: tuple[str, ...], props=None) -> tuple[DataFrame, DataFrame]:
+    """The container view with other kinds, by the brand's number, and other predicates, by the weight."""
+    e, _ = _view(spark, d)
+    number = F.split("current_name", "#")[1].cast("int")
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), number % len(kinds))
+    e = e.withColumns({"kind_id": kind, "current_name": F.replace("current_name", F.lit("#"), F.lit(""))})
+    r = g_roll_up(spark, d)
+    p = F.get(F.array(*[F.lit(x) for x in predicates]), (F.col("weight") % len(predicates)).cast("int"))
+    r = r.select(F.concat("src", F.lit(">"), "dst").alias("relation_id"), p.alias("predicate_id"), F.concat(F.lit("b:"), "src").alias("source_id"), F.concat(F.lit("b:"), "dst").alias("target_id"), (F.lit("{}") if props is None else props).alias("props"))
+    return e, r
+
+
+def _picture(head: str, *parts: tuple[str, str, str], foot: str = "''") -> str:
+    """SQL of a diagram: its first lines, a line a row of each part (text, order, rows), its last lines."""
+    blocks = "".join(f" || coalesce((SELECT string_agg(t, '' ORDER BY o) FROM (SELECT {text} || {NL} AS t, {order} AS o FROM {rows}) WHERE t IS NOT NULL), '')" for text, order, rows in parts)
+    return f"SELECT {head} || {NL}{blocks} || {foot} AS text"
+
+
+_UML = ("uml.class", "uml.interface", "uml.trait", "uml.enum", "uml.record")
+_DRAWN = ("uml.extends", "uml.implements", "uml.composition", "uml.depends_on", "core.other")
+_START, _END = f"'@startuml' || {NL} || '!theme default'", f"{NL} || '@enduml' || {NL}"
+
+
+@query(_picture(_START, (f"'class ' || name || CASE n % 5 WHEN 1 THEN ' <<interface>>' WHEN 2 THEN ' <<trait>>' WHEN 3 THEN ' <<enum>>' WHEN 4 THEN ' <<record>>' ELSE '' END || ' {{' || {NL} || '  --' || {NL} || '}}'", "key", "boxes"),
+                ("src || ' ' || CASE weight % 5 WHEN 0 THEN '--|>' WHEN 1 THEN '..|>' WHEN 2 THEN '--*' WHEN 3 THEN '..>' ELSE '-->' END || ' ' || dst", "rel", "lines"), foot=_END), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_plantuml_class(spark, d):
+    return project.as_text(project.plantuml(*_boxes(spark, d, _UML, _DRAWN), "class"))
+
+
+@query(_picture("'flowchart TD'", ("CASE WHEN n % 5 < 2 THEN '    ' || name || '(\"' || name || '\")' END", "key", "boxes"), ("'    ' || src || ' --> ' || dst", "rel", "lines")), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_mermaid_class(spark, d):
+    return project.as_text(project.mermaid(*_boxes(spark, d, _UML, _DRAWN), "class"))
+
+
+def _states(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Boxes as states; each call is a transition between an edge from its source and one to its target."""
+    e, r = _boxes(spark, d, ("uml.state", "uml.state_machine", "uml.pseudostate"), ("x",))
+    name = F.when(F.col("kind_id") == "uml.pseudostate", F.concat(F.when(F.substring("current_name", -1, 1).isin("2", "5"), "Initial").otherwise("Last"), "current_name")).otherwise(F.col("current_name"))
+    e = e.withColumn("current_name", name)
+    moves = r.select(F.concat(F.lit("t:"), "relation_id").alias("id"), F.lit("uml.transition").alias("kind_id"), F.lit("uml").alias("category"), F.concat(F.lit("t/"), "relation_id").alias("canonical_key"), F.concat(F.lit("go"), F.col("relation_id")).alias("current_name"), F.lit("active").alias("current_status"), F.lit("").alias("current_version_id"))
+    edge = lambda way, a, b: r.select(F.concat(F.lit(way), "relation_id").alias("relation_id"), F.lit(f"behavior.{way}_state").alias("predicate_id"), a.alias("source_id"), b.alias("target_id"), F.lit("{}").alias("props"))
+    move = F.concat(F.lit("t:"), "relation_id")
+    return e.unionByName(moves), edge("source", F.col("source_id"), move).unionByName(edge("target", move, F.col("target_id")))
+
+
+_STATE_NAME = "CASE WHEN n % 3 = 2 THEN CASE WHEN right(name, 1) IN ('2', '5') THEN 'Initial' ELSE 'Last' END || name ELSE name END"
+_LINE_NAMES = "(SELECT l.*, a.shown AS a, b.shown AS b FROM lines l JOIN shown a ON a.id = l.source JOIN shown b ON b.id = l.target)"
+SHOWN_SQL = f"shown AS (SELECT *, {_STATE_NAME} AS shown FROM boxes)"
+
+
+@query(_picture(_START, (f"CASE WHEN n % 3 < 2 THEN 'state ' || shown || ' {{' || {NL} || '}}' WHEN right(name, 1) IN ('2', '5') THEN '[*] --> ' || shown ELSE shown || ' --> [*]' END", "key", "shown"),
+                ("a || ' --> go' || rel || ' --> ' || b", "'go' || rel", _LINE_NAMES), foot=_END), CALLS_SQL, ROLLED_SQL, BOXES_SQL, SHOWN_SQL)
+def g_plantuml_state(spark, d):
+    return project.as_text(project.plantuml(*_states(spark, d), "state"))
+
+
+@query(_picture("'flowchart TD'", ("CASE WHEN n % 3 = 0 THEN '    ' || id || '([' || shown || ']):::state' END", "key", "shown"), ("'    ' || source || ' --> t:' || rel", "'source' || rel", "lines"), foot=f"'    classDef state fill:#f9f,stroke:#333,stroke-width:2px' || {NL}"), CALLS_SQL, ROLLED_SQL, BOXES_SQL, SHOWN_SQL)
+def g_mermaid_state(spark, d):
+    return project.as_text(project.mermaid(*_states(spark, d), "state"))
+
+
+_CASES = ("usecase.actor", "usecase.use_case", "usecase.other"), ("usecase.participates_in", "core.uses")
+
+
+@query(_picture(_START, ("CASE n % 3 WHEN 0 THEN '[' || name || ']' WHEN 1 THEN 'usecase ' || name END", "key", "boxes"), ("src || ' --> ' || dst", "rel", "(FROM lines WHERE weight % 2 = 0)"), foot=_END), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_plantuml_usecase(spark, d):
+    return project.as_text(project.plantuml(*_boxes(spark, d, *_CASES), "usecase"))
+
+
+@query(_picture("'flowchart TD'", ("CASE n % 3 WHEN 0 THEN '    ' || id || '(' || name || ')' WHEN 1 THEN '    ' || id || '((' || name || '))' END", "key", "boxes"), ("'    ' || source || ' --> ' || target", "rel", "(FROM lines WHERE weight % 2 = 0)")), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_mermaid_usecase(spark, d):
+    return project.as_text(project.mermaid(*_boxes(spark, d, *_CASES), "usecase"))
+
+
+def _messages(spark, d) -> tuple[DataFrame, DataFrame]:
+    label = F.when(F.col("weight") % 3 != 0, F.to_json(F.struct(F.concat(F.lit("call "), F.col("weight").cast("string")).alias("label")))).otherwise("{}")
+    return _boxes(spark, d, ("behavior.participant", "behavior.participant", "core.note"), ("behavior.invokes", "behavior.returns"), label)
+
+
+_LABELLED = "CASE WHEN weight % 3 <> 0 THEN '{} call ' || weight ELSE '' END"
+
+
+@query(_picture(_START, ("CASE WHEN n % 3 < 2 THEN 'participant ' || name END", "key", "boxes"), ("src || ' -> ' || dst || " + _LABELLED.format(" :"), "rel", "(FROM lines WHERE weight % 2 = 0)"), foot=_END), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_plantuml_sequence(spark, d):
+    return project.as_text(project.plantuml(*_messages(spark, d), "sequence"))
+
+
+@query(_picture("'sequenceDiagram'", ("CASE WHEN n % 3 < 2 THEN '    participant ' || name END", "key", "boxes"), ("'    ' || src || '->>+' || dst || " + _LABELLED.format(":"), "rel", "(FROM lines WHERE weight % 2 = 0)")), CALLS_SQL, ROLLED_SQL, BOXES_SQL)
+def g_mermaid_sequence(spark, d):
+    return project.as_text(project.mermaid(*_messages(spark, d), "sequence"))
+
+
 @query("SELECT id, split_part(kind_id, '.', -1) AS type, current_name AS label, current_status AS status, 'about ' || current_name AS description, coalesce((SELECT string_agg(DISTINCT s.dst, ',' ORDER BY s.dst) FROM supported s JOIN evidence v ON s.dst = v.id WHERE s.src = e.current_version_id AND json_extract_string(v.props, '$.status') = 'accepted'), '') AS evidence_ids FROM elements e WHERE category = 'catalog'", ELEMENTS_SQL, EVIDENCE_SQL, SUPPORTED_SQL)
 def g_export_nodes(spark, d):
     e = star.elements(spark, d).filter("category = 'catalog'")

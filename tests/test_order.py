@@ -171,3 +171,22 @@ def test_focus_many_equals_focus_of_each(spark):
     want = {(i, f"e{k}") for i, t in enumerate(texts) if t for k, n in enumerate(names) if (n and n.lower() in t.lower()) or f"k/{k}" in t.lower()}
     assert got == want
     assert {i for g_, i in got if g_ == 0} == {r["id"] for r in analytics.focus_elements(e, texts[0]).collect()}
+
+
+def test_a_heavy_name_goes_to_many_tasks(spark):
+    from evigraph.operators import ingest
+
+    calls = spark.range(30_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("caller"), F.when(F.col("id") % 3 == 0, "init").otherwise(F.concat(F.lit("f"), (F.col("id") % 2000).cast("string"))).alias("callee"), F.col("id").alias("line"))
+    functions = spark.range(2000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.col("id").cast("string").alias("canonical_key")).unionByName(spark.createDataFrame([("init", "k1"), ("init", "k2")], "name string, canonical_key string"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = ingest.resolve_callees(calls, functions)
+        sizes = sorted(r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sum(sizes) == 20_000 + 2 * 10_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert rows.filter("callee_key in ('k1', 'k2')").select("caller").distinct().count() == 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
