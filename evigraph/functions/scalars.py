@@ -133,6 +133,16 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
+def first_line(text: Column, begin: str) -> Column:
+    """1-based number of the first line that begins, after blanks, with a pattern; null if none does."""
+    at = F.regexp_instr(text, F.lit(rf"(?m)^[ \t]*(?:{begin})"))
+    return F.when(at > 0, line_at(text, at - 1))
+
+
+#: Where a package.json gives its name, and a Dockerfile its title.
+NAME_LINE, TITLE_LINE = '"name"', r"(?i)LABEL\s[^\n]*title\s*="
+
+
 def whole_word(text: Column, word: str) -> Column:
     """Whether ``word`` occurs with no letter, digit or underscore beside it."""
     import re

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import identifier_ok
 from ..schema import content_hash, content_id
 from .select import NotFound
 
@@ -156,6 +157,30 @@ def evaluations(evidence: DataFrame, requests: DataFrame, now: Column | None = N
     return made, made.select(F.lit("Evaluation").alias("src_label"), F.col("id").alias("src"), F.lit("Evidence").alias("dst_label"), F.col("target_evidence_id").alias("dst"))
 
 
+def _named_well(rows: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose identifiers are sound, and (id, reason) of the others."""
+    why = F.coalesce(*[F.when(~F.coalesce(identifier_ok(F.col(c)), F.lit(False)), F.lit(f"{c} is no identifier")) for c in names])
+    told = rows.withColumn("reason", why)
+    return told.filter("reason is null").drop("reason"), told.filter("reason is not null").select("id", "reason")
+
+
+def put_sources(old: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """MERGE of source artifacts by id -> (all, refused with reason).  id, relative_path, language and kind are identifiers;
+    no commit is an empty one."""
+    good, bad = _named_well(new, ("id", "relative_path", "language", "kind"))
+    if "commit_hash" in good.columns:
+        good = good.fillna({"commit_hash": ""})
+    return merge_nodes(old, good, order=order), bad
+
+
+def put_evaluations(old: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """MERGE of evaluations by id -> (all, refused with reason).  id, target_evidence_id, criterion and evaluator are
+    identifiers; a time (text) that is missing, longer than 64 characters or none at all is the epoch."""
+    good, bad = _named_well(new, ("id", "target_evidence_id", "criterion", "evaluator"))
+    when = F.when(F.length("evaluated_at") <= 64, F.try_to_timestamp("evaluated_at"))
+    return merge_nodes(old, good.withColumn("evaluated_at", F.coalesce(when, F.lit("1970-01-01T00:00:00Z").cast("timestamp"))), order=order), bad
+
+
 def check_facts(facts: DataFrame, batch_kind: str, known_kinds: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Facts (kind, claim, semantic) -> (good, bad with reason): claims are required, at most 255 bytes; kinds must be
     known; a semantic batch needs semantic facts."""

@@ -562,6 +562,28 @@ def g_changeset_violations(spark, d):
     return upsert.changeset_violations(c)
 
 
+@query("""SELECT page_id AS n, CASE WHEN page_id % 2 = 0 AND fine THEN 'new' ELSE 'old' END AS kind, CASE WHEN page_id % 2 = 0 AND fine THEN url ELSE 'p' END AS path, false AS refused FROM (SELECT *, regexp_full_match(url, '[A-Za-z0-9._:/-]{1,256}') AS fine FROM pages) WHERE page_id % 3 = 0 OR page_id % 2 = 0 AND fine
+UNION ALL SELECT page_id, 'relative_path is no identifier', url, true FROM pages WHERE page_id % 2 = 0 AND NOT regexp_full_match(url, '[A-Za-z0-9._:/-]{1,256}')""")
+def g_put_sources(spark, d):
+    p, name = star.table(spark, d, "pages"), F.concat(F.lit("src:"), F.col("page_id").cast("string")).alias("id")
+    row = lambda kind, path: (name, F.lit(kind).alias("kind"), path.alias("relative_path"), F.lit("html").alias("language"), F.lit(None).cast("string").alias("commit_hash"))
+    new = p.filter("page_id % 2 = 0").select(*row("new", F.col("url")))
+    after, refused = upsert.put_sources(p.filter("page_id % 3 = 0").select(*row("old", F.lit("p"))), new)
+    n = F.substring("id", 5, 20).cast("long").alias("n")
+    bad = refused.join(new.select("id", "relative_path"), "id").select(n, F.col("reason").alias("kind"), F.col("relative_path").alias("path"), F.lit(True).alias("refused"))
+    return after.select(n, "kind", F.col("relative_path").alias("path"), F.lit(False).alias("refused")).unionByName(bad)
+
+
+@query("SELECT 'eval:' || doc_id AS id, 'ev:' || doc_id AS target_evidence_id, toxic = 1 AS passed, CASE doc_id % 3 WHEN 0 THEN '1970-01-01' WHEN 1 THEN '2025-01-02' ELSE '1970-01-01' END AS day FROM labels WHERE doc_id % 5 <> 4 UNION ALL SELECT 'eval:' || doc_id, 'old', false, '2024-01-01' FROM labels WHERE doc_id % 5 = 4")
+def g_put_evaluations(spark, d):
+    l, ident = star.table(spark, d, "labels"), F.concat(F.lit("eval:"), F.col("doc_id").cast("string")).alias("id")
+    old = l.select(ident, F.lit("old").alias("target_evidence_id"), F.lit("toxic").alias("criterion"), F.lit(False).alias("passed"), F.lit("hand").alias("evaluator"), F.lit("2024-01-01").cast("timestamp").alias("evaluated_at"))
+    when = F.when(F.col("doc_id") % 3 == 0, F.lit("x" * 70)).when(F.col("doc_id") % 3 == 1, F.lit("2025-01-02T03:04:05Z"))
+    new = l.select(ident, F.concat(F.lit("ev:"), F.col("doc_id").cast("string")).alias("target_evidence_id"), F.when(F.col("doc_id") % 5 == 4, "no name").otherwise("toxic").alias("criterion"), (F.col("toxic") == 1).alias("passed"), F.lit("hand").alias("evaluator"), when.alias("evaluated_at"))
+    after, _ = upsert.put_evaluations(old, new)
+    return after.select("id", "target_evidence_id", "passed", F.date_format("evaluated_at", "yyyy-MM-dd").alias("day"))
+
+
 # documents -------------------------------------------------------------------------------------------------------
 def _bundle_files(spark, d) -> DataFrame:
     """Every conversation as a diagram bundle: turns are nodes and evidence.  What is wrong follows from conv_id, turn, role and text."""
@@ -663,6 +685,33 @@ def g_composes(spark, d):
     return ingest.composes(c)
 
 
+def _machines(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Conversations as state machines: a turn's role is a state, two turns that follow one another a transition."""
+    c = star.table(spark, d, "conversations")
+    place = (F.lit("chat").alias("language"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file"), F.lit("Talk").alias("machine"))
+    states = c.select(*place, F.col("role").alias("state"), F.col("turn").alias("line"), F.lit(0.5).alias("confidence"))
+    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    moves = c.select(*place, F.col("role").alias("source"), after.alias("target"), F.lit(None).cast("string").alias("trigger"), F.lit(None).cast("string").alias("guard"), F.col("turn").alias("line"), F.lit(0.5).alias("confidence"))
+    return states, moves.filter("target is not null")
+
+
+MOVES_SQL = """moves AS (SELECT * FROM (SELECT 'c' || conv_id AS file, role AS source, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS target, turn AS line FROM conversations) WHERE target IS NOT NULL),
+firsts AS (SELECT 'c' || conv_id AS file, role AS state, min(turn) AS line FROM conversations GROUP BY ALL),
+ends AS (SELECT 'sm:chat:' || m.file || ':transition:' || source || '_' || target || ':' || m.line AS transition, 'sm:chat:' || m.file || ':state:' || source || ':' || a.line AS source_state, 'sm:chat:' || m.file || ':state:' || target || ':' || b.line AS target_state
+  FROM moves m JOIN firsts a ON a.file = m.file AND a.state = source JOIN firsts b ON b.file = m.file AND b.state = target)"""
+
+
+@query("SELECT transition AS source_id, 'behavior.source_state' AS predicate_id, source_state AS target_id FROM ends UNION ALL SELECT transition, 'behavior.target_state', target_state FROM ends", MOVES_SQL)
+def g_state_apply(spark, d):
+    return ingest.state_graph(*_machines(spark, d), _nothing(spark))["SEMANTIC_EDGE"].select("source_id", "predicate_id", "target_id")
+
+
+@query("SELECT * FROM ends", MOVES_SQL)
+def g_transitions(spark, d):
+    g = ingest.state_graph(*_machines(spark, d), _nothing(spark))
+    return ingest.transitions(g["SEMANTIC_EDGE"], g["Element"])
+
+
 def _joined(rows: DataFrame, key: str, order: str, line: str, between: str = "\n") -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), between).alias("text"))
 
@@ -947,6 +996,24 @@ def g_text_functions(spark, d):
     return p.select("page_id", "url", s.normal_remote(url).alias("remote"), s.line_at(html, F.length(html)).cast("long").alias("lines"), s.shortened(html).alias("short"), s.whole_word(html, "div").alias("has_div"), s.dsl_escaped(url).alias("escaped"))
 
 
+_FIRST = "coalesce(CAST(list_position([regexp_matches(l, '^[ \\t]*(?:{})') FOR l IN string_split(coalesce(text, ''), chr(10))], true) AS BIGINT), 0)"
+
+
+@query(f"SELECT doc_id, {_FIRST.format('[DT]')} AS first_line, {_FIRST.format('Th|Der|La')} AS word_line FROM documents")
+def g_line_finders(spark, d):
+    found = [F.coalesce(s.first_line(F.col("text"), begin), F.lit(0)).cast("long").alias(name) for name, begin in (("first_line", "[DT]"), ("word_line", "Th|Der|La"))]
+    return star.table(spark, d, "documents").select("doc_id", *found)
+
+
+@query("SELECT key AS canonical_key, key IN (SELECT canonical_key FROM elements) AS there FROM (SELECT 'r' || (n_nationkey % 7) || '/n' || n_nationkey AS key FROM nation UNION ALL SELECT 'p/' || p_brand || '/' || (p_partkey + p_size) FROM part)", ELEMENTS_SQL)
+def g_existing_keys(spark, d):
+    asked = star.table(spark, d, "nation").select(F.concat(F.lit("r"), (F.col("n_nationkey") % 7).cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string")).alias("canonical_key"))
+    part = star.table(spark, d, "part").select(F.concat_ws("/", F.lit("p"), "p_brand", (F.col("p_partkey") + F.col("p_size")).cast("string")).alias("canonical_key"))
+    asked, elements = asked.unionAll(part), star.elements(spark, d)
+    there = asked.join(select.existing_keys(elements), "canonical_key", "left_semi").withColumn("there", F.lit(True))
+    return there.unionAll(select.only_new(asked, elements).withColumn("there", F.lit(False)))
+
+
 @query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'drafted' WHEN 1 THEN 'superseded' ELSE 'accepted' END AS status, CASE WHEN p_size % 6 IN (0, 3, 4) THEN 1 WHEN p_size % 6 = 1 THEN 2 WHEN p_size % 6 = 2 THEN 3 ELSE 0 END AS level, CASE p_partkey % 5 WHEN 0 THEN 'rust' WHEN 1 THEN 'cpp' WHEN 2 THEN 'dockerfile' WHEN 3 THEN 'yaml' END AS language FROM part""")
 def g_vocabulary_functions(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")

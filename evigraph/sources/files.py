@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import detect_language
+from ..functions.scalars import NAME_LINE, TITLE_LINE, detect_language, first_line
 
 EVENT = "ts long, source string, event_type string, payload string, seq long"
 AUDIT = "ts long, proposal_id string, command string, decision string, matched_rule string, actor string"
@@ -76,7 +76,8 @@ def scope_manifests(spark: SparkSession, documents: list[tuple[str, str]]) -> Da
 
 
 def package_candidates(files: DataFrame) -> DataFrame:
-    """Container candidates (canonical_key, name, strategy, confidence, file) from manifest files (path, text).
+    """Container candidates (canonical_key, name, strategy, confidence, file, line) from manifest files (path, text); the line
+    is that of the name or title, where the file gives one.
 
     One DataFrame a strategy, in order: Cargo packages, npm workspaces' packages (folders that a pattern of the root's
     ``workspaces`` names, in either of its forms), single npm packages, Helm charts, component folders, Dockerfiles.
@@ -84,8 +85,8 @@ def package_candidates(files: DataFrame) -> DataFrame:
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"/?[^/]*$", "")
     last = F.element_at(F.split(folder, "/"), -1)
 
-    def found(which, label, strategy: str, confidence) -> DataFrame:
-        f = files.filter(which).select(F.concat(F.lit("container/"), label).alias("canonical_key"), label.alias("name"), F.lit(strategy).alias("strategy"), confidence.alias("confidence"), F.col("path").alias("file"))
+    def found(which, label, strategy: str, confidence, line=F.lit(None).cast("int")) -> DataFrame:  # noqa: B008
+        f = files.filter(which).select(F.concat(F.lit("container/"), label).alias("canonical_key"), label.alias("name"), F.lit(strategy).alias("strategy"), confidence.alias("confidence"), F.col("path").alias("file"), line.alias("line"))
         return f.filter(F.coalesce(F.col("name"), F.lit("")) != "")
 
     toml_name = F.regexp_extract("text", r'(?ms)^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', 1)
@@ -101,11 +102,11 @@ def package_candidates(files: DataFrame) -> DataFrame:
     files = files.join(F.broadcast(table), F.lit(True))  # one row
     parts = [
         found(name == "Cargo.toml", toml_name, "cargo", F.lit(0.85)),
-        found((name == "package.json") & inner & member, npm_name, "npm", F.lit(0.8)),
-        found((name == "package.json") & ~inner, npm_name, "npm-single", F.lit(0.7)),
+        found((name == "package.json") & inner & member, npm_name, "npm", F.lit(0.8), first_line(F.col("text"), NAME_LINE)),
+        found((name == "package.json") & ~inner, npm_name, "npm-single", F.lit(0.7), first_line(F.col("text"), NAME_LINE)),
         found(name == "Chart.yaml", F.when(chart != "", chart).otherwise(last), "helm", F.when(chart != "", 0.7).otherwise(0.5)),
         found(F.col("path").rlike(r"(?:^|/)components/[^/]+/[^/]+$"), last, "components", F.lit(0.65)),
-        found(F.lower(name) == "dockerfile", F.when(title != "", title).otherwise(last), "dockerfile", F.lit(0.6)),
+        found(F.lower(name) == "dockerfile", F.when(title != "", title).otherwise(last), "dockerfile", F.lit(0.6), first_line(F.col("text"), TITLE_LINE)),
     ]
     ordered = [p.withColumn("nth", F.lit(i)) for i, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, ordered)
