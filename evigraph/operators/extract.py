@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import re
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,6 +79,15 @@ class Source:
             elif open_at:
                 self.close[open_at.pop()] = m.start()
         self.types = list(self._types())
+        # an index of brackets: sorted, each with the one around it; a block that is never closed goes to the end
+        self.close |= {t[1]: t[2] for t in self.types if t[2] > t[1] and t[1] not in self.close}
+        self.opens, self.around, stack = sorted(self.close), {}, []
+        for o in self.opens:
+            while stack and self.close[stack[-1]] < o:
+                stack.pop()
+            self.around[o] = stack[-1] if stack else None
+            stack.append(o)
+        self.blocks = {t[1]: t for t in self.types if t[2] > t[1]}
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
@@ -102,14 +111,24 @@ class Source:
                 where = self.body(m.end()) or (m.end(), m.end())
                 yield m.start(), *where, kind, name[1], rest
 
+    def inner(self, at: int) -> int | None:
+        """The innermost bracket around a place."""
+        k = bisect_left(self.opens, at) - 1
+        o = self.opens[k] if k >= 0 else None
+        while o is not None and self.close[o] <= at:
+            o = self.around[o]
+        return o
+
     def owner(self, at: int) -> tuple | None:
         """The innermost type block around a place."""
-        inside = [t for t in self.types if t[1] < at < t[2]]
-        return max(inside, key=lambda t: t[1]) if inside else None
+        o = self.inner(at)
+        while o is not None and o not in self.blocks:
+            o = self.around[o]
+        return self.blocks.get(o)
 
     def right_inside(self, at: int, block: tuple) -> bool:
         """Whether no bracket opens between the block's own and the place."""
-        return not any(block[1] < o < at < c for o, c in self.close.items() if o != block[1])
+        return self.inner(at) == block[1]
 
     # functions ---------------------------------------------------------------------------------------------------
     def functions(self) -> list[tuple[int, str, str, str | None]]:
@@ -158,21 +177,28 @@ class Source:
         """Fields, variants and methods right inside a type's block: (name, kind, signature, line)."""
         _, start, end, kind, *_ = t
         out, code = [], list(self.code[start + 1 : end])
-        for o, c in self.close.items():
-            if start < o < end and self.code[o] == "{":  # inner blocks don't matter
+        k = bisect_right(self.opens, start)
+        while k < len(self.opens) and self.opens[k] < end:
+            o, k = self.opens[k], k + 1
+            if self.code[o] == "{":  # inner blocks don't matter
+                c = self.close[o]
                 for i in range(o - start, min(c, end) - start - 1):
                     if code[i] != "\n":
                         code[i] = " "
+                k = bisect_right(self.opens, c)
         flat, base = "".join(code), start + 1
         if kind == "enum":
             for m in re.finditer(rf"(?:^|,)\s*(?:#\[[^\]]*\]\s*)*({NAME})", flat):
-                if not any(o < base + m.start(1) < c for o, c in self.close.items() if o > start):
+                if self.inner(base + m.start(1)) == start:
                     out.append((m[1], "variant", m[1], self.line(base + m.start(1))))
             return out
         sign = r",|$" if self.language == "rust" else r"[;\n]|$"
         shape = rf"(?m)(?:^|[,;{{}}])[ \t]*((?:(?:pub(?:\([^)]*\))?|private|public|protected|readonly|static)\s+)*({NAME})\??\s*:\s*[^,;{{}}=\n]*?)\s*(?=[,;=}}\n]|$)"
         for m in re.finditer(shape, flat) if self.language in ("rust", "typescript", "javascript") and sign else ():
-            if not any(o < base + m.start(2) < c for o, c in self.close.items() if o > start and self.code[o] == "("):
+            o = self.inner(base + m.start(2))
+            while o is not None and o > start and self.code[o] != "(":
+                o = self.around[o]
+            if o is None or o <= start:
                 out.append((m[2], "field", m[1].strip(), self.line(base + m.start(2))))
         return out
 
@@ -224,6 +250,13 @@ def _by_blocks(language: str, path: str, text: str) -> tuple[list, list, list]:
         for _, _, _, kind, name, rest in s.types:
             if kind == "impl" and rest:
                 traits.setdefault(name, []).append(rest.split("::")[-1])
+        of_block: dict[tuple, list[tuple]] = {}
+        for at, name in methods:
+            of_block.setdefault(s.owner(at), []).append((at, name))
+        impls: dict[str, list[tuple]] = {}
+        for t in s.types:
+            if t[3] == "impl":
+                impls.setdefault(t[4], []).append(t)
         for t in s.types:
             head, start, end, kind, name, rest = t
             if kind == "impl":
@@ -231,8 +264,7 @@ def _by_blocks(language: str, path: str, text: str) -> tuple[list, list, list]:
             bases = _named((re.search(r"\bextends\s+([^{]*?)(?=\bimplements\b|$)", rest) or [None, None])[1])
             kept = _named((re.search(r"\bimplements\s+([^{]*)", rest) or [None, None])[1]) if language != "rust" else sorted(set(traits.get(name, [])))
             members = s.members(t) if end > start else []
-            blocks = [t, *[i for i in s.types if i[3] == "impl" and i[4] == name]]
-            members += [(m, "method", m, s.line(at)) for at, m in methods if s.owner(at) in blocks]
+            members += [(m, "method", m, s.line(at)) for at, m in sorted(x for block in (t, *impls.get(name, ())) for x in of_block.get(block, ()))]
             classes.append((f"{language}:{path}:{kind}:{name}:{s.line(head)}", kind, language, path, s.line(head), name, bases, kept, members))
     return functions, calls, classes
 

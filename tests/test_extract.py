@@ -176,3 +176,16 @@ def test_workspaces_and_dependencies(spark):
     f = spark.createDataFrame(rows, "path string, text string")
     assert {(r["name"], r["strategy"]) for r in files.package_candidates(f).filter("strategy like 'npm%'").collect()} == {("root", "npm-single"), ("@x/a", "npm")}
     assert {(r["name"], r["kind"]) for r in files.dependencies(f).collect()} == {("serde", "dependencies"), ("tokio", "dependencies"), ("libc", "dependencies"), ("quick", "dev-dependencies")}
+
+
+def test_large_files_take_time_in_proportion():
+    import time
+
+    text = "".join(f"pub struct S{i} {{ a: u8, b: Vec<S{i}> }}\nimpl S{i} {{ fn f(&self) -> u8 {{ g({i}); if self.a > 1 {{ h() }} else {{ 2 }} }} }}\nenum E{i} {{ A, B(u8), C }}\n" for i in range(2000))
+    began = time.process_time()
+    functions, calls, classes = extract._by_blocks("rust", "a.rs", text)
+    assert time.process_time() - began < 4
+    assert len(classes) == 4000 and len(functions) == 2000 and {f[1] for f in functions} == {"method"}
+    members = {c[5]: [m[0] for m in c[8]] for c in classes}
+    assert members["S7"] == ["a", "b", "f"] and members["E7"] == ["A", "B", "C"]
+    assert len([c for c in calls if c[3] in "gh"]) == 4000
