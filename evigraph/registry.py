@@ -716,20 +716,23 @@ def _joined(rows: DataFrame, key: str, order: str, line: str, between: str = "\n
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), between).alias("text"))
 
 
+_MODULE = "concat('m', p_partkey div 100) AS module"
+
+
 def _code_files(spark, d) -> DataFrame:
-    """The calls as source texts: a file a brand, a line a function."""
-    part, number = star.table(spark, d, "part").select("p_partkey", "p_brand"), lambda c: F.split(c, ":")[1].cast("long")
+    """The calls as source texts: a file a hundred parts, a line a function."""
+    part, number = star.table(spark, d, "part").selectExpr("p_partkey", _MODULE), lambda c: F.split(c, ":")[1].cast("long")
     c = star.calls(spark, d).select(number("src").alias("k"), number("dst").alias("to")).withColumn("line", F.concat(F.lit("f"), F.col("to").cast("string"), F.lit("();")))
     bodies = _joined(c, "k", "to", "line", " ").withColumnRenamed("text", "body")
     f = part.join(bodies, F.col("p_partkey") == F.col("k"), "left").withColumn("line", F.concat(F.lit("pub fn f"), F.col("p_partkey").cast("string"), F.lit("() { "), F.coalesce("body", F.lit("")), F.lit(" }")))
-    return _joined(f, "p_brand", "p_partkey", "line").select(F.concat("p_brand", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
+    return _joined(f, "module", "p_partkey", "line").select(F.concat("module", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
 
 
 def _nothing(spark) -> DataFrame:
     return spark.createDataFrame([], "canonical_key string, kind_id string, current_name string")
 
 
-@query("SELECT 'rust:' || p_brand || '.rs:f' || p_partkey || ':' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS canonical_key, 'function' AS kind, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line FROM part")
+@query("SELECT 'rust:m' || (p_partkey // 100) || '.rs:f' || p_partkey || ':' || row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS canonical_key, 'function' AS kind, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS line FROM part")
 def g_functions(spark, d):
     return extract.extract(_code_files(spark, d), "functions").select("canonical_key", "kind", "line")
 
@@ -742,7 +745,7 @@ def g_call_graph(spark, d):
     return edges.select(name("source_id").alias("caller"), name("target_id").alias("callee"))
 
 
-@query("SELECT p_brand || '.rs' AS file, count(*) AS elements, count(*) FILTER (p_partkey % 3 <> 0) AS fresh FROM part GROUP BY p_brand")
+@query("SELECT 'm' || (p_partkey // 100) || '.rs' AS file, count(*) AS elements, count(*) FILTER (p_partkey % 3 <> 0) AS fresh FROM part GROUP BY p_partkey // 100")
 def g_call_graph_apply(spark, d):
     """Applied to a graph that has a third of the functions already: those are skipped."""
     files = _code_files(spark, d)
@@ -753,14 +756,14 @@ def g_call_graph_apply(spark, d):
     return every.unionAll(fresh).groupBy("file").agg(F.count_if(F.col("n") == 0).alias("elements"), F.count_if(F.col("n") == 1).alias("fresh"))
 
 
-@query("SELECT 'uml.composition' AS predicate_id, 'T' || p_partkey AS source, 'T' || following AS target FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS following FROM part) WHERE following IS NOT NULL UNION ALL SELECT 'uml.implements', 'T' || min(p_partkey), 'Keep' FROM part GROUP BY p_brand")
+@query("SELECT 'uml.composition' AS predicate_id, 'T' || p_partkey AS source, 'T' || following AS target FROM (SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS following FROM part) WHERE following IS NOT NULL UNION ALL SELECT 'uml.implements', 'T' || min(p_partkey), 'Keep' FROM part GROUP BY p_partkey // 100")
 def g_class_diagram(spark, d):
-    p, k = star.table(spark, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p, k = star.table(spark, d, "part").selectExpr("p_partkey", _MODULE), F.col("p_partkey")
+    w = Window.partitionBy("module").orderBy("p_partkey")
     field = F.coalesce(F.concat(F.lit("next: T"), F.lead("p_partkey").over(w).cast("string")), F.lit("n: u8"))
     first = F.when(F.row_number().over(w) == 1, F.concat(F.lit("\ntrait Keep {}\nimpl Keep for T"), k.cast("string"), F.lit(" {}"))).otherwise("")
     lines = p.withColumn("line", F.concat(F.lit("pub struct T"), k.cast("string"), F.lit(" { "), field, F.lit(" } // not T0"), first))
-    files = _joined(lines, "p_brand", "p_partkey", "line").select(F.concat("p_brand", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
+    files = _joined(lines, "module", "p_partkey", "line").select(F.concat("module", F.lit(".rs")).alias("path"), F.lit("rust").alias("language"), "text")
     name = lambda c: F.split(c, ":")[4]
     return ingest.class_diagram(extract.extract(files, "classes"), _nothing(spark))["SEMANTIC_EDGE"].select("predicate_id", name("source_id").alias("source"), name("target_id").alias("target"))
 
