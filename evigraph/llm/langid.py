@@ -5,8 +5,10 @@ whose dictionary makes it smallest.  Where the smallest and the next differ by l
 in a tie), the decision is marked as rejected (``lang_pred`` still names the smallest).  Texts are lower-cased and taken whole, in
 blocks, so that the dictionary also counts towards the end of a long one.
 
-Dictionaries are learned from a bounded sample: at most ``PIECES`` pieces of ``PIECE_CHARS`` characters a language,
-chosen by a hash of the id (of rows that repeat an id, one).  The number of languages is taken to be small (one dictionary each is sent to the tasks).
+Dictionaries are learned from a bounded sample of whole texts: in the order of a hash of the id (of rows that repeat an id,
+one), those that fit into what is left of ``BYTES`` a language.  Texts of more than a ``SHARE``-th of these bytes are not drawn, so that
+one doesn't fill a dictionary, unless a language has no others; a text beyond ``BYTES`` never is.  The number of languages is
+taken to be small (one dictionary each is sent to the tasks).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with nothing learned
 every text is ``und``; ties go to the language with more training documents, then to the smaller name; repeated rows
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import boxed, named, unboxed
 
-PIECES, PIECE_CHARS = 256, 512
+#: UTF-8 bytes of a dictionary at most, and the part of them that one text may take.
+BYTES, SHARE = 1 << 17, 32
 LEVEL = 6
 BLOCK = 8192
 MIN_MARGIN = 0.002
@@ -35,18 +38,26 @@ SCORE_SCALE = 4.0
 
 def learn(train: DataFrame) -> dict[str, bytes]:
     """``train`` (doc_id, text, lang) -> dictionaries, most frequent language first."""
-    t = train.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    t = train.filter("text is not null and lang is not null").select("doc_id", "text", "lang", F.octet_length("text").alias("size"))
+    short, fits = F.col("size") <= BYTES // SHARE, F.col("size") <= BYTES
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("size") + 1)), F.lit(0))
+    langs = {r["lang"]: r for r in t.groupBy("lang").agg(F.count("*").alias("n"), total(short).alias("short"), total(fits).alias("fits")).collect()}  # a row a language
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
     chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("place") < int((1 << 30) * min(1.0, 1.3 * PIECES / n))))
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(1)))
-    rows = t.withColumn("place", place).filter(chosen).select("lang", "place", F.lower(F.substring(F.col("text"), start.cast("int"), F.lit(PIECE_CHARS))).alias("piece")).groupBy("lang", "place").agg(F.min("piece").alias("piece")).collect()
+    for lang, r in langs.items():
+        which, size = (short, r["short"]) if r["short"] else (fits, r["fits"])
+        # about twice the bytes that are needed
+        chosen = chosen | ((F.col("lang") == lang) & which & (F.col("place") < int((1 << 30) * min(1.0, 2 * BYTES / max(size, 1)))))
+    rows = t.withColumn("place", place).filter(chosen).groupBy("lang", "place").agg(F.min(F.lower("text")).alias("text")).collect()
     out = {}
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        pieces = [p for _, p in sorted((r["place"], r["piece"]) for r in rows if r["lang"] == lang)]
-        out[lang] = "\n".join(pieces[:PIECES]).encode()
+    for lang in sorted(langs, key=lambda x: (-langs[x]["n"], x)):
+        kept, left = [], BYTES
+        for _, text in sorted((r["place"], r["text"]) for r in rows if r["lang"] == lang):
+            raw = text.encode()
+            if len(raw) < left:
+                kept.append(raw)
+                left -= len(raw) + 1
+        out[lang] = b"\n".join(kept)
     return out
 
 

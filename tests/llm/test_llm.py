@@ -499,6 +499,20 @@ def test_langid_is_plain_compression(spark):
         assert got[r["doc_id"]]["rejected"] == (margin < langid.MIN_MARGIN * sizes[ranked[1]])
 
 
+def test_langid_dictionaries_hold_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BYTES", 3200)
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice("abcdé ") for _ in range(rng.choice([20, 60, 80, 2000]))) for i in range(300)}
+    lang = lambda i: "long" if len(texts[i]) > 1000 and i % 2 else "xy"[i % 2]
+    rows = [(i, t, lang(i), "s") for i, t in texts.items()] + [(500, "z" * 5000, "huge", "s"), (501, None, "x", "s")]
+    made = langid.learn(documents(spark, rows))
+    assert set(made) == {"x", "y", "long", "huge"} and made["huge"] == b""
+    for name, raw in made.items():
+        assert len(raw) <= 3200 and all(t in {x.lower() for x in texts.values()} for t in raw.decode().split("\n") if t)
+    assert all(len(made[x]) > 3000 and max(map(len, made[x].decode().split("\n"))) <= 100 for x in "xy")
+    assert len(made["long"]) >= 2000
+
+
 def test_langid_und_and_ties():
     c = langid.Classifier({"en": b"the and with from " * 20, "de": b"der die und nicht " * 20})
     assert c.predict(None) == c.predict("123 !!") == c.predict("") == ("und", 0.0, True)
