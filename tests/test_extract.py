@@ -1,8 +1,10 @@
 """Extraction on small sources: what is declared, called, composed, and how states change."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from evigraph import registry
 from evigraph.operators import extract, ingest
 from evigraph.sources import files
 
@@ -189,3 +191,15 @@ def test_large_files_take_time_in_proportion():
     members = {c[5]: [m[0] for m in c[8]] for c in classes}
     assert members["S7"] == ["a", "b", "f"] and members["E7"] == ["A", "B", "C"]
     assert len([c for c in calls if c[3] in "gh"]) == 4000
+
+
+def _brands(spark):
+    brands = {}
+    for r in spark.read.parquet(f"{DATA}/part.parquet").orderBy("p_partkey").collect():
+        brands.setdefault(r["p_brand"], []).append(r["p_partkey"])
+    return brands
+
+
+def test_functions_come_from_one_file_a_brand(spark):
+    got = {(r["canonical_key"], r["line"]) for r in registry.g_functions(spark, DATA).collect()}
+    assert got == {(f"rust:{b}.rs:f{k}:{i}", i) for b, keys in _brands(spark).items() for i, k in enumerate(keys, 1)}
