@@ -203,3 +203,8 @@ def _brands(spark):
 def test_functions_come_from_one_file_a_brand(spark):
     got = {(r["canonical_key"], r["line"]) for r in registry.g_functions(spark, DATA).collect()}
     assert got == {(f"rust:{b}.rs:f{k}:{i}", i) for b, keys in _brands(spark).items() for i, k in enumerate(keys, 1)}
+
+
+def test_class_diagram_chains_all_parts_of_a_brand(spark):
+    got = {(r["source"], r["target"]) for r in registry.g_class_diagram(spark, DATA).collect()}
+    assert got == {(f"T{a}", f"T{b}" if b is not None else "Keep") for keys in _brands(spark).values() for a, b in [*zip(keys, keys[1:]), (keys[0], None)]}
