@@ -24,6 +24,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ SHARD_DOCS = 1000
 K1, B = 1.2, 0.75
 #: Draws that order the corpus, and shards that one task packs.
 DRAWS, SHARDS_A_TASK = 3, 8
-#: Entries of a task's cache of encoded runs, and bytes of text that it splits at a time.
-CACHE, STRETCH = 600_000, 1 << 24
+#: Encoded runs that a worker keeps, the first that it meets, and bytes of text that it splits at a time.
+CACHE, STRETCH = 400_000, 1 << 24
 IDS = 1 << 16
 
 
@@ -79,13 +80,13 @@ class Encoder(dict):
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        runs = [run] if run.isalpha() else self.RUNS.findall(run)
-        if runs == [run]:
-            piece = run if run.isalpha() and run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        if run.isalpha() or (runs := self.RUNS.findall(run)) == [run]:
+            piece = run if run.isascii() and run.isalpha() else run.encode().decode("latin-1").translate(self.letters)
             out = array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
         else:
             out = b"".join(map(self.__getitem__, runs))
-        self[run] = out
+        if len(self) < CACHE:
+            self[run] = out
         return out
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +95,9 @@ class Encoder(dict):
         lower = pc.utf8_lower(pc.if_else(plain, words, ""))
         parts = pc.split_pattern(pc.replace_substring_regex(lower, r"^(\p{L}+)", r"\1 "), " ", max_splits=1)  # letters, what follows
         coded = parts.flatten().dictionary_encode()
-        if len(self) > CACHE:
-            self.clear()
-        known = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        # no part holds a blank, and splitting one text is faster than a list of an array
+        each = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if len(words) else []
+        known = list(map(self.__getitem__, each))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
         of_part = coded.indices.to_numpy()
         ids = np.frombuffer(b"".join(known), dtype=np.uint16)[ragged(np.cumsum(sizes) - sizes, sizes, of_part)]
@@ -131,6 +132,12 @@ class Encoder(dict):
             yield np.frombuffer(self._direct(texts[i].as_py()), dtype=np.uint16) if whole else ids[ends[i] : ends[i + 1]]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker; those that pack shards let go of it."""
+    return Encoder(path)
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -140,13 +147,13 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     terms (16-bit) and times (32-bit); df: in a batch's first row the ids and numbers of documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([END_ID], dtype=np.uint16)
+        ids_of, end = encoder(path), np.array([END_ID], dtype=np.uint16)
         for b in batches:
             if not b.num_rows:
                 continue
             out = {k: [] for k in ("doc_tokens", "crcs", "rest", "terms", "times")}
             held = np.zeros(IDS, dtype=np.int64)
-            for ids in encoder.encode(b.column(1)):
+            for ids in ids_of.encode(b.column(1)):
                 ids = np.concatenate([ids, end])
                 full = len(ids) // WINDOW
                 terms, times = np.unique(ids, return_counts=True)
@@ -213,6 +220,12 @@ def placed(tokens: DataFrame, ranks: np.ndarray) -> DataFrame:
     return tokens.select(*columns).mapInArrow(run, f"{kinds}, place long")
 
 
+def _postings(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and number of each id in sorted ids."""
+    size = np.bincount(term, minlength=IDS)
+    return np.cumsum(size) - size, size
+
+
 def pack_shard(rests: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, idf: np.ndarray, mean: float) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences of (document, first, length) over the remainders; all but the last fill the window.  ``bags``: distinct
     terms and their times in each whole document, ``lengths``: its tokens."""
@@ -226,8 +239,8 @@ def pack_shard(rests: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]
     order = np.argsort(term, kind="stable")
     term, doc, tf = term[order], doc[order], tf[order]
     impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-    bounds = np.searchsorted(term, np.arange(IDS + 1))
-    sequence, space, seed = [], WINDOW, 0
+    start, size = _postings(term)
+    sequence, space, seed, indexed = [], WINDOW, 0, n
 
     def take(d: int) -> None:
         nonlocal space
@@ -245,13 +258,17 @@ def pack_shard(rests: list[np.ndarray], bags: list[tuple[np.ndarray, np.ndarray]
         query = bags[seed][0]
         take(seed)
         if space:
-            at = ragged(bounds[:-1], np.diff(bounds), query)
-            score = np.bincount(doc[at], weights=impact[at], minlength=n)
-            for d in np.lexsort((np.arange(n), -score)):
-                if left[d]:
-                    take(int(d))
-                    if not space:
-                        break
+            unused = np.flatnonzero(left)
+            if 4 * len(unused) < 3 * indexed:  # only unused ones stay in the index
+                stay = left[doc] > 0
+                term, doc, impact, indexed = term[stay], doc[stay], impact[stay], len(unused)
+                start, size = _postings(term)
+            at = ragged(start[query], size[query], np.arange(len(query)))
+            score = np.bincount(doc[at], weights=impact[at], minlength=n)[unused]
+            for d in unused[np.argsort(-score, kind="stable")].tolist():
+                take(d)
+                if not space:
+                    break
         if not space:
             yield sequence
             sequence, space = [], WINDOW
@@ -304,6 +321,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, shard_docs: int = SHA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = None
+        encoder.cache_clear()
         for t in _runs(batches, shard_docs):
             column = {k: t.column(k).to_pylist() for k in ("doc_tokens", "crcs", "rest", "terms", "times")}
             if number is None:

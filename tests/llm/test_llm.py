@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -214,6 +215,19 @@ def test_encoder_is_the_tokenizer():
         assert encoder.tokenizer.encode(t or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def test_runs_are_encoded_once_a_worker(monkeypatch):
+    texts = pa.array(["Some words, some more words: élève 12a", None, "words élève"])
+    want = [i.tolist() for i in packing.Encoder(packing.default_tokenizer()).encode(texts)]
+    kept = packing.encoder(packing.default_tokenizer())
+    assert [i.tolist() for i in kept.encode(texts)] == want
+    monkeypatch.setattr(kept, "model", None)  # the next task of the worker asks nothing
+    assert [i.tolist() for i in packing.encoder(packing.default_tokenizer()).encode(texts)] == want
+    packing.encoder.cache_clear()
+    monkeypatch.setattr(packing, "CACHE", 2)
+    few = packing.Encoder(packing.default_tokenizer())
+    assert [i.tolist() for i in few.encode(texts)] == want and len(few) == 2
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 def test_toxicity_learns_held_out_words():
     rng = random.Random(5)
