@@ -17,6 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without letters and those between two languages.  Dictionaries come from the same training
     third of ids as in op7.  Null and empty texts have no letter and go; a tie is a margin of nothing and goes; repeated
     rows are judged alike, rows with a null id like any other."""
+    common.small_batches(spark)
     train = docs.filter(common.crc_of_id(F.col("doc_id"), 3) != 1)
     return langid.accepted_documents(docs, langid.learn(train))
 
@@ -26,6 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     similarity of 0.8 or more are linked.  It is that of the smallest doc_id; of rows that
     repeat this id, the first by text.  Rows with a null doc_id cannot be named by a group and stay; empty texts are copies
     of one another."""
+    common.small_batches(spark)
     return nearcopies.keep_one(docs)
 
 
@@ -44,6 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mix into sequences: a row a piece.  A null or empty text is the end id alone; repeated rows and rows with a
     null doc_id are documents of their own."""
+    common.small_batches(spark)
     return packing.pack(docs)
 
 

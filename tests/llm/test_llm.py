@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evigraph.llm import components, langid, lm, mixing, neardup, packing, pii, queries, sharding, simhash, topk, toxicity
+from evigraph.llm import common, components, langid, lm, mixing, neardup, packing, pii, queries, sharding, simhash, topk, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, label int"
@@ -739,3 +739,21 @@ def test_pipeline_drops_planted_near_copies(spark):
     got = corpus_pipeline.near_dedup(spark, documents(spark, [(i, t, "en", "s") for i, t in rows.items()]), DATA)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root.values()))
     assert len(set(root.values())) < 0.6 * len(rows)
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    docs = spark.range(1500, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat("id", F.lit(" word ")), 1000).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        corpus_pipeline.identify_language(spark, docs, "")
+        got = [r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 1 and max(got) < 2 * common.BATCH and sum(got) > 2 * common.BATCH
+        spark.conf.set(common.BATCH_SETTING, "1m")  # a session's own setting stays
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
