@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.adjacency import Adjacency, sized
+from ..operators.adjacency import SMALL, Adjacency, sized
 from ..operators.traverse import touching, whole
 from ..scratch import counted, joined, release
 
@@ -311,10 +311,13 @@ class _Planner(_Parser):
     def _prefixed(self, df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(f"`{c}`").alias(_column(name, c)) for c in df.columns])
 
-    def _with_node(self, n: Node, how: str, key: Column | None) -> None:
-        """Binds a node: a new table joined by ``key``, or a filter if the name is bound."""
+    def _with_node(self, n: Node, how: str, key: Column | None, ends: DataFrame | None = None) -> None:
+        """Binds a node: a new table joined by ``key``, or a filter if the name is bound.  Of a table of nodes where a walk
+        ends at few (``ends``: id) only these are read on."""
         if n.name not in self.bound:
             t = self.graph.node(n.label)
+            if ends is not None:
+                t = t.join(F.broadcast(ends), "id", "left_semi")
             for k, v in n.props.items():
                 t = t.filter(F.col(k).isNull() if v is None else F.col(k) == v)
             t = self._prefixed(t, n.name)
@@ -366,9 +369,10 @@ class _Planner(_Parser):
         self._with_node(p[0], how, None)
         for k in range(1, len(p), 2):
             before, e, after = p[k - 1], p[k], p[k + 1]
-            here = F.col(f"`{_column(before.name, 'id')}`")
+            here, ends = F.col(f"`{_column(before.name, 'id')}`"), None
             if e.hops:
-                t = self._walk(e, before)
+                t, found = self._walk(e, before)
+                ends = t.select(F.col("dst").alias("id")) if found <= SMALL else None
                 t = t.select(F.col("src").alias(_column(e.name, "src")), F.col("dst").alias(_column(e.name, "dst")), *([F.col("path").alias(e.name)] if e.name in self.paths else []))
             else:
                 raw = self.graph.edge(e.kinds)
@@ -379,7 +383,7 @@ class _Planner(_Parser):
                     raw = raw.unionByName(raw.withColumns(turned))
                 t = self._prefixed(raw, e.name)
             self.df = self.df.join(t, here == F.col(f"`{_column(e.name, 'src')}`"), how)
-            self._with_node(after, how, F.col(f"`{_column(e.name, 'dst')}`"))
+            self._with_node(after, how, F.col(f"`{_column(e.name, 'dst')}`"), ends)
 
     def _all_edges(self, name: str) -> Column | None:
         """WHERE ALL(edge IN path WHERE …) of a shortest path that is being matched: the condition on its edges."""
@@ -397,9 +401,10 @@ class _Planner(_Parser):
                 return inner.expression()
         return None
 
-    def _walk(self, e: Edge, before: Node) -> DataFrame:
+    def _walk(self, e: Edge, before: Node) -> tuple[DataFrame, int]:
         """(src, dst) of ends of trails with low to high steps: pairs by shortest distance, each once; with SHORTEST also
-        path, the ids on the way that comes first in order.  Every step reads the edges that leave its frontier only."""
+        path, the ids on the way that comes first in order; and how many there are at most.  Every step reads the edges that
+        leave its frontier only."""
         raw, shortest = self.graph.adjacent(e.kinds), e.name in self.paths
         if shortest:
             self.kinds_of[e.name] = e.kinds
@@ -407,7 +412,7 @@ class _Planner(_Parser):
             raw = raw if condition is None else raw.filter(condition)
         start, rows = counted(self.df.select(F.col(f"`{_column(before.name, 'id')}`").alias("src")).distinct(), "starts")
         frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).alias("n"), F.array("src").alias("path"))
-        seen, parts = frontier, []
+        seen, parts, total = frontier, [], rows
         for n in range(1, e.hops[1] + 1):
             ids = frontier.select(F.col("dst").alias("id")).distinct()
             step = touching(raw, ids, rows, e.direction)
@@ -415,12 +420,13 @@ class _Planner(_Parser):
             more = more.groupBy(F.col("s").alias("src"), "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
             frontier, rows = counted(more.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(n).alias("n"), "path"), "walk")
             parts.append(frontier)
+            total += rows
             if not rows:
                 break
             seen = seen.unionByName(frontier)
         found = joined(parts, "walked") if parts else seen
         release(start)
-        return found.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst", *(["path"] if shortest else []))
+        return found.filter((F.col("n") >= e.hops[0]) & (F.col("src") != F.col("dst"))).select("src", "dst", *(["path"] if shortest else [])), total
 
     def project(self) -> None:
         distinct = self.take("DISTINCT")
