@@ -48,7 +48,7 @@ class Adjacency:
     """Stored edges (src, dst and what else they have)."""
 
     by_src: Side
-    by_dst: Side
+    by_dst: Side | None
     rows: int
     places: tuple[str, ...] = ()
 
@@ -68,7 +68,7 @@ class Adjacency:
     def filter(self, condition: Column) -> Adjacency:
         """Only edges that meet a condition; still stored."""
         some = lambda s: Side(s.table.filter(condition), None if s.hot is None else s.hot.filter(condition), s.heavy)
-        return replace(self, by_src=some(self.by_src), by_dst=some(self.by_dst))
+        return replace(self, by_src=some(self.by_src), by_dst=None if self.by_dst is None else some(self.by_dst))
 
     def at(self, key: str, frontier: DataFrame, rows: int) -> DataFrame:
         """The edges whose ``key`` (src or dst) is in the frontier (id), which has so many rows or fewer."""
@@ -102,12 +102,14 @@ def bucketed(df: DataFrame, key: str, buckets: int, order: Sequence[str] = (), t
     return spark.table(name), place
 
 
-def store(edges: DataFrame, *, rows_a_bucket: int = ROWS_A_BUCKET, least_buckets: int = LEAST_BUCKETS) -> Adjacency:
-    """Writes distinct ``edges`` (src, dst, more) both ways.  Edges with a null end lead nowhere and are left out."""
-    every, rows = counted(edges.filter("src is not null and dst is not null").distinct(), "edges")
+def store(edges: DataFrame, *, rows_a_bucket: int = ROWS_A_BUCKET, least_buckets: int = LEAST_BUCKETS, ways: Sequence[str] = ("src", "dst"), distinct: int | None = None) -> Adjacency:
+    """Writes distinct ``edges`` (src, dst, more) both ways, or by their source alone where walks only go out (``ways``).
+    Edges with a null end lead nowhere and are left out.  ``distinct``: how many there are, of a settled table of distinct
+    edges without nulls, which is read as it is."""
+    every, rows = counted(edges.filter("src is not null and dst is not null").distinct(), "edges") if distinct is None else (edges, distinct)
     buckets = max(least_buckets, -(-rows // rows_a_bucket))
     sides, places = {}, []
-    for key, other in (("src", "dst"), ("dst", "src")):
+    for key, other in [(k, o) for k, o in (("src", "dst"), ("dst", "src")) if k in ways]:
         heavy, n = counted(every.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > rows_a_bucket).select("node"), "heavy")
         light, hot = every, None
         if n:
@@ -119,5 +121,6 @@ def store(edges: DataFrame, *, rows_a_bucket: int = ROWS_A_BUCKET, least_buckets
         table, place = bucketed(light, key, buckets, [other], f"by-{key}")
         sides[key] = Side(table, hot, heavy if n else None)
         places.append(place)
-    release(every)
-    return Adjacency(sides["src"], sides["dst"], rows, tuple(places))
+    if distinct is None:
+        release(every)
+    return Adjacency(sides["src"], sides.get("dst"), rows, tuple(places))

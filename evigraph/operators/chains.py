@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import counted, release, settle
+from .adjacency import sized
 
 TRIPS = 3  # joins with the pointers in a round
 
@@ -32,11 +33,14 @@ class Contracted:
 
 
 def contract(edges: DataFrame, name: str = "") -> Contracted | None:
-    """Of edges (src, dst, eid, w); None where no node is inner.  ``name`` keeps ids of this round's edges apart."""
+    """Of edges (src, dst, eid, w); None where no inner node leads to another, so that nothing is longer than two edges and
+    writing all edges anew gains little.  ``name`` keeps ids of this round's edges apart."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
     degree = ends.groupBy("id").agg(F.sum("out").alias("outs"), F.count("*").alias("all"))
     inner, n = counted(degree.filter("outs = 1 and all = 2").select("id"), "inner")
-    if not n:
+    between = sized(inner.select(F.col("id").alias("inner_id")), n)
+    out_of = edges.join(between, F.col("src") == F.col("inner_id"), "left_semi") if n else None
+    if out_of is None or out_of.join(between, F.col("dst") == F.col("inner_id"), "left_semi").isEmpty():
         release(inner)
         return None
     mark = lambda c: inner.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_inner"))

@@ -302,8 +302,8 @@ def layers(nodes: DataFrame, edges: Edges, bound: int | None = None, patience: i
     every, total = counted(nodes.select("id").distinct(), "layers")
     known = sized(every.select(F.col("id").alias("known")), total)
     e = whole(edges).select("src", "dst").distinct().join(known, F.col("src") == F.col("known"), "left_semi").join(known, F.col("dst") == F.col("known"), "left_semi")
-    e = settle(e.withColumns({"eid": F.monotonically_increasing_id().cast("string"), "w": F.lit(1).cast("long")}), "layers")
-    found = _relaxed(every, e, bound) if bound is not None else _peeled(every, e, total)
+    e, edges_in = counted(e.withColumns({"eid": F.monotonically_increasing_id().cast("string"), "w": F.lit(1).cast("long")}), "layers")
+    found = _relaxed(every, e, bound) if bound is not None else _peeled(every, e, total, edges_in)
     if found is None:
         if total > patience:
             raise Cyclic("layers need a graph without cycles, or a bound")
@@ -322,13 +322,17 @@ def _relaxed(nodes: DataFrame, e: DataFrame, bound: int) -> DataFrame:
     return joined(parts, "layers").groupBy("id").agg(F.max("layer").alias("layer"))
 
 
-def _peeled(nodes: DataFrame, e: DataFrame, total: int) -> DataFrame | None:
-    """Layers, or None if there is a cycle."""
+def _peeled(nodes: DataFrame, e: DataFrame, total: int, edges_in: int) -> DataFrame | None:
+    """Layers, or None if there is a cycle.  ``e``: so many distinct edges; they are stored by their source, as nothing walks
+    back."""
     short = contract(e)
     if short and not short.rings.isEmpty():
         return None
     core = nodes if short is None else nodes.join(short.inner.select("id"), "id", "left_anti")
-    graph = store(e.select("src", "dst", "w") if short is None else short.edges.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    if short is None:
+        graph = store(e.select("src", "dst", "w"), ways=["src"], distinct=edges_in)
+    else:
+        graph = store(short.edges.groupBy("src", "dst").agg(F.max("w").alias("w")), ways=["src"])
     into = settle(core.join(graph.table.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("into")), "id", "left").fillna(0, ["into"]), "layers")
     frontier, rows = counted(into.filter("into = 0").select("id", F.lit(0).cast("long").alias("layer")), "layers")
     parts, logs, done = [frontier], [], rows
